@@ -237,33 +237,50 @@ def label_words(docs: list[list[str]], scores: Scores, penalty: float = PENALTY)
     return viterbi(scores.of(docs), starts, lengths, penalty), starts, lengths
 
 
+def _judged(texts: list, model: Model, penalty: float) -> dict[str, list]:
+    all_words = [words_of(t) for t in texts]
+    preds, scores, counts, spans = [], [], [], []
+    if model.langs:
+        labels, starts, lengths = label_words(all_words, scores_of(model), penalty)
+    for i, words in enumerate(all_words):
+        if not words or not model.langs:
+            preds.append(UND), scores.append(0.0), counts.append(0), spans.append("[]")
+            continue
+        own = labels[starts[i] : starts[i] + lengths[i]]
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        by = np.bincount(own, letters, len(model.langs))
+        top = int(by.argmax())
+        cuts = np.concatenate([[0], np.nonzero(own[1:] != own[:-1])[0] + 1, [len(own)]])
+        preds.append(model.langs[top])
+        scores.append(float(by[top] / by.sum()))
+        counts.append(len(cuts) - 1)
+        spans.append(json.dumps([[model.langs[own[a]], int(b - a)] for a, b in zip(cuts, cuts[1:])]))
+    return {"lang_pred": preds, "score": scores, "n_spans": counts, "spans": spans}
+
+
 def language_id(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """doc_id, held_out, lang_pred, score (share of the letters in spans of lang_pred),
     n_spans and spans: JSON list of [language, words] runs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
 
     def run(ids: list, texts: list) -> dict:
-        m = shared.value
-        known = scores_of(m)
-        all_words = [words_of(t) for t in texts]
-        preds, scores, counts, spans = [], [], [], []
-        if m.langs:
-            labels, starts, lengths = label_words(all_words, known, penalty)
-        for i, words in enumerate(all_words):
-            if not words or not m.langs:
-                preds.append(UND), scores.append(0.0), counts.append(0), spans.append("[]")
-                continue
-            own = labels[starts[i] : starts[i] + lengths[i]]
-            letters = np.fromiter(map(len, words), np.int64, len(words))
-            by = np.bincount(own, letters, len(m.langs))
-            top = int(by.argmax())
-            cuts = np.concatenate([[0], np.nonzero(own[1:] != own[:-1])[0] + 1, [len(own)]])
-            preds.append(m.langs[top])
-            scores.append(float(by[top] / by.sum()))
-            counts.append(len(cuts) - 1)
-            spans.append(json.dumps([[m.langs[own[a]], int(b - a)] for a, b in zip(cuts, cuts[1:])]))
-        return {"doc_id": ids, "lang_pred": preds, "score": scores, "n_spans": counts, "spans": spans}
+        return {"doc_id": ids} | _judged(texts, shared.value, penalty)
 
     out = by_document(docs, run, "doc_id long, lang_pred string, score double, n_spans long, spans string")
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score", "n_spans", "spans")
 
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter and of whose letters the
+    predicted language has at least that share."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def ok(texts: pd.Series) -> pd.Series:
+        out: list[bool] = []
+        for k in range(0, len(texts), 2000):
+            got = _judged(list(texts[k : k + 2000]), shared.value, penalty)
+            out += [p != UND and s >= least for p, s in zip(got["lang_pred"], got["score"])]
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(ok(F.col("text")))

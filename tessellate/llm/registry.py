@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, media, secrets, tokens
+from . import language, licenses, media, pieces, secrets, simhash, tiling, tokens
 from .common import load
 
 
@@ -16,11 +16,19 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return language.language_id(docs, language.train(docs))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digests(load(spark, sf_dir, "documents"))
 
@@ -29,6 +37,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(load(spark, sf_dir, "documents"), arrays=False)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(load(spark, sf_dir, "documents"))
 
@@ -37,6 +49,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(load(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op6_license_scan, op7_media_columns, op9_secret_scan, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op3_language_id, op4_simhash, op6_license_scan, op7_media_columns, op8_decontamination, op9_secret_scan, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
