@@ -4,19 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shipped(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each SparkContext: they need not have it
+    installed, nor share a folder with the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessellate_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    place = Path(tempfile.mkdtemp()) / "tessellate_package.zip"
+    with zipfile.ZipFile(place, "w") as z:
+        for f in sorted((root / "tessellate").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(place))
+    sc._tessellate_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with ours."""
+    shipped(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_document
+from .common import by_document, shipped
 
 BUCKETS = 1 << 16
 PENALTY = 6.0  # log units that a change of language costs
@@ -110,6 +110,7 @@ def held_out(doc_id) -> F.Column:
 def sample(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX_DOCS) -> DataFrame:
     """(doc_id, text, lang): the bounded labelled sample.  Ids are chosen first, then
     the texts of that bounded list are read."""
+    shipped(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0) & ~held_out("doc_id"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -273,6 +274,7 @@ def language_id(docs: DataFrame, model: Model, penalty: float = PENALTY) -> Data
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
     """The rows of docs, all columns, whose text has a letter and of whose letters the
     predicted language has at least that share."""
+    shipped(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import by_document
+from .common import by_document, shipped
 
 SPACE = "▁"
 CACHE = 1 << 19
@@ -224,6 +224,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of doc_id and pieces; null pieces give an empty text."""
     from pyspark.sql import functions as F
 
+    shipped(encoded.sparkSession)
+
     @F.pandas_udf("string")
     def text(pieces):
         t = transducer(path)

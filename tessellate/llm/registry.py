@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, media, pieces, secrets, simhash, tiling, tokens, urls
+from . import language, licenses, media, pieces, secrets, simhash, suffixes, tiling, tokens, urls
 from .common import load
 
 
@@ -20,6 +20,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(load(spark, sf_dir, "documents"), keep=False)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return language.language_id(docs, language.train(docs))
@@ -53,6 +57,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(load(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op3_language_id, op4_simhash, op5_url_filter, op6_license_scan, op7_media_columns, op8_decontamination, op9_secret_scan, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_language_id, op4_simhash, op5_url_filter, op6_license_scan, op7_media_columns, op8_decontamination, op9_secret_scan, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.oracle()}

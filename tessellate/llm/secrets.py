@@ -27,7 +27,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import by_document
+from .common import by_document, shipped
 
 KINDS = ("assign", "access", "hex", "github", "npm", "pem")
 BASE = KINDS[:3]
@@ -146,6 +146,8 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     and n_chars, where there is such a column, brought up to date; all else stays."""
     from pyspark.sql import functions as F
 
+    shipped(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts):
         return texts.map(lambda t: None if t is None else cleaned(t, mark))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_document
+from .common import by_document, shipped
 from .licenses import words_of
 
 MIN_MATCH = 5
@@ -176,6 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = MIN_MATCH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that no item contaminates."""
+    shipped(docs.sparkSession)
     for block in blocks_of(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
