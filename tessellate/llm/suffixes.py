@@ -36,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,6 +227,14 @@ def _wanted(table: pa.Table) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in table.column("anchors").to_pylist())]))
 
 
+def _packed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def _chunk_segments(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
     if not docs.num_rows or not found.num_rows:
         return _table(_SEGMENTS, **dict.fromkeys(_SEGMENTS, []))
@@ -235,7 +244,7 @@ def _chunk_segments(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
     runs = _by_bucket(bucket)
     pid = docs.column("pid")[0].as_py()
     size = np.fromiter(map(len, texts), np.int32, len(texts))
-    return _table(_SEGMENTS, bucket=[r[0] for r in runs], pid=[pid] * len(runs), anchors=[anchor[a:b].tobytes() for _, a, b in runs], sizes=[size[a:b].tobytes() for _, a, b in runs], least=[least[a:b].tobytes() for _, a, b in runs], texts=[b"".join(texts[a:b]) for _, a, b in runs])
+    return _table(_SEGMENTS, bucket=[r[0] for r in runs], pid=[pid] * len(runs), anchors=[anchor[a:b].tobytes() for _, a, b in runs], sizes=[size[a:b].tobytes() for _, a, b in runs], least=[least[a:b].tobytes() for _, a, b in runs], texts=[_packed(b"".join(texts[a:b])) for _, a, b in runs])
 
 
 def block_names(shards: list[np.ndarray], step: int = STEP) -> list[np.ndarray]:
@@ -312,7 +321,7 @@ def _bucket_least(table: pa.Table) -> pa.Table:
     known: dict[bytes, int] = {}
     least: list[int] = []
     numbers = []
-    for sizes, mins, texts in zip(cols["sizes"], cols["least"], cols["texts"]):
+    for sizes, mins, texts in zip(cols["sizes"], cols["least"], map(_unpacked, cols["texts"])):
         cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int32))]).tolist()
         own = []
         for a, b, m in zip(cuts, cuts[1:], np.frombuffer(mins, np.int64).tolist()):
