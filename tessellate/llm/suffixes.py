@@ -7,15 +7,16 @@ transforms.
    stretch of windows around a candidate, at most 76 bytes, is a segment.  Nothing repeated
    is outside the segments, and equal windows are in segments of one bucket (a hash of
    the anchor).  Equal segments are merged before any shuffle, with their smallest id.
-2. In each bucket the distinct segments are packed into shards.  A shard's suffixes are
-   sorted to depth 50 once and its Burrows-Wheeler transform is taken, over blocks of STEP
-   bytes: the symbol of a suffix is the block before it, named exactly by its rank.  The
-   shards are merged by iterative interleave refinement: the interleave starts as one shard
-   after another, and each round reads the symbols in its order and sorts it stably by them,
-   which orders the merged suffixes by STEP bytes more.  No suffix is compared or sorted
-   again.  The round in which a bound between neighbours first appears is their common
-   prefix in blocks; after 50 bytes, rows without a bound between them are repeated
-   intervals, and each takes the smallest id in it.
+2. In each bucket the distinct segments are packed into shards.  A shard's windows are sorted
+   once and its Burrows-Wheeler transform is taken, over blocks of STEP bytes: the symbol of a
+   suffix is the block before it, named exactly by its rank.  Of the transform only the rows
+   that lead to whole windows are kept, by depth.  The shards are merged by iterative
+   interleave refinement: the interleave starts as one shard after another, and each round
+   reads the symbols in its order and sorts it stably by them, which orders the merged
+   suffixes by STEP bytes more.  No suffix is compared or sorted
+   again.  Bounds between neighbours follow from the rounds alone: they share a prefix of k
+   blocks if in the last k rounds they read equal symbols.  After 50 bytes, rows without a
+   bound between them are the repeated intervals, and each takes the smallest id in it.
 3. Back at the documents, bytes under windows whose smallest id is below the document's own
    are removed.
 
@@ -48,7 +49,7 @@ STEP = 10
 CHUNK = 8 << 20  # bytes of text in a chunk
 BUCKET = 4 << 20  # bytes of text for each bucket
 SHARD = 1 << 18  # suffixes sorted at once
-PIECE = 1 << 20
+PIECE = 1 << 16  # windows scanned at once; arrays of that size stay in the processor's cache
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64((1 << 24) - 1)
 NEVER = np.iinfo(np.int64).max
@@ -248,22 +249,22 @@ def _chunk_segments(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
 
 
 def block_names(shards: list[np.ndarray], step: int = STEP) -> list[np.ndarray]:
-    """Ranks of the step bytes from each place of each (circular) shard, over all shards:
-    equal blocks and only they have equal names."""
+    """Ranks of the step bytes from each place of each shard that has as many, over all
+    shards: equal blocks and only they have equal names."""
     words, tails = [], []
     for s in shards:
-        ring = np.concatenate([s, np.resize(s, step)])
-        eight = np.zeros(len(s), np.uint64)
+        n = len(s) - step + 1
+        eight = np.zeros(n, np.uint64)
         for j in range(min(step, 8)):
-            eight = (eight << np.uint64(8)) | ring[j : j + len(s)]
-        tail = np.zeros(len(s), np.uint64)
+            eight = (eight << np.uint64(8)) | s[j : j + n]
+        tail = np.zeros(n, np.uint64)
         for j in range(8, step):
-            tail = (tail << np.uint64(8)) | ring[j : j + len(s)]
+            tail = (tail << np.uint64(8)) | s[j : j + n]
         words.append(eight), tails.append(tail)
     name = _ranks(np.concatenate(words))
     if step > 8:
         name = _ranks((name.astype(np.uint64) << np.uint64(8 * (step - 8))) | np.concatenate(tails))
-    return np.split(name, np.cumsum([len(s) for s in shards])[:-1])
+    return np.split(name, np.cumsum([len(x) for x in words])[:-1])
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -280,39 +281,43 @@ def _stable(x: np.ndarray) -> np.ndarray:
     return o[np.argsort((x[o] >> 16).astype(np.uint16), kind="stable")]
 
 
-def shard_order(name: np.ndarray, rounds: int, step: int = STEP) -> np.ndarray:
-    """Places of a circular shard sorted by rounds blocks."""
-    order = np.arange(len(name))
-    for k in range(rounds - 1, -1, -1):
-        order = order[_stable(name[(order + k * step) % len(name)])]
-    return order
+def transforms(name: np.ndarray, windows: np.ndarray, rounds: int, step: int = STEP) -> tuple[list[np.ndarray], np.ndarray]:
+    """A shard's Burrows-Wheeler transform by depth, and its windows in sorted order.
+
+    The row of a window at depth k is its suffix that starts k blocks before the window's
+    end; the symbol is the block before that.  Only these rows lead to windows, so the
+    others of the shard's transform are left out."""
+    order, out = np.arange(len(windows)), []
+    for k in range(rounds):
+        out.append(name[windows[order] + (rounds - 1 - k) * step])
+        order = order[_stable(out[-1])]
+    return out, order
 
 
-def merged(shards: list[np.ndarray], depth: int = LENGTH, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges the shards' transforms.  Returns, in merged order, the place of each suffix
-    (shards laid end to end), whether it begins a new interval of equal depth-byte strings,
-    and its common prefix with the one before in whole blocks of step bytes."""
+def merged(shards: list[np.ndarray], windows: list[np.ndarray], depth: int = LENGTH, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Merges the shards' transforms.  windows: places in each shard with depth bytes after
+    them.  Returns, in merged order, each window's number (shards one after another) and
+    whether it begins a new interval, that is whether its common prefix with the one before is
+    shorter than depth: neighbours share all of it if they read equal symbols and shared all
+    they had before that round."""
     rounds = depth // step
     names = block_names(shards, step)
-    starts = np.cumsum([0, *map(len, shards)])[:-1]
-    orders = [shard_order(x, rounds, step) for x in names]
-    places = np.concatenate([o + s for o, s in zip(orders, starts)])
-    symbols = np.concatenate([x[o - step] for x, o in zip(names, orders)])  # the transforms
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
-    total = len(places)
-    row = np.arange(total)  # the transform's row that the interleave points to
+    own = [transforms(x, w, rounds, step) for x, w in zip(names, windows)]
+    starts = np.cumsum([0, *map(len, windows)])[:-1]
+    final = np.concatenate([o + a for (_, o), a in zip(own, starts)])
+    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(w) for w in windows])
+    total = len(final)
+    row = np.arange(total)  # the shard's row that each place of the interleave points to
     group = np.zeros(total, np.int32)
-    common = np.full(total, rounds, np.int32)
     new = np.zeros(total, bool)
     for k in range(rounds):
-        read = symbols[row]
+        read = np.concatenate([t[k] for t, _ in own])[row]
         order = _stable(read)
         read, group, shard = read[order], group[order], shard[order]
         new = np.concatenate([[True], (read[1:] != read[:-1]) | (group[1:] != group[:-1])])
         group = np.cumsum(new, dtype=np.int32)
         row[np.argsort(shard, kind="stable")] = np.arange(total)
-        common[new & (common == rounds)] = k  # a bound stays where it first appears
-    return places[row], new, common * step
+    return final[row], new
 
 
 def _bucket_least(table: pa.Table) -> pa.Table:
@@ -340,15 +345,16 @@ def _bucket_least(table: pa.Table) -> pa.Table:
     while cuts[-1] < len(whole):
         k = max(int(np.searchsorted(ends, cuts[-1] + SHARD, side="right")) - 1, int(np.searchsorted(ends, cuts[-1], side="right")))
         cuts.append(int(ends[k]))
-    places, new, _ = merged([whole[a:b] for a, b in zip(cuts, cuts[1:])])
-    ids = np.repeat(np.array(least, np.int64), size)
-    windows = np.arange(len(whole)) <= np.repeat(ends - LENGTH, size)  # places with 50 bytes of their segment
-    ids[~windows] = NEVER
-    at = np.nonzero(new)[0]
-    of = np.empty(len(whole), np.int64)
-    of[places] = np.repeat(np.minimum.reduceat(ids[places], at), np.diff(np.append(at, len(places))))
     starts, n = ends - size, size - LENGTH + 1
-    out = [of[_ranges(starts[own], n[own])].tobytes() for own in numbers]
+    every = _ranges(starts, n)  # places of windows
+    at = np.searchsorted(every, cuts)
+    order, new = merged([whole[a:b] for a, b in zip(cuts, cuts[1:])], [every[i:j] - a for i, j, a in zip(at, at[1:], cuts)])
+    ids = np.repeat(np.array(least, np.int64), n)[order]
+    first = np.nonzero(new)[0]
+    of = np.empty(len(every), np.int64)
+    of[order] = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(every))))
+    begin = np.cumsum(n) - n
+    out = [of[_ranges(begin[own], n[own])].tobytes() for own in numbers]
     return _table(_LEAST, pid=cols["pid"], bucket=cols["bucket"], anchors=cols["anchors"], least=out)
 
 
