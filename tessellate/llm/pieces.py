@@ -15,7 +15,7 @@ met and remembered.
 
 If no piece has U+2581 after another character, no path crosses from one such chunk to
 the next but at a state that any arc can leave, so chunks are composed one by one and
-remembered (up to CACHE; then a worker starts anew).
+remembered (a bounded number of them).
 
 Defined cases: null and empty texts have no pieces; a literal U+2581 reads as a space, as
 in the library; runs without spaces take time in proportion to length; null ids pass
@@ -31,10 +31,11 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import by_document, shipped
+from .common import Remembered, by_document, shipped
 
 SPACE = "▁"
-CACHE = 1 << 19
+CACHE = 1 << 17  # chunks that a worker remembers (and as many older ones), and pairs
+PAIRS = 1 << 18
 UNK_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _INF = float("inf")
@@ -78,7 +79,7 @@ class Transducer:
         whole = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
         self.chunks = re.compile(f"(?s:.+)" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(CACHE)
         self.out = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(self.names, self.kinds)]
 
     def merged(self, text: str) -> list[str]:
@@ -98,45 +99,79 @@ class Transducer:
         """a: -1 at the start of a path or after bytes, where nothing can merge."""
         ok = self.pairs.get((a, b))
         if ok is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             parts = [self.names[b]] if a < 0 else [self.names[a], self.names[b]]
             ok = self.pairs[a, b] = self.merged("".join(parts)) == parts
         return ok
 
     def shortest(self, text: str) -> list[int]:
-        """The path of least cost through the composition with text."""
+        return self._only(text) if self.merges else self._least(text)
+
+    def _only(self, text: str) -> list[int]:
+        """The one finite path of a BPE model, found depth first, longest arcs first.  All
+        finite paths to a place are one, so a place that leads nowhere is never tried again."""
+        n, arcs, emits, pairs = len(text), self.arcs, self.emits, self.pairs
+        path: list[tuple[int, int]] = []  # (place where it begins, piece or -1 for bytes)
+        tried: list[list[tuple[int, int]]] = []  # arcs left to try at each step: (end, piece)
+        dead: set[int] = set()
+        at = 0
+        while at < n:
+            if len(tried) == len(path):  # first time here
+                node, j, found = 0, at, []
+                while j < n and (node := arcs[node].get(text[j], 0)):
+                    j += 1
+                    if (p := emits[node]) >= 0:
+                        found.append((j, p))
+                tried.append(found or [(at + 1, -1)])  # no piece begins here: bytes
+            last = path[-1][1] if path else -1
+            left = tried[-1]
+            while left:
+                end, p = left.pop()
+                if end in dead:
+                    continue
+                ok = True if p < 0 else pairs.get((last, p))
+                if ok is None:
+                    ok = self.stable(last, p)
+                if ok:
+                    path.append((at, p))
+                    at = end
+                    break
+            else:
+                dead.add(at)
+                tried.pop()
+                at, _ = path.pop()
+        out: list[int] = []
+        for i, p in path:
+            out += [p] if p >= 0 else self._fallback(text[i])
+        return out
+
+    def _fallback(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unknown]
+
+    def _least(self, text: str) -> list[int]:
+        """The path of least cost of a unigram model, by dynamic programming."""
         n = len(text)
-        cost, last, arc = [_INF] * (n + 1), [-1] * (n + 1), [None] * (n + 1)
+        cost, last, arc = [_INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            here = cost[i]
-            if here == _INF:
-                continue
             node, j, plain = 0, i, False
             while j < n and (node := self.arcs[node].get(text[j], 0)):
                 j += 1
-                p = self.emits[node]
-                if p < 0:
-                    continue
-                plain |= j == i + 1
-                c = here + (1.0 if self.merges else -self.score[self.names[p]])
-                if c < cost[j] and (not self.merges or self.stable(last[i], p)):
-                    cost[j], last[j], arc[j] = c, p, i
-            if not plain:  # byte fallback
-                c = here + (1.0 if self.merges else -self.worst)
-                if c < cost[i + 1]:
-                    cost[i + 1], last[i + 1], arc[i + 1] = c, -1, i
-        out: list[int] = []
-        j = n
+                if (p := self.emits[node]) >= 0:
+                    plain |= j == i + 1
+                    if (c := cost[i] - self.score[self.names[p]]) < cost[j]:
+                        cost[j], last[j], arc[j] = c, p, i
+            if not plain and (c := cost[i] - self.worst) < cost[i + 1]:
+                cost[i + 1], last[i + 1], arc[i + 1] = c, -1, i
+        path, j = [], n
         while j:
-            i = arc[j]
-            if last[j] >= 0:
-                out.append(last[j])
-            elif self.bytes:
-                out += [self.bytes[b] for b in reversed(text[i:j].encode("utf-8"))]
-            else:
-                out.append(self.unknown)
-            j = i
-        return out[::-1]
+            path.append((arc[j], last[j]))
+            j = arc[j]
+        out: list[int] = []
+        for i, p in reversed(path):
+            out += [p] if p >= 0 else self._fallback(text[i])
+        return out
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
@@ -152,10 +187,9 @@ class Transducer:
             for i, x in enumerate(got):
                 if x is None:
                     c = chunks[i]
-                    if (x := self.known.get(c)) is None:
-                        if len(self.known) >= CACHE:
-                            self.known.clear()
-                        x = self.known[c] = np.array(self.shortest(c), np.int32).tobytes()
+                    if (x := self.known.get(c)) is None and (x := self.known.older(c)) is None:
+                        x = np.array(self.shortest(c), np.int32).tobytes()
+                        self.known.put(c, x)
                     got[i] = x
         return np.frombuffer(b"".join(got), np.int32)
 
