@@ -4,28 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shipped
 
-def shipped(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each SparkContext: they need not have it
-    installed, nor share a folder with the driver."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tessellate_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    place = Path(tempfile.mkdtemp()) / "tessellate_package.zip"
-    with zipfile.ZipFile(place, "w") as z:
-        for f in sorted((root / "tessellate").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(place))
-    sc._tessellate_shipped = True
+ROWS = 1000  # documents that a function of by_document() gets at once
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +72,31 @@ def by_document(docs: DataFrame, fn: Callable[[list], Iterator[dict]], schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
                 out = fn(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return id_text(docs).mapInArrow(run, spark_schema)
+
+
+class Remembered(dict):
+    """A bounded memo: when it holds `most` entries they become the old ones, and of those
+    only what is asked for again is kept."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def older(self, key):
+        """The value of a key that get() didn't find, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value

@@ -37,7 +37,7 @@ BUCKETS = 1 << 16
 PENALTY = 6.0  # log units that a change of language costs
 FLOOR = -12.0
 PER_LANG, MAX_DOCS = 1000, 12_000
-CACHE = 1 << 19
+CACHE = 1 << 17
 UND = "und"
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}']*")
 # First code points of script ranges, and their names (Unicode blocks).
@@ -280,8 +280,8 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, penalty: float =
     @F.pandas_udf("boolean")
     def ok(texts: pd.Series) -> pd.Series:
         out: list[bool] = []
-        for k in range(0, len(texts), 2000):
-            got = _judged(list(texts[k : k + 2000]), shared.value, penalty)
+        for k in range(0, len(texts), 1000):
+            got = _judged(list(texts[k : k + 1000]), shared.value, penalty)
             out += [p != UND and s >= least for p, s in zip(got["lang_pred"], got["score"])]
         return pd.Series(out, dtype=bool)
 

@@ -21,12 +21,12 @@ from functools import lru_cache
 import regex
 from pyspark.sql import DataFrame
 
-from .common import by_document
+from .common import Remembered, by_document
 
 # The split pattern of byte-level BPE files, with white space as Unicode defines it.
 _S = r"\t-\r\x20\x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-CACHE = 1 << 19  # distinct pre-tokens that a worker remembers; then it starts anew
+CACHE = 1 << 17  # pre-tokens that a worker remembers, and as many older ones
 
 
 def byte_marks() -> dict[int, str]:
@@ -80,13 +80,13 @@ class Counter:
                     self.proven.add(b.decode("utf-8"))
                 except UnicodeDecodeError:
                     pass  # part of a character: never a whole pre-token
-        self.known: dict[str, int] = dict.fromkeys(self.proven, 1)
+        self.known = Remembered(CACHE)  # proven strings enter it when met
 
     def piece(self, text: str) -> int:
-        n = merge_count(text.encode("utf-8"), self.ranks)
-        if len(self.known) > len(self.proven) + CACHE:
-            self.known = dict.fromkeys(self.proven, 1)
-        self.known[text] = n
+        n = 1 if text in self.proven else self.known.older(text)
+        if n is None:
+            n = merge_count(text.encode("utf-8"), self.ranks)
+        self.known.put(text, n)
         return n
 
     def count(self, text: str | None) -> int:
