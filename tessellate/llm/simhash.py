@@ -98,7 +98,7 @@ def _groups(distance: int):
 
     def edges(table: pa.Table):
         cols = [table.column(i).to_numpy() for i in range(table.num_columns)]
-        ids, fps = cols[4], np.stack(cols[5:], 1)
+        ids, fps = cols[4], np.stack(cols[5:], 1).view(np.uint64)  # signed words would count bits of absolute values
         new = np.ones(len(ids), bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in cols[:4]])
         at = np.nonzero(new)[0]
