@@ -79,7 +79,7 @@ def stem(word: Column) -> Column:
 
 
 def kept_words(words: Column) -> Column:
-    return F.array_except(words, F.array()) if not STOP_WORDS else F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def content_tokens(text: Column) -> Column:
@@ -203,11 +203,11 @@ def table_cell(text: Column) -> Column:
 
 
 def decimal(x: Column, places: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{places}f", x), F.lit("n/a"))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.format_string(f"%.{places}f", x)).otherwise("n/a")
 
 
 def percent(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", x * 100), F.lit("n/a"))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.format_string("%.1f%%", x * 100)).otherwise("n/a")
 
 
 def dataset_label(path: Column) -> Column:
