@@ -132,15 +132,16 @@ def _groups(distance: int):
     return run
 
 
-def links(keyed: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
+def links(keyed: DataFrame, words: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
     """(u, v), u > v: spanning edges of the links among nodes that share a key.  keyed: c and
-    k (which blocks, and what they hold), node, and the words of its fingerprint."""
-    words = [x for x in keyed.columns if x not in ("c", "k", "node")]
+    k (which blocks, and what they hold) and node; words: node and the words of its
+    fingerprint, which are joined to the rows of shared keys only."""
     shared = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     met = keyed.join(shared, ["c", "k"]).withColumn("t", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    met = met.select("c", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *words)
+    met = met.select("c", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    met = met.join(words, "node").select("c", "k", "i", "j", "node", *(x for x in words.columns if x != "node"))
     met = met.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j")
     return met.mapInArrow(_groups(distance), "u long, v long").distinct()
 
@@ -149,7 +150,7 @@ def block_keys(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
     """keyed for links(), of 64-bit fingerprints fp: a row for each choice of blocks."""
     masks = block_masks(distance, blocks)
     choice = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks))))
-    return nodes.select("fp", choice.alias("key")).select("key.c", "key.k", F.col("fp").alias("node"), F.col("fp").alias("w0"))
+    return nodes.select("fp", choice.alias("key")).select("key.c", "key.k", F.col("fp").alias("node"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = stored(fingerprints(docs), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    out = _named(fps, nodes, components(links(block_keys(nodes, distance, blocks), distance)))
+    out = _named(fps, nodes, components(links(block_keys(nodes, distance, blocks), nodes.select(F.col("fp").alias("node"), F.col("fp").alias("w0")), distance)))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -188,7 +189,7 @@ def _named(fps: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     return fps.join(of, "fp")
 
 
-def wide_fingerprint(text: str | None, width: int = 5, bits: int = 1024) -> bytes:
+def wide_fingerprint(text: str | None, width: int = 5, bits: int = 2048) -> bytes:
     """As fingerprint(), over bits made from each shingle's XXH64 by a mixing step."""
     import xxhash
 
@@ -220,14 +221,14 @@ def allowed_bits(similarity: float, bits: int) -> int:
     return int(bits * p + 2 * (bits * p * (1 - p)) ** 0.5)
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 1024, block: int = 20, verified: int = 256) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 2048, block: int = 24, verified: int = 512) -> DataFrame:
     """doc_id, component_id by word shingles of the given width and similarity.
 
     At a similarity of 0.8 some 15 % of the bits differ, which 64 bits can't tell apart by
-    blocks.  A fingerprint of 1024 bits split into 51 blocks of 20 bits shares one for sure if
-    it differs in up to 50 bits, and with a chance of 1 - (1 - 0.85^20)^51 = 86 % at the
-    very threshold, 99.8 % at a similarity of 0.9; the Hamming distance of the first
-    `verified` bits is then verified."""
+    blocks.  A fingerprint of 2048 bits split into 85 blocks of 24 bits shares one for sure if
+    it differs in up to 84 bits, and with a chance of 1 - (1 - 0.85^24)^85 = 82 % at the very
+    threshold, 99.9 % at a similarity of 0.9; the Hamming distance of the first `verified`
+    bits is then verified.  Unrelated fingerprints meet in a block with a chance of 2^-24."""
     n_blocks, n_words = bits // block, verified // 64
 
     def run(ids: list, texts: list) -> dict:
@@ -239,5 +240,6 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
 
     fps = stored(by_document(docs, run, "doc_id long, keys array<int>, words array<long>").withColumn("fp", F.xxhash64("keys", "words")), "wide")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("words").alias("words"))
-    keyed = nodes.select(F.posexplode("keys").alias("c", "k"), F.col("fp").alias("node"), *(F.col("words")[i].alias(f"w{i}") for i in range(n_words)))
-    return _named(fps, nodes, components(links(keyed, allowed_bits(similarity, verified)))).select("doc_id", "component_id")
+    keyed = nodes.select(F.posexplode("keys").alias("c", "k"), F.col("fp").alias("node"))
+    words_of = nodes.select(F.col("fp").alias("node"), *(F.col("words")[i].alias(f"w{i}") for i in range(n_words)))
+    return _named(fps, nodes, components(links(keyed, words_of, allowed_bits(similarity, verified)))).select("doc_id", "component_id")
