@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from .common import Remembered, by_document, shipped
 
 SPACE = "▁"
-CACHE = 1 << 17  # chunks that a worker remembers (and as many older ones), and pairs
+CACHE = 1 << 18  # chunks that a worker remembers (and as many older ones), and pairs
 PAIRS = 1 << 18
 UNK_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -74,11 +74,16 @@ class Transducer:
                     self.emits.append(-1)
                 node = self.arcs[node][c]
             self.emits[node] = i
+        # for each piece its length and the longest other piece that it begins with
+        self.sizes = list(map(len, self.names))
+        self.shorter = [-1] * len(self.names)
+        for piece, i in self.ids.items():
+            self.shorter[i] = next((self.ids[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.ids), -1)
         if self.merges and any(c not in self.ids for piece in self.ids for c in piece):
             raise NotImplementedError("pieces with characters that are no pieces")
         whole = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
         self.chunks = re.compile(f"(?s:.+)" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known = Remembered(CACHE)
         self.out = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(self.names, self.kinds)]
 
@@ -97,12 +102,13 @@ class Transducer:
 
     def stable(self, a: int, b: int) -> bool:
         """a: -1 at the start of a path or after bytes, where nothing can merge."""
-        ok = self.pairs.get((a, b))
+        key = a * len(self.names) + b
+        ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             parts = [self.names[b]] if a < 0 else [self.names[a], self.names[b]]
-            ok = self.pairs[a, b] = self.merged("".join(parts)) == parts
+            ok = self.pairs[key] = self.merged("".join(parts)) == parts
         return ok
 
     def shortest(self, text: str) -> list[int]:
@@ -111,39 +117,41 @@ class Transducer:
     def _only(self, text: str) -> list[int]:
         """The one finite path of a BPE model, found depth first, longest arcs first.  All
         finite paths to a place are one, so a place that leads nowhere is never tried again."""
-        n, arcs, emits, pairs = len(text), self.arcs, self.emits, self.pairs
+        n, arcs, emits, pairs, shorter, sizes, width = len(text), self.arcs, self.emits, self.pairs, self.shorter, self.sizes, len(self.names)
         path: list[tuple[int, int]] = []  # (place where it begins, piece or -1 for bytes)
-        tried: list[list[tuple[int, int]]] = []  # arcs left to try at each step: (end, piece)
         dead: set[int] = set()
-        at = 0
+        at, last = 0, -1
         while at < n:
-            if len(tried) == len(path):  # first time here
-                node, j, found = 0, at, []
-                while j < n and (node := arcs[node].get(text[j], 0)):
-                    j += 1
-                    if (p := emits[node]) >= 0:
-                        found.append((j, p))
-                tried.append(found or [(at + 1, -1)])  # no piece begins here: bytes
-            last = path[-1][1] if path else -1
-            left = tried[-1]
-            while left:
-                end, p = left.pop()
-                if end in dead:
+            node, j, p = 0, at, -1
+            while j < n and (node := arcs[node].get(text[j], 0)):
+                j += 1
+                if (e := emits[node]) >= 0:
+                    p = e
+            if p < 0:  # no piece begins here: bytes
+                path.append((at, -1))
+                at, last = at + 1, -1
+                continue
+            while True:
+                if p < 0:  # nothing fits: back, and on with the arc before's next shorter one
+                    dead.add(at)
+                    at, p = path.pop()
+                    last = path[-1][1] if path else -1
+                    p = shorter[p] if p >= 0 else -1
                     continue
-                ok = True if p < 0 else pairs.get((last, p))
-                if ok is None:
-                    ok = self.stable(last, p)
-                if ok:
-                    path.append((at, p))
-                    at = end
-                    break
-            else:
-                dead.add(at)
-                tried.pop()
-                at, _ = path.pop()
+                end = at + sizes[p]
+                if end not in dead:
+                    ok = pairs.get(last * width + p)
+                    if ok or (ok is None and self.stable(last, p)):
+                        path.append((at, p))
+                        at, last = end, p
+                        break
+                p = shorter[p]
         out: list[int] = []
         for i, p in path:
-            out += [p] if p >= 0 else self._fallback(text[i])
+            if p >= 0:
+                out.append(p)
+            else:
+                out += self._fallback(text[i])
         return out
 
     def _fallback(self, char: str) -> list[int]:
