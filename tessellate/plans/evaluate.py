@@ -23,6 +23,7 @@ class Evaluation:
     retrieval: DataFrame
     retrieval_by_type: DataFrame
     retrieval_rows: DataFrame
+    ranked: DataFrame  # persisted: every later step reads it
 
     def summaries(self) -> dict[str, DataFrame]:
         return {
@@ -61,9 +62,9 @@ def evaluate(
     if checked:
         validate(cases, docs)
     ranked = RETRIEVERS[retriever](docs, cases, max(*ks, k))
-    cases = ranked_lists(cases, ranked)
+    cases = ranked_lists(cases, ranked).persist()
     found = M.retrieval_rows(cases, ks)
     rows = generate(A.with_context(A.staged(cases, k), docs))
     rows, diagnosed = score(rows, judge, k)
     settings = {"retriever": retriever, "generator": "extractive", "k": k, "ks": list(ks), "support_judge": judge.name, "scoring_version": judge.version, "support_threshold": judge.threshold, **(config or {})}
-    return Evaluation(settings, rows, diagnosed, M.retrieval_summary(found, ks), M.retrieval_summary(found, ks, "type"), found)
+    return Evaluation(settings, rows, diagnosed, M.retrieval_summary(found, ks), M.retrieval_summary(found, ks, "type"), found, cases)

@@ -71,7 +71,8 @@ def cases(spark, sf, retriever: str = "bm25") -> DataFrame:
     out = out.withColumns({"gold_ids": F.coalesce("gold_ids", none), "forbidden_ids": F.coalesce("forbidden_ids", none)})
     kind = F.when(F.size("gold_ids") == 0, "unanswerable").when(F.size("forbidden_ids") > 0, "adversarial").otherwise("known")
     answers = F.when(F.size("gold_ids") > 0, F.array(F.substring("item", 31, 30))).otherwise(F.array().cast("array<string>"))
-    return out.select("case_id", "ord", kind.alias("type"), "question", "gold_ids", answers.alias("answers"), F.array(F.lit("loser")).alias("forbidden_phrases"), "forbidden_ids", J.must_abstain(kind, F.lit(False)).alias("must_abstain"), F.array().cast("array<string>").alias("tags"), "ranked")
+    # read by every step that follows; persisted, it is ranked once (equal plans share it)
+    return out.select("case_id", "ord", kind.alias("type"), "question", "gold_ids", answers.alias("answers"), F.array(F.lit("loser")).alias("forbidden_phrases"), "forbidden_ids", J.must_abstain(kind, F.lit(False)).alias("must_abstain"), F.array().cast("array<string>").alias("tags"), "ranked").persist()
 
 
 def answered(spark, sf) -> DataFrame:
