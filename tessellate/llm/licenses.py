@@ -16,6 +16,7 @@ ignored; whole texts of any length are searched.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
@@ -83,18 +84,18 @@ def scan(text: str | None, notices: tuple[Notice, ...] = NOTICES) -> tuple[int,
         if not spots:
             continue
         n, k = len(notice.phrase), notice.edits
-        done = -1
-        for at in sorted(spots):
-            if at > 0 and line.startswith(notice.spaced, at - 1):  # no edit
-                found.append((at, at + n, notice, 0))
-        exact = [(a, e) for a, e, x, _ in found if x is notice]
+        exact = [at for at in sorted(spots) if at > 0 and line.startswith(notice.spaced, at - 1)]
+        found += [(at, at + n, notice, 0) for at in exact]
+        done = -1  # end of the last fuzzy match
         for at in sorted(spots) if k else ():
-            lo, hi = max(0, at - k - 1), min(len(line), at + n + k + 1)
-            lo = line.rfind(b" ", 0, lo + 1) if lo else 0  # whole words on the left
-            m = notice.pattern.search(line, max(lo, 0), hi)
-            while m and (m.start() < done or any(m.start() < e and a < m.end() for a, e in exact)):
-                m = notice.pattern.search(line, m.start() + 1, hi) if m.start() + 1 < hi else None
-            if m and all(key.encode() in m[0].split() for key in notice.keys):
+            i = bisect_right(exact, at)
+            if at < done or (i and at < exact[i - 1] + n):
+                continue
+            lo, hi = max(0, line.rfind(b" ", 0, max(1, at - k))), min(len(line), at + n + k + 1)
+            m = notice.pattern.search(line, lo, hi)
+            if not m or m.start() < done or any(m.start() < e + n and e < m.end() for e in exact[max(0, i - 1) : i + 1]):
+                continue
+            if all(key.encode() in m[0].split() for key in notice.keys):
                 done = m.end()
                 found.append((m.start(), m.end(), notice, sum(m.fuzzy_counts)))
     found.sort(key=lambda x: (x[0], x[1], x[2].label))
