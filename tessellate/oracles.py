@@ -124,6 +124,7 @@ SQL["claim_units"] = rf"""WITH moved AS (SELECT conv_id, turn, regexp_replace(te
 SELECT conv_id, turn, list_sum(list_transform(list_filter(string_split(t, chr(10)), lambda x: {strip('x')} <> ''), lambda x: len({sentences('x')})))::BIGINT AS units FROM moved"""
 SQL["quantity_bounds"] = """WITH b AS (SELECT conv_id, turn, [(turn + 1)::VARCHAR || ':day:upper', '5:gb:exact', conv_id::VARCHAR || ':hour:upper', '7:gb:exact'] AS b FROM conversations)
 SELECT conv_id, turn, array_to_string(list_sort(list_distinct(b)), ',') AS bounds FROM b"""
+SQL["company_resolve"] = """SELECT conv_id, turn, 'Acme Cloud was founded in 1999.|' || CASE WHEN turn % 2 = 0 THEN 'The company has ' || turn || ' offices.|Other Corp has none.' ELSE 'Acme Cloud has ' || turn || ' offices.|That is all.' END AS sentences FROM conversations"""
 SQL["membership_relation"] = "SELECT conv_id, turn, turn % 2 = 0 AS member FROM conversations"
 SQL["passage_containment"] = "SELECT item_id AS case_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL"
 SQL["first_cases"] = "SELECT item_id AS case_id, left(text, 60) AS question FROM benchmark ORDER BY item_id LIMIT 7"
@@ -195,7 +196,11 @@ toks AS (SELECT *, list_distinct({content("question")}) AS q, list_distinct({con
 best AS (SELECT case_id, stage, doc_id, s, cov FROM (SELECT *, {_COV} AS cov, row_number() OVER (PARTITION BY case_id, stage ORDER BY {_COV} DESC, pos, i) AS k FROM toks) WHERE k = 1 AND cov > 0)"""
 
 
-def graded(least: str = "0.6", source: str = "staged") -> str:
+_CONSERVATIVE = f"""SELECT DISTINCT uid FROM claims c JOIN ev e ON e.cited = c.cited AND c.has WHERE len(c.t) > 0 AND list_has_all(e.subj, c.subj) AND c.neg = e.neg AND list_has_all(e.t, list_intersect(c.t, {array(UNITS)})) AND list_has_all(e.num, c.num) AND len(list_intersect(c.t, e.t)) / len(c.t) >= 0.8"""
+_LEXICAL = f"""SELECT uid FROM (SELECT uid, list_distinct({content("claim")}) AS t, list_distinct({content("text")}) AS e FROM claims JOIN documents ON doc_id = cited WHERE has) WHERE len(t) = 0 OR len(list_intersect(t, e)) / len(t) >= 0.8"""
+
+
+def graded(least: str = "0.6", source: str = "staged", supported: str = _CONSERVATIVE) -> str:
     """CTEs from best to graded rows of both stages, by the conservative judge (the cited
     document's sentences are the evidence; an extractive answer is one of them)."""
     return f"""ans AS (SELECT s.*, b.cov >= {least} AS got, b.doc_id AS cited, b.s AS sent FROM {source} s LEFT JOIN best b USING (case_id, stage)),
@@ -206,7 +211,7 @@ numbered AS (SELECT *, row_number() OVER () AS uid, trim(regexp_replace(u, '\\[[
 claims AS (SELECT *, {claim_tokens("claim")} AS t, {subjects("claim")} AS subj, {denies("claim")} AS neg, {numbers("claim")} AS num FROM numbered),
 ev0 AS (SELECT DISTINCT cited, unnest({sentences("text")}) AS e FROM claims JOIN documents ON doc_id = cited WHERE has),
 ev AS (SELECT cited, {claim_tokens("e")} AS t, {subjects("e")} AS subj, {denies("e")} AS neg, {numbers("e")} AS num FROM ev0),
-yes AS (SELECT DISTINCT uid FROM claims c JOIN ev e ON e.cited = c.cited AND c.has WHERE len(c.t) > 0 AND list_has_all(e.subj, c.subj) AND c.neg = e.neg AND list_has_all(e.t, list_intersect(c.t, {array(UNITS)})) AND list_has_all(e.num, c.num) AND len(list_intersect(c.t, e.t)) / len(c.t) >= 0.8),
+yes AS ({supported}),
 faith AS (SELECT case_id, stage, avg((uid IN (SELECT uid FROM yes))::INT) AS f FROM claims GROUP BY ALL),
 base AS (SELECT s.*, NOT ok AS abstained, CASE WHEN len(gold_ids) > 0 THEN contains({norm("answer")}, {norm("part")}) END AS correct, contains({norm(substantive("answer"))}, 'loser') AS forbidden_phrase,
   CASE WHEN ok THEN coalesce(f, 0.0) END AS faithfulness, CASE WHEN ok THEN true END AS citations_valid, CASE WHEN ok AND len(gold_ids) > 0 THEN list_contains(gold_ids, cited) END AS cites_gold, ok AND list_contains(forbidden_ids, cited) AS cites_forbidden FROM said s LEFT JOIN faith USING (case_id, stage)),
@@ -219,6 +224,8 @@ _LABEL = """CASE WHEN e.answer_ok AND coalesce(e.citation_ok, true) THEN 'PASS'
   WHEN e.answer_ok THEN 'CITATION_UNFAITHFUL' WHEN len(e.gold_ids) > 0 AND NOT list_has_any(e.ranked[:3], e.gold_ids) THEN 'RETRIEVAL_MISS' WHEN e.abstained THEN 'OVER_ABSTENTION' WHEN o.answer_ok THEN 'DISTRACTOR_INTERFERENCE' ELSE 'WRONG_ANSWER_GIVEN_GOLD' END"""
 _ORACLE = "CASE WHEN NOT o.answer_ok THEN 'ANSWER_FAILURE' WHEN coalesce(o.citation_ok, true) THEN 'PASS' ELSE 'CITATION_UNFAITHFUL' END"
 DONE = f"{GRADED}, done AS (SELECT e.*, CASE WHEN len(e.gold_ids) > 0 THEN list_has_any(e.ranked[:3], e.gold_ids) END AS retrieval_hit, {_LABEL} AS diagnosis, {_ORACLE} AS oracle_outcome FROM graded e JOIN graded o ON e.case_id = o.case_id AND e.stage = 'e2e' AND o.stage = 'oracle')"
+SQL["rescore"] = f"""WITH {BEST}, {graded(supported=_LEXICAL)}, done AS (SELECT e.*, {_LABEL} AS diagnosis FROM graded e JOIN graded o ON e.case_id = o.case_id AND e.stage = 'e2e' AND o.stage = 'oracle')
+SELECT case_id, diagnosis, citation_ok FROM done"""
 SQL["extractive_answer"] = f"WITH {GRADED} SELECT case_id, stage, answer, abstained FROM graded"
 for _name, _cols in {"answer_correct": "correct", "forbidden_phrase": "forbidden_phrase", "answer_ok": "answer_ok", "citation_valid": "citations_valid", "faithfulness": "round(faithfulness, 6) AS faithfulness", "citation_precision": "citation_precision, cites_gold, cites_forbidden", "citation_ok": "citation_ok"}.items():
     SQL[_name] = f"WITH {GRADED} SELECT case_id, stage, {_cols} FROM graded"
@@ -249,6 +256,25 @@ SELECT *, round((tp + tn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6)
 _PAIRS = f"""pairs AS (SELECT a.conv_id, a.turn, coalesce(({sentences("a.text")})[1], '') AS claim, CASE WHEN a.turn % 2 = 1 THEN a.text ELSE b.text END AS evidence FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"""
 SQL["support_lexical"] = f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, list_distinct({content("claim")}) AS c, list_distinct({content("evidence")}) AS e FROM pairs)
 SELECT conv_id, turn, len(c) = 0 OR len(list_intersect(c, e)) / nullif(len(c), 0) >= 0.8 AS supported FROM t"""
+
+
+
+def bounds(c: str) -> str:
+    """List of structs (k, kind): each quantity by its last mention."""
+    q = lit(T.QUANTITY.replace("(?iU)", "(?i)"))
+    part = lambda g: f"regexp_extract_all({c}, {q}, {g})"
+    kind = f"CASE WHEN lower(z[1]) IN ({', '.join(map(lit, T.UPPER))}) THEN 'upper' WHEN lower(z[1]) IN ({', '.join(map(lit, T.LOWER))}) THEN 'lower' WHEN regexp_matches({c}, {lit(T.DUE.replace('(?iU)', '(?i)'))}) THEN 'upper' ELSE 'exact' END"
+    all_ = rf"list_transform(list_zip({part(1)}, {part(2)}, {part(3)}), lambda z: {{'k': z[2] || ' ' || regexp_replace(lower(z[3]), 's+$', ''), 'kind': {kind}}})"
+    return f"list_filter({all_}, lambda x, i: NOT list_contains(list_transform(({all_})[i + 1:], lambda y: y.k), x.k))"
+
+
+_CANON = rf"regexp_replace({strip('claim')}, '\s+([.!?])', '\1', 'g')"
+SQL["support_structured"] = f"""WITH {_PAIRS}, n AS (SELECT conv_id, turn, {_CANON} AS claim, evidence, row_number() OVER () AS uid FROM pairs),
+c AS (SELECT uid, conv_id, turn, {claim_tokens("claim")} AS t, {subjects("claim")} AS subj, {denies("claim")} AS neg, {numbers("claim")} AS num, {bounds("claim")} AS b FROM n),
+e0 AS (SELECT uid, unnest({sentences("evidence")}) AS e FROM n), e AS (SELECT uid, {claim_tokens("e")} AS t, {subjects("e")} AS subj, {denies("e")} AS neg, {numbers("e")} AS num, {bounds("e")} AS b FROM e0),
+yes AS (SELECT DISTINCT uid FROM c JOIN e USING (uid) WHERE len(c.t) > 0 AND list_has_all(e.subj, c.subj) AND c.neg = e.neg AND list_has_all(e.t, list_intersect(c.t, {array(UNITS)})) AND list_has_all(e.num, c.num) AND len(list_intersect(c.t, e.t)) / len(c.t) >= 0.8
+  AND len(list_filter(e.b, lambda y: y.kind <> 'exact' AND len(list_filter(c.b, lambda x: x.k = y.k AND x.kind <> y.kind)) > 0)) = 0)
+SELECT conv_id, turn, uid IN (SELECT uid FROM yes) AS supported FROM c"""
 SQL["support_conservative"] = f"""WITH {_PAIRS}, n AS (SELECT *, row_number() OVER () AS uid FROM pairs),
 c AS (SELECT uid, conv_id, turn, {claim_tokens("claim")} AS t, {subjects("claim")} AS subj, {denies("claim")} AS neg, {numbers("claim")} AS num FROM n),
 e0 AS (SELECT uid, unnest({sentences("evidence")}) AS e FROM n), e AS (SELECT uid, {claim_tokens("e")} AS t, {subjects("e")} AS subj, {denies("e")} AS neg, {numbers("e")} AS num FROM e0),
