@@ -52,6 +52,7 @@ SHARD = 1 << 18  # suffixes sorted at once
 PIECE = 1 << 16  # windows scanned at once; arrays of that size stay in the processor's cache
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACE = np.uint64((1 << 24) - 1)
+_KEPT = np.uint64((1 << 48) - 1)  # bits of an anchor that travel; a chance match costs work only
 NEVER = np.iinfo(np.int64).max
 
 
@@ -89,7 +90,7 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = (least & _PLACE).astype(np.int64)
     cut = np.nonzero(at[1:] != at[:-1])[0] + 1
     lo = np.concatenate([[0], cut])
-    return h[at[lo]], lo, np.concatenate([cut, [len(at)]]) - 1
+    return h[at[lo]] & _KEPT, lo, np.concatenate([cut, [len(at)]]) - 1
 
 
 class Chunk:
@@ -165,7 +166,18 @@ class Chunk:
 
 
 def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchor >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+    return ((anchor >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _narrow(h: np.ndarray) -> bytes:
+    """Anchors in six bytes each."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
 
 
 def _by_bucket(bucket: np.ndarray):
@@ -202,14 +214,14 @@ def _chunk_anchors(table: pa.Table, buckets: int) -> pa.Table:
     order = np.argsort(bucket, kind="stable")
     h, bucket = h[order], bucket[order]
     runs = _by_bucket(bucket)
-    return _table(_ANCHORS, bucket=[r[0] for r in runs], pid=[pid] * len(runs), anchors=[h[a:b].tobytes() for _, a, b in runs])
+    return _table(_ANCHORS, bucket=[r[0] for r in runs], pid=[pid] * len(runs), anchors=[_narrow(h[a:b]) for _, a, b in runs])
 
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
     """For each chunk of a bucket: which of its anchors two or more documents hold."""
     bucket = table.column("bucket")[0].as_py()
     pids = table.column("pid").to_pylist()
-    each = [np.frombuffer(x, np.uint64) for x in table.column("anchors").to_pylist()]
+    each = [_wide(x) for x in table.column("anchors").to_pylist()]
     h = np.concatenate(each)
     order = np.argsort(h & ~_FLAG, kind="stable")
     key = (h & ~_FLAG)[order]
@@ -221,11 +233,11 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     cuts = np.cumsum([0, *map(len, each)])
     found = [(p, (x & ~_FLAG)[yes[a:b]]) for p, x, a, b in zip(pids, each, cuts, cuts[1:])]
     found = [(p, x) for p, x in found if len(x)]
-    return _table(_ANCHORS, bucket=[bucket] * len(found), pid=[p for p, _ in found], anchors=[x.tobytes() for _, x in found])
+    return _table(_ANCHORS, bucket=[bucket] * len(found), pid=[p for p, _ in found], anchors=[_narrow(x) for _, x in found])
 
 
 def _wanted(table: pa.Table) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in table.column("anchors").to_pylist())]))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(_wide(x) for x in table.column("anchors").to_pylist())]))
 
 
 def _packed(raw: bytes) -> bytes:
@@ -245,7 +257,7 @@ def _chunk_segments(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
     runs = _by_bucket(bucket)
     pid = docs.column("pid")[0].as_py()
     size = np.fromiter(map(len, texts), np.int32, len(texts))
-    return _table(_SEGMENTS, bucket=[r[0] for r in runs], pid=[pid] * len(runs), anchors=[anchor[a:b].tobytes() for _, a, b in runs], sizes=[size[a:b].tobytes() for _, a, b in runs], least=[least[a:b].tobytes() for _, a, b in runs], texts=[_packed(b"".join(texts[a:b])) for _, a, b in runs])
+    return _table(_SEGMENTS, bucket=[r[0] for r in runs], pid=[pid] * len(runs), anchors=[_narrow(anchor[a:b]) for _, a, b in runs], sizes=[size[a:b].tobytes() for _, a, b in runs], least=[least[a:b].tobytes() for _, a, b in runs], texts=[_packed(b"".join(texts[a:b])) for _, a, b in runs])
 
 
 def block_names(shards: list[np.ndarray], step: int = STEP) -> list[np.ndarray]:
@@ -371,7 +383,7 @@ def _removed(docs: pa.Table, found: pa.Table, buckets: int, keep: bool) -> pa.Ta
         return _digests([], keep)
     chunk = Chunk(docs)
     chunk.hash &= ~_FLAG
-    cover = np.zeros(len(chunk.bytes) + 1, np.int32)
+    gone = np.zeros(len(chunk.bytes), bool)  # windows that an earlier document has
     if found.num_rows:
         at, number, _, _, texts, _ = chunk.segments(_wanted(found), buckets)
         rows = sorted(zip(found.column("bucket").to_pylist(), found.column("least").to_pylist()))
@@ -381,10 +393,11 @@ def _removed(docs: pa.Table, found: pa.Table, buckets: int, keep: bool) -> pa.Ta
         if n.sum() != len(least):
             raise RuntimeError("a chunk's segments came back changed")
         places = _ranges(chunk.lo[at], n[number])
-        gone = places[least[_ranges(first[number], n[number])] < np.repeat(chunk.own[chunk.doc[at]], n[number])]
-        cover[: len(chunk.bytes)] += np.bincount(gone, minlength=len(chunk.bytes)).astype(np.int32)
-        cover += np.concatenate([np.zeros(LENGTH, np.int32), -cover[: len(cover) - LENGTH]])
-    covered = np.cumsum(cover[:-1]) > 0
+        gone[places[least[_ranges(first[number], n[number])] < np.repeat(chunk.own[chunk.doc[at]], n[number])]] = True
+    begun = np.cumsum(gone, dtype=np.int32)
+    covered = begun.copy()
+    covered[LENGTH:] -= begun[:-LENGTH]  # windows begun in the last 50 places
+    covered = covered > 0
     out = []
     for doc_id, raw, a, b in zip(chunk.ids, chunk.raw, chunk.starts.tolist(), chunk.ends.tolist()):
         own = covered[a:b]
