@@ -6,6 +6,9 @@ holds U+001C to U+001F.  Undefined results are NULL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,16 +81,27 @@ def stem(word: Column) -> Column:
     return out.otherwise(word)
 
 
-def kept_words(words: Column) -> Column:
-    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+@dataclass(frozen=True)
+class Terms:
+    """How tokens become terms: which are kept, and what each turns into.  Called with a text
+    it gives the array; retrieval explodes the tokens first and applies the parts to rows,
+    which Spark compiles, while functions inside arrays are interpreted."""
+
+    term: Callable[[Column], Column]
+
+    @staticmethod
+    def keep(word: Column) -> Column:
+        return ~word.isin(*STOP_WORDS)
 
+    def kept(self, text: Column) -> Column:
+        return F.filter(tokens(text), self.keep)
 
-def content_tokens(text: Column) -> Column:
-    return F.transform(kept_words(tokens(text)), stem)
+    def __call__(self, text: Column) -> Column:
+        return F.transform(self.kept(text), self.term)
 
 
-def expanded_tokens(text: Column) -> Column:
-    return F.transform(kept_words(tokens(text)), lambda w: stem(mapped(w, EXPANSIONS)))
+content_tokens = Terms(stem)
+expanded_tokens = Terms(lambda w: stem(mapped(w, EXPANSIONS)))
 
 
 def sentences(text: Column) -> Column:

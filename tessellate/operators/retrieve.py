@@ -20,13 +20,13 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 K1, B = 1.5, 0.75
-Tokens = Callable[[Column], Column]
 
 
-def postings(docs: DataFrame, tokens: Tokens = T.content_tokens, terms: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, tokens: T.Terms = T.content_tokens, terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, tf, dl), of the given terms only if there are any given."""
-    words = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    each = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    words = docs.select("doc_id", tokens.kept(F.coalesce("text", F.lit(""))).alias("words"))
+    each = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("word"))
+    each = each.select("doc_id", "dl", tokens.term(F.col("word")).alias("term"))
     if terms is not None:
         each = each.join(terms.select("term").distinct(), "term", "left_semi")
     return each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "dl")
@@ -36,9 +36,9 @@ def document_frequencies(found: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def collection(docs: DataFrame, tokens: Tokens = T.content_tokens) -> DataFrame:
+def collection(docs: DataFrame, tokens: T.Terms = T.content_tokens) -> DataFrame:
     """One row: n documents, and their mean length (1 where that is 0 or undefined)."""
-    length = F.size(tokens(F.coalesce("text", F.lit(""))))
+    length = F.size(tokens.kept(F.coalesce("text", F.lit(""))))
     return docs.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg(length), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
 
 
@@ -63,7 +63,7 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return ranked.select("case_id", "rank", "doc_id", "score")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, tokens: Tokens = T.content_tokens, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, tokens: T.Terms = T.content_tokens, k1: float = K1, b: float = B) -> DataFrame:
     asked = queries.select("case_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     found = postings(docs, tokens, asked)
     one = F.broadcast(collection(docs, tokens))  # a single row
@@ -84,7 +84,7 @@ def _vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return weighted.join(norms, key).select(key, "term", (F.col("w") / F.coalesce(F.nullif("norm", F.lit(0.0)), F.lit(1.0))).alias("weight"))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, k: int, tokens: Tokens = T.content_tokens) -> DataFrame:
+def tfidf(docs: DataFrame, queries: DataFrame, k: int, tokens: T.Terms = T.content_tokens) -> DataFrame:
     found = postings(docs, tokens)
     one = F.broadcast(collection(docs, tokens).select("n"))
     idf = document_frequencies(found).crossJoin(one).select("term", tfidf_idf(F.col("n"), F.col("df")).alias("idf"))

@@ -21,6 +21,7 @@ from .operators.judge import JUDGES
 from .plans import experiments as X
 from .plans import report as P
 from .plans.evaluate import score
+from .session import spread
 from .sources import jsonl as J
 
 K, DEPTH = 3, 5
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def questions(spark, sf) -> DataFrame:
@@ -145,7 +146,7 @@ def stem_pairs(spark, sf):
 
 
 def _turns(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return spread(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 @query

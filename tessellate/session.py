@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shipped(spark: SparkSession) -> None:
@@ -24,6 +24,13 @@ def shipped(spark: SparkSession) -> None:
     sc._tessellate_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores (one large row group, say) dealt to
+    all of them.  What is shuffled is at most that many splits; a larger scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def session(name: str = "tessellate", cores: str = "*", partitions: int | None = None) -> SparkSession:
     """A local session for the command line; on a cluster pass your own to the functions."""
     conf = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
