@@ -36,7 +36,7 @@ from .common import by_document, shipped
 BUCKETS = 1 << 16
 PENALTY = 6.0  # log units that a change of language costs
 FLOOR = -12.0
-PER_LANG, MAX_DOCS = 1000, 12_000
+PER_LANG, MAX_DOCS, PARTS = 1000, 12_000, 100
 CACHE = 1 << 17
 UND = "und"
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}']*")
@@ -113,8 +113,10 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX_DOCS)
     shipped(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0) & ~held_out("doc_id"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
+    # a language may hold most rows, so each is dealt by hash in PARTS and each part gives its share
+    order = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    dealt = known.select("doc_id", "lang").withColumn("part", F.pmod(F.crc32(F.concat_ws(":", "doc_id", F.lit("part"))), F.lit(PARTS)))
+    ids = dealt.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(1, per_lang // PARTS))
     ids = ids.orderBy("n", "lang").limit(max_docs).select("doc_id", F.col("lang").alias("of"))
     return known.join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("of")).select("doc_id", "text", "lang")
 
