@@ -147,10 +147,10 @@ def links(keyed: DataFrame, words: DataFrame, distance: int, tile: int = TILE) -
 
 
 def block_keys(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """keyed for links(), of 64-bit fingerprints fp: a row for each choice of blocks."""
+    """keyed for links(), of nodes with 64-bit fingerprints fp: a row for each choice of blocks."""
     masks = block_masks(distance, blocks)
     choice = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks))))
-    return nodes.select("fp", choice.alias("key")).select("key.c", "key.k", F.col("fp").alias("node"))
+    return nodes.select("node", choice.alias("key")).select("key.c", "key.k", "node")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,22 +173,32 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("comp", "comp").distinct())
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    fps = stored(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    out = _named(fps, nodes, components(links(block_keys(nodes, distance, blocks), nodes.select(F.col("fp").alias("node"), F.col("fp").alias("w0")), distance)))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+NAMELESS = 1 << 62  # nodes from here on stand for fingerprints without an id
+
+
+def _nodes(fps: DataFrame, *more) -> DataFrame:
+    """A row for each fingerprint, with `node`: its smallest id, so that the smallest node of a
+    component is its component_id.  Where no row has an id, a number beyond all ids takes its
+    place; fingerprints that share it differ in two bits at most."""
+    beyond = F.lit(NAMELESS) + F.shiftrightunsigned("fp", 2)
+    return fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), beyond).alias("node"), *more)
 
 
 def _named(fps: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """fps with the component_id of each row's fingerprint."""
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "comp").join(least, "comp").select("fp", "component_id")
+    comp = F.coalesce("comp", "node")
+    of = nodes.select("fp", "node").join(found, "node", "left").select("fp", F.when(comp < NAMELESS, comp).alias("component_id"))
     return fps.join(of, "fp")
 
 
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    fps = stored(fingerprints(docs), "fingerprints")
+    nodes = _nodes(fps)
+    edges = links(block_keys(nodes, distance, blocks), nodes.select("node", F.col("fp").alias("w0")), distance)
+    return _named(fps, nodes, components(edges)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def wide_fingerprint(text: str | None, width: int = 5, bits: int = 2048) -> bytes:
     """As fingerprint(), over bits made from each shingle's XXH64 by a mixing step."""
     import xxhash
@@ -239,7 +249,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
         return {"doc_id": ids, "keys": list(keys), "words": list(words)}
 
     fps = stored(by_document(docs, run, "doc_id long, keys array<int>, words array<long>").withColumn("fp", F.xxhash64("keys", "words")), "wide")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("words").alias("words"))
-    keyed = nodes.select(F.posexplode("keys").alias("c", "k"), F.col("fp").alias("node"))
-    words_of = nodes.select(F.col("fp").alias("node"), *(F.col("words")[i].alias(f"w{i}") for i in range(n_words)))
+    nodes = _nodes(fps, F.first("keys").alias("keys"), F.first("words").alias("words"))
+    keyed = nodes.select(F.posexplode("keys").alias("c", "k"), "node")
+    words_of = nodes.select("node", *(F.col("words")[i].alias(f"w{i}") for i in range(n_words)))
     return _named(fps, nodes, components(links(keyed, words_of, allowed_bits(similarity, verified)))).select("doc_id", "component_id")
