@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,16 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shipped(spark: SparkSession) -> None:
     """Gives the executors this package, once for each SparkContext: they need not have it
-    installed, nor share a folder with the driver."""
+    installed.  The archive is written to the folder in spark.checkpoint.dir, which driver and
+    executors share; to a temporary one only where that is unset (local sessions)."""
     sc = spark.sparkContext
     if getattr(sc, "_tessellate_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    place = Path(tempfile.mkdtemp()) / "tessellate_package.zip"
-    with zipfile.ZipFile(place, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted((root / "tessellate").rglob("*.py")):
             z.write(f, f.relative_to(root))
-    sc.addPyFile(str(place))
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    place = f"{top.rstrip('/')}/tessellate_{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
     sc._tessellate_shipped = True
 
 
