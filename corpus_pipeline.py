@@ -7,7 +7,6 @@ folder and reads it again.  All but the last keep the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessellate.llm import language, pieces, secrets, simhash, tiling
 from tessellate.llm.common import load, stored
