@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shipped
+from ..session import shipped, spread
 
 ROWS = 1000  # documents that a function of by_document() gets at once
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
@@ -60,7 +60,7 @@ def total_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def by_document(docs: DataFrame, fn: Callable[[list], Iterator[dict]], schema: str) -> DataFrame:
+def by_document(docs: DataFrame, fn: Callable[[list, list], dict], schema: str, rows: int = ROWS) -> DataFrame:
     """Narrow map: fn gets (doc_id, text) columns of an Arrow batch as two lists and
     returns a dict of column lists; no shuffle, one batch in memory at a time
     (spark.sql.execution.arrow.maxBytesPerBatch bounds it)."""
@@ -72,8 +72,8 @@ def by_document(docs: DataFrame, fn: Callable[[list], Iterator[dict]], schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
                 out = fn(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 

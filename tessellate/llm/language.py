@@ -23,6 +23,7 @@ import unicodedata
 import uuid
 from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,7 @@ PENALTY = 6.0  # log units that a change of language costs
 FLOOR = -12.0
 PER_LANG, MAX_DOCS, PARTS = 1000, 12_000, 100
 CACHE = 1 << 17
+TOKENIZED, HELD = 500, 1 << 22  # documents, scores
 UND = "und"
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}']*")
 # First code points of script ranges, and their names (Unicode blocks).
@@ -210,16 +212,15 @@ class Scores:
         self.model, self.known, self.table = model, {}, np.zeros((0, len(model.langs)), np.float32)
 
     def of(self, docs: list[list[str]]) -> np.ndarray:
-        new = {w for words in docs for w in words if w not in self.known}
+        new = set(chain.from_iterable(docs)).difference(self.known)
         if len(self.known) + len(new) > CACHE and self.known:
             self.known, self.table = {}, self.table[:0]
-            new = {w for words in docs for w in words}
+            new = set(chain.from_iterable(docs))
         fresh = sorted(new)
         self.known.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
         if fresh:
             self.table = np.concatenate([self.table, self.model.vectors(fresh)])
-        n = sum(map(len, docs))
-        ids = np.fromiter((self.known[w] for words in docs for w in words), np.int64, n)
+        ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(docs)), np.int64)
         return self.table[ids]
 
 
@@ -233,32 +234,40 @@ def scores_of(model: Model) -> Scores:
     return _LATEST[0]
 
 
-def label_words(docs: list[list[str]], scores: Scores, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels of all words, and each document's first row and number of words."""
-    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-    starts = np.cumsum(lengths) - lengths
-    return viterbi(scores.of(docs), starts, lengths, penalty), starts, lengths
-
-
 def _judged(texts: list, model: Model, penalty: float) -> dict[str, list]:
-    all_words = [words_of(t) for t in texts]
-    preds, scores, counts, spans = [], [], [], []
-    if model.langs:
-        labels, starts, lengths = label_words(all_words, scores_of(model), penalty)
-    for i, words in enumerate(all_words):
-        if not words or not model.langs:
-            preds.append(UND), scores.append(0.0), counts.append(0), spans.append("[]")
-            continue
-        own = labels[starts[i] : starts[i] + lengths[i]]
-        letters = np.fromiter(map(len, words), np.int64, len(words))
-        by = np.bincount(own, letters, len(model.langs))
-        top = int(by.argmax())
-        cuts = np.concatenate([[0], np.nonzero(own[1:] != own[:-1])[0] + 1, [len(own)]])
-        preds.append(model.langs[top])
-        scores.append(float(by[top] / by.sum()))
-        counts.append(len(cuts) - 1)
-        spans.append(json.dumps([[model.langs[own[a]], int(b - a)] for a, b in zip(cuts, cuts[1:])]))
-    return {"lang_pred": preds, "score": scores, "n_spans": counts, "spans": spans}
+    """Documents are read TOKENIZED at a time, and labelled together until HELD scores are
+    held: a Viterbi step costs the same for one document as for thousands."""
+    out: dict[str, list] = {"lang_pred": [], "score": [], "n_spans": [], "spans": []}
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for k in range(0, len(texts), TOKENIZED):
+        words = [words_of(t) if model.langs else [] for t in texts[k : k + TOKENIZED]]
+        scores = scores_of(model).of(words)
+        held.append((scores, np.fromiter(map(len, words), np.int64, len(words)), np.fromiter(map(len, chain.from_iterable(words)), np.int32, len(scores))))
+        size += scores.size
+        if size > HELD:
+            _labelled(held, model, penalty, out)
+            held, size = [], 0
+    if held:
+        _labelled(held, model, penalty, out)
+    return out
+
+
+def _labelled(held: list, model: Model, penalty: float, out: dict[str, list]) -> None:
+    scores, lengths, letters = (np.concatenate(x) for x in zip(*held))
+    starts = np.cumsum(lengths) - lengths
+    labels = viterbi(scores, starts, lengths, penalty)
+    for a, n in zip(starts.tolist(), lengths.tolist()):
+        if not n:
+            row = (UND, 0.0, 0, "[]")
+        else:
+            own = labels[a : a + n]
+            by = np.bincount(own, letters[a : a + n], len(model.langs))
+            top = int(by.argmax())
+            cuts = [0, *(np.nonzero(own[1:] != own[:-1])[0] + 1).tolist(), n]
+            row = (model.langs[top], float(by[top] / by.sum()), len(cuts) - 1, json.dumps([[model.langs[own[i]], j - i] for i, j in zip(cuts, cuts[1:])]))
+        for c, v in zip(out.values(), row):
+            c.append(v)
 
 
 def language_id(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
@@ -269,7 +278,7 @@ def language_id(docs: DataFrame, model: Model, penalty: float = PENALTY) -> Data
     def run(ids: list, texts: list) -> dict:
         return {"doc_id": ids} | _judged(texts, shared.value, penalty)
 
-    out = by_document(docs, run, "doc_id long, lang_pred string, score double, n_spans long, spans string")
+    out = by_document(docs, run, "doc_id long, lang_pred string, score double, n_spans long, spans string", rows=10_000)
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score", "n_spans", "spans")
 
 
@@ -281,10 +290,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, penalty: float =
 
     @F.pandas_udf("boolean")
     def ok(texts: pd.Series) -> pd.Series:
-        out: list[bool] = []
-        for k in range(0, len(texts), 1000):
-            got = _judged(list(texts[k : k + 1000]), shared.value, penalty)
-            out += [p != UND and s >= least for p, s in zip(got["lang_pred"], got["score"])]
-        return pd.Series(out, dtype=bool)
+        got = _judged(list(texts), shared.value, penalty)
+        return pd.Series([p != UND and s >= least for p, s in zip(got["lang_pred"], got["score"])], dtype=bool)
 
     return docs.where(ok(F.col("text")))
