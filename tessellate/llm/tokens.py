@@ -26,7 +26,8 @@ from .common import Remembered, by_document
 # The split pattern of byte-level BPE files, with white space as Unicode defines it.
 _S = r"\t-\r\x20\x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-CACHE = 1 << 17  # pre-tokens that a worker remembers, and as many older ones
+SHORT, _NONE = 64, 1 << 62
+CACHE = 1 << 18  # pre-tokens that a worker remembers, and as many older ones
 
 
 def byte_marks() -> dict[int, str]:
@@ -36,9 +37,26 @@ def byte_marks() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _merge_short(raw: bytes, rank) -> int:
+    """The same for few bytes, with a list of the ranks of neighbours instead of a heap."""
+    part = [raw[i : i + 1] for i in range(len(raw))]
+    near = [rank(pair, _NONE) for pair in zip(part, part[1:])]
+    while near and (least := min(near)) < _NONE:
+        i = near.index(least)
+        part[i : i + 2] = [part[i] + part[i + 1]]
+        del near[i]
+        if i:
+            near[i - 1] = rank((part[i - 1], part[i]), _NONE)
+        if i < len(near):
+            near[i] = rank((part[i], part[i + 1]), _NONE)
+    return len(part)
+
+
 def merge_count(raw: bytes, ranks: dict[tuple[bytes, bytes], int]) -> int:
     """How many tokens the merges leave of raw: lowest rank first, then leftmost."""
     n = len(raw)
+    if n <= SHORT:
+        return _merge_short(raw, ranks.get)
     part: list[bytes | None] = [raw[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := ranks.get((part[i], part[i + 1]))) is not None]
