@@ -11,10 +11,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH = 2000  # rows of an Arrow batch; Spark's own default suits short rows, not documents
+
+
 def shipped(spark: SparkSession) -> None:
     """Gives the executors this package, once for each SparkContext: they need not have it
     installed.  The archive is written to the folder in spark.checkpoint.dir, which driver and
-    executors share; to a temporary one only where that is unset (local sessions)."""
+    executors share; to a temporary one only where that is unset (local sessions).  Bounds the
+    rows of a batch that a Python worker holds."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # not chosen by the user
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_tessellate_shipped", False):
         return
