@@ -72,6 +72,7 @@ def by_document(docs: DataFrame, fn: Callable[[list, list], dict], schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for k in range(0, batch.num_rows, rows):
                 part = batch.slice(k, rows)
                 out = fn(part.column(0).to_pylist(), part.column(1).to_pylist())

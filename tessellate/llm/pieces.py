@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from .common import Remembered, by_document, shipped
 
 SPACE = "▁"
-CACHE = 1 << 18  # chunks that a worker remembers (and as many older ones), and pairs
+CACHE = 1 << 16  # chunks that a worker remembers (and as many older ones), and pairs
 PAIRS = 1 << 18
 UNK_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
