@@ -23,10 +23,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_document, dropped, stored
+from .common import by_document, dropped, id_text, stored
 
 SEED = 42
 SHINGLE = 3
@@ -142,7 +142,7 @@ def links(keyed: DataFrame, words: DataFrame, distance: int, tile: int = TILE) -
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     met = met.select("c", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
     met = met.join(words, "node").select("c", "k", "i", "j", "node", *(x for x in words.columns if x != "node"))
-    met = met.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j")
+    met = met.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j", "node")  # the smallest are roots: fewer distinct edges
     return met.mapInArrow(_groups(distance), "u long, v long").distinct()
 
 
@@ -199,57 +199,151 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     return _named(fps, nodes, components(edges)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: str | None, width: int = 5, bits: int = 2048) -> bytes:
-    """As fingerprint(), over bits made from each shingle's XXH64 by a mixing step."""
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The XXH64 of each distinct shingle, ascending; a shorter text is one shingle, and one
+    without words has none."""
     import xxhash
 
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return bytes(bits // 8)
+        return np.zeros(0, "<u8")
     digest = xxhash.xxh64_digest
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     w = min(width, len(words))
     starts, ends = (ends - size)[: len(words) - w + 1], ends[w - 1 :]
+    return np.unique(np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())]), "<u8"))
+
+
+def wide_fingerprint(hashes: np.ndarray, bits: int = 2048) -> bytes:
+    """As fingerprint(), of a set of shingles, over bits made from each XXH64 by a mixing step."""
     counts = np.zeros(bits, np.int64)
     salt = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(0, len(starts), 4096):
-        raw = b"".join([digest(line[a:b], SEED) for a, b in zip(starts[k : k + 4096].tolist(), ends[k : k + 4096].tolist())])
-        z = np.frombuffer(raw, "<u8")[:, None] + salt
+    for k in range(0, len(hashes), 4096):
+        z = hashes[k : k + 4096, None] + salt
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
         counts += np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(starts)).tobytes()
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
-def allowed_bits(similarity: float, bits: int) -> int:
-    """Bits that fingerprints of sets of that Jaccard similarity differ in, on average,
-    and two standard deviations more."""
+def allowed_bits(similarity: float, bits: int, deviations: float = 6) -> int:
+    """Bits that fingerprints of sets of that Jaccard similarity differ in, on average, and
+    some standard deviations more: a filter only, as the sets are compared after it."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 2 * (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+
+def exact_forest(nodes: np.ndarray, sizes: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among sets of that Jaccard similarity and more.
+    flat: the members of all sets, one after the other."""
+    out = []
+    flat = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 0, bool)
+    while len(nodes):
+        queue = [(nodes[0], flat[: sizes[0]])]
+        nodes, flat, sizes = nodes[1:], flat[sizes[0] :], sizes[1:]
+        while queue and len(nodes):
+            u, members = queue.pop()
+            mark[members] = True
+            common = np.add.reduceat(mark[flat], np.cumsum(sizes) - sizes, dtype=np.int64)
+            mark[members] = False
+            near = common / (sizes + len(members) - common) >= similarity
+            if near.any():
+                got = np.split(flat[np.repeat(near, sizes)], np.cumsum(sizes[near])[:-1])
+                out += [(u, v) for v in nodes[near]]
+                queue += list(zip(nodes[near], got))
+                nodes, flat, sizes = nodes[~near], flat[np.repeat(~near, sizes)], sizes[~near]
+    return out
+
+
+def _exact_groups(similarity: float):
+    """Over batches of (k, i, j, node, set) sorted by the first three: forest edges of each group."""
 
+    def edges(nodes: list, sets: list) -> pa.RecordBatch:
+        found = exact_forest(np.array(nodes, np.int64), np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets), similarity)
+        u, v = (np.array([e[x] for e in found], np.int64) for x in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 2048, block: int = 24, verified: int = 512) -> DataFrame:
-    """doc_id, component_id by word shingles of the given width and similarity.
+    def run(batches):
+        at, nodes, sets = None, [], []
+        for batch in batches:
+            keys = zip(*(batch.column(x).to_pylist() for x in range(3)))
+            for key, node, held in zip(keys, batch.column(3).to_pylist(), batch.column(4)):
+                if key != at and nodes:
+                    yield edges(nodes, sets)
+                    nodes, sets = [], []
+                at = key
+                nodes.append(node)
+                sets.append(np.frombuffer(held.as_py(), "<u8"))
+        if nodes:
+            yield edges(nodes, sets)
 
-    At a similarity of 0.8 some 15 % of the bits differ, which 64 bits can't tell apart by
-    blocks.  A fingerprint of 2048 bits split into 85 blocks of 24 bits shares one for sure if
-    it differs in up to 84 bits, and with a chance of 1 - (1 - 0.85^24)^85 = 82 % at the very
-    threshold, 99.9 % at a similarity of 0.9; the Hamming distance of the first `verified`
-    bits is then verified.  Unrelated fingerprints meet in a block with a chance of 2^-24."""
+    return run
+
+
+def exact_links(groups: DataFrame, sets: DataFrame, similarity: float, tile: int = 1 << 20) -> DataFrame:
+    """(u, v), u > v: spanning edges of the links of that Jaccard similarity and more among the
+    nodes of a group.  groups: node and comp; sets: node, members (8 bytes each).  A group of
+    over `tile` members is dealt in tiles, as in links()."""
+    met = groups.join(sets, "node").where("length(members) > 0")
+    total = met.groupBy("comp").agg(F.ceil(F.sum(F.length("members")) / F.lit(8 * tile)).cast("int").alias("t"))
+    met = met.join(total, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    met = met.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "members")
+    met = met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    return met.mapInArrow(_exact_groups(similarity), "u long, v long").distinct()
+
+
+def text_hash(text: str | Column = "text") -> Column:
+    """The signed XXH64 of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 2048, block: int = 24, verified: int = 512) -> DataFrame:
+    """doc_id, mark (text_hash()) and comp of each row: rows share comp if a chain of pairs
+    of that Jaccard similarity of their shingle sets links them.
+
+    Nodes are distinct shingle sets.  At a similarity of 0.8 some 15 % of the bits differ,
+    which 64 bits can't tell apart by blocks.  A fingerprint of 2048 bits split into 85 blocks
+    of 24 bits shares one for sure if it differs in up to 84 bits, and with a chance of
+    1 - (1 - 0.85^24)^85 = 82 % at the very threshold, 99.9 % at a similarity of 0.9; the
+    first `verified` bits then sort out most others.  Unrelated fingerprints meet in a block
+    with a chance of 2^-24.  What is left are groups of candidates: their texts are read
+    again, and within each group every pair is judged by its sets themselves."""
     n_blocks, n_words = bits // block, verified // 64
 
     def run(ids: list, texts: list) -> dict:
-        raw = [wide_fingerprint(t, width, bits) for t in texts]
+        import xxhash
+
+        sets = [shingle_set(t, width) for t in texts]
+        raw = [wide_fingerprint(s, bits) for s in sets]
         every = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), bits // 8), axis=1)[:, : n_blocks * block]
         keys = every.reshape(len(raw), n_blocks, block).astype(np.int32) @ (1 << np.arange(block, dtype=np.int32))
         words = np.frombuffer(b"".join(r[: verified // 8] for r in raw), "<i8").reshape(len(raw), n_words)
-        return {"doc_id": ids, "keys": list(keys), "words": list(words)}
+        signed = lambda values: np.fromiter(values, np.uint64, len(texts)).view(np.int64)
+        return {"doc_id": ids, "mark": signed(xxhash.xxh64_intdigest(t or "", 42) for t in texts), "node": signed(xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), "keys": list(keys), "words": list(words)}
+
+    def members(nodes: list, texts: list) -> dict:
+        return {"node": nodes, "members": [shingle_set(t, width).tobytes() for t in texts]}
 
-    fps = stored(by_document(docs, run, "doc_id long, keys array<int>, words array<long>").withColumn("fp", F.xxhash64("keys", "words")), "wide")
-    nodes = _nodes(fps, F.first("keys").alias("keys"), F.first("words").alias("words"))
+    rows = stored(by_document(docs, run, "doc_id long, mark long, node long, keys array<int>, words array<long>"), "wide")
+    nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
     keyed = nodes.select(F.posexplode("keys").alias("c", "k"), "node")
     words_of = nodes.select("node", *(F.col("words")[i].alias(f"w{i}") for i in range(n_words)))
-    return _named(fps, nodes, components(links(keyed, words_of, allowed_bits(similarity, verified)))).select("doc_id", "component_id")
+    loose = stored(components(links(keyed, words_of, allowed_bits(similarity, verified))), "groups")
+    one = rows.join(loose.select("node"), "node").groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("row"))
+    texts = id_text(docs).withColumn("mark", text_hash()).withColumnRenamed("doc_id", "id")
+    met = texts.join(one, (F.col("mark") == F.col("row.mark")) & F.col("id").eqNullSafe(F.col("row.doc_id")))
+    sets = by_document(met.select(F.col("node").alias("doc_id"), "text").groupBy("doc_id").agg(F.first("text").alias("text")), members, "node long, members binary")
+    found = components(exact_links(loose, stored(sets, "sets"), similarity))
+    return rows.select("doc_id", "mark", "node").join(found, "node", "left").select("doc_id", "mark", F.coalesce("comp", "node").alias("comp"))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, **more) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id of the rows that similar_rows() links."""
+    rows = stored(similar_rows(docs, similarity, **more), "linked")
+    names = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "comp").select("doc_id", "component_id")

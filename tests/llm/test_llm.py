@@ -238,6 +238,43 @@ def test_similar_documents(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_similar_documents_are_judged_by_their_sets(spark):
+    rnd = random.Random(19)
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(len(t.split()) - 4, 1))}
+    alike = lambda a, b: len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+    texts = []
+    for changed in (2, 6, 7, 8, 9, 10, 11, 12, 14):
+        for _ in range(3):
+            words = [f"w{rnd.randrange(9000)}" for _ in range(300)]
+            texts.append(" ".join(words))
+            for k in range(changed):
+                words[10 + 20 * k] = "changed"
+            texts.append(" ".join(words))
+    texts += ["one two three four five " * 400, "one two three four five " * 400 + texts[0]]  # same majority of shingles, other set
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, list(enumerate(texts)))).collect()}
+    values = {k: alike(texts[k], texts[k + 1]) for k in range(0, len(texts), 2)}
+    assert sum(0.7 < v < 0.8 for v in values.values()) >= 6 and sum(v >= 0.8 for v in values.values()) >= 6
+    assert [k for k, v in values.items() if v < 0.8 and got[k + 1] == k] == []
+    assert [k for k, v in values.items() if v >= 0.85 and got[k + 1] != k] == []
+
+
+def test_exact_forest_equals_brute_force():
+    rnd = random.Random(20)
+    for _ in range(30):
+        base = rnd.sample(range(100), 20)
+        sets = [sorted({x if rnd.random() < 0.93 else rnd.randrange(200) for x in base}) for _ in range(25)]
+        edges = simhash.exact_forest(np.arange(25), np.array(list(map(len, sets))), np.concatenate(sets), 0.8)
+        want = list(range(25))
+        for a in range(25):
+            for b in range(a):
+                if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8:
+                    want = [want[b] if w == want[a] else w for w in want]
+        have = list(range(25))
+        for a, b in edges:
+            have = [have[b] if w == have[a] else w for w in have]
+        assert {(a, b) for a in range(25) for b in range(25) if want[a] == want[b]} == {(a, b) for a in range(25) for b in range(25) if have[a] == have[b]}
+
+
 # 5 -- URLs
 
 
