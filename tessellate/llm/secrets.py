@@ -9,8 +9,9 @@ non-overlapping search of the whole text would.
 
 Base kinds: assign (a keyword, an assignment sign, a value of 6 or more), access (AKIA,
 20 or more in all) and hex (24 or more).  Added kinds: github and npm tokens, whose last
-six characters are the CRC-32 of the rest in base 62, kept only if it holds; pem, the
-opening line of a private key.  Spans are in code points, end exclusive, and cover the
+six characters are the CRC-32 of the rest in base 62, kept only if it holds; pem, a
+private key from its opening line to its closing one, or where another key's line or the
+end of the text comes first, over the header and base64 lines that follow.  Spans are in code points, end exclusive, and cover the
 whole match.
 
 Defined cases: null and empty texts have no span; a failing match still takes up its
@@ -41,6 +42,10 @@ _PATTERNS = {
     "npm": re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "pem": re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
 }
+_MARK = re.compile(rb"-----(?:BEGIN |(END [A-Z ]{0,30}PRIVATE KEY-----)?)")
+_NEXT = rb"[\x20\t]*+(?:\r?\n|\r|\\r\\n|\\n)[\x20\t]*+"  # a line's end, as itself or escaped
+_LINE = rb"(?:(?:" + _NEXT + rb"|[\x20\t]++)[A-Za-z0-9+/]{24,}+={0,2}+|" + _NEXT + rb"[A-Za-z0-9+/]{1,23}+={0,2}+(?=[\x20\t]*+(?:[\r\n]|\\[rn]|\Z)))"
+_BODY = re.compile(rb"(?:(?:" + _NEXT + rb"[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)++(?:" + _NEXT + rb"(?=[\r\n\\]))?)?(?:" + _LINE + rb")++")
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _CLASSES = bytes(104 if chr(c) in "0123456789abcdef" else 46 for c in range(256))
 
@@ -83,6 +88,15 @@ def _passes(kind: str, m: re.Match) -> bool:
     return True
 
 
+def _key_end(raw: bytes, at: int) -> int:
+    """Where the private key ends whose opening line ends at `at`."""
+    mark = _MARK.search(raw, at)
+    if mark and mark[1]:
+        return mark.end()
+    body = _BODY.match(raw, at)
+    return body.end() if body else at
+
+
 def scan(text: str | None) -> list[tuple[int, str, int]]:
     """(start, kind, end) by start, then kind as listed."""
     if not text:
@@ -94,9 +108,9 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
         at = end + 1 - n
         if at < done[kind] or not (m := _PATTERNS[kind].match(raw, at)):
             continue
-        done[kind] = m.end()
+        done[kind] = _key_end(raw, m.end()) if kind == "pem" else m.end()
         if _passes(kind, m):
-            found.append((at, kind, m.end()))
+            found.append((at, kind, done[kind]))
     classes = raw.translate(_CLASSES)
     if b"h" * HEX_LEAST in classes:
         for end, n in runs.iter(classes.decode("latin-1")):

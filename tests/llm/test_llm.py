@@ -424,6 +424,27 @@ def test_checksums_and_redaction(spark):
     assert rows == {1: "x [REDACTED]", 2: None, 3: ""}
 
 
+def test_redaction_leaves_nothing_of_a_private_key(spark):
+    rnd = random.Random(12)
+    lines = ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64)) for _ in range(5)] + ["Qk9vbQ=="]
+    for label in ("", "RSA ", "OPENSSH ", "ENCRYPTED "):
+        begin, end = f"-----BEGIN {label}PRIVATE KEY-----", f"-----END {label}PRIVATE KEY-----"
+        heads = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+        for gap in ("\n", "\r\n", "\\n", " "):
+            assert secrets.cleaned(f"é a {gap.join([begin, *lines, end])} b") == "é a [REDACTED] b"
+        assert secrets.cleaned("\n".join(["a", begin, heads + lines[0], *lines[1:], end, "b"])) == "a\n[REDACTED]\nb"
+        cut = "\n".join([begin, *lines])  # no closing line
+        assert secrets.cleaned(f"a\n{cut}\nsome words here") == "a\n[REDACTED]\nsome words here"
+        assert secrets.cleaned(f"a\n{begin}\n{heads}{lines[0]}\n{lines[1]}\nsome words here") == "a\n[REDACTED]\nsome words here"
+        assert secrets.cleaned(cut) == "[REDACTED]" and secrets.cleaned(f"{cut}\nplain text\n{cut}\n{end}") == "[REDACTED]\nplain text\n[REDACTED]"
+        assert secrets.cleaned(f"{begin} opens a key") == "[REDACTED] opens a key"
+        text = f"中 {cut}\n{end}."
+        assert ("pem", 2, len(text) - 1) in [(k, s, e) for s, k, e in secrets.scan(text)]
+    assert secrets.cleaned(f"-----BEGIN CERTIFICATE-----\n{lines[0]}\n-----END CERTIFICATE-----").startswith("-----BEGIN CERTIFICATE")
+    got = secrets.redact(table(spark, [(1, f"x {cut}\n{end} y")])).first()["text"]
+    assert got == "x [REDACTED] y"
+
+
 # 10 -- tokens
 
 
