@@ -7,6 +7,7 @@ folder and reads it again.  All but the last keep the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessellate.llm import language, pieces, secrets, simhash, tiling
 from tessellate.llm.common import load, stored
@@ -19,11 +20,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest
-    doc_id stays, once; rows without doc_id, which name no group, all stay."""
-    found = simhash.similar_documents(docs.where("doc_id is not null"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays: that
+    of the smallest doc_id, or one without doc_id if none has any.  Rows are judged, not ids."""
+    rows = simhash.similar_rows(docs)
+    kept = rows.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "mark")).alias("row"))
+    kept = kept.select(F.col("row.doc_id").alias("kept_id"), F.col("row.mark").alias("kept_mark"))
+    marked = docs.withColumn("text_mark", simhash.text_hash())
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_mark") == F.col("kept_mark"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_mark"]).drop("text_mark")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -499,3 +499,15 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     t = pieces.Transducer(tokenizer("piece_bpe_32k.model"))
     assert "password" not in t.decode(got[104]["pieces"]) and t.decode(got[7]["pieces"]) == plain[7]
     assert [len(corpus_pipeline.STAGES), *(s[0] for s in corpus_pipeline.STAGES)][0] == 5
+
+
+def test_dedup_judges_rows_without_id_and_rows_that_share_an_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(13)
+    a, b, c, d = (" ".join(f"w{rnd.randrange(9000)}" for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " more"), (1, b), (1, c), (1, c), (2, b), (None, c), (3, d), (4, d), (None, "")]
+    got = corpus_pipeline.dedup_stage(spark, table(spark, rows), "")
+    assert "text_mark" not in got.columns
+    left = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    first = next(k for k in left if k[0] is None and k[1] != "")
+    assert first[1] in (a, a + " more") and left == Counter([first, (1, b), (1, c), (3, d), (None, "")])
