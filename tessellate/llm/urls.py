@@ -9,7 +9,10 @@ Edges: the hosts that a host's pages link to (absolute and protocol-relative hre
 weighted by links, and with `parents` an edge of weight 1 each way between a host and its
 parent domain where the table has both.  Edges are summed by host pair before any join, so
 a hot host costs one row for each partner.  Mass at hosts without out-edges is dropped.
-ROUNDS steps are made, over tables in the shared folder.
+Steps are made until no host's mass, however small, has grown by over TOLERANCE of itself in
+EVERY steps, so all hosts that mass can reach are reached; masses pass through tables in the
+shared folder.  Verdicts compare unrounded masses; a tie, to MARGIN, is allowed.  The SQL can't
+iterate so: it makes ROUNDS steps, and its masses differ from these where there are edges.
 
 Defined cases: a null url or one without `://` has empty host and path; an empty host has
 neither edges nor scores and is allowed; a host that no mass reaches is allowed; a null html
@@ -26,9 +29,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+TOLERANCE, EVERY, MARGIN = 1e-6, 8, 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -80,34 +84,42 @@ def host_edges(pages: DataFrame, parents: bool = True) -> DataFrame:
     return edges
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, mass) after `rounds` steps.  seeds: (kind, host, mass), kind trust or
-    distrust; trust goes along the edges, distrust against them."""
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, mass), converged.  seeds: (kind, host, mass), kind trust or distrust; trust
+    goes along the edges, distrust against them.  Masses only grow from step to step, and a
+    host that is reached anew has grown by all it has."""
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = ways.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     ways = stored(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "ways")
-    start = stored(seeds, "seeds")
-    rest = start.withColumn("mass", F.col("mass") * (1 - damping))
-    now = start
-    for step in range(rounds):
-        sent = now.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        now = rest.union(sent).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if step % 4 == 3:
-            now = stored(now, "ranks")
-    return now
-
-
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS, parents: bool = True) -> DataFrame:
+    rest = stored(seeds.withColumn("mass", F.col("mass") * (1 - damping)), "seeds")
+    now = rest
+    while True:
+        old = now
+        for _ in range(EVERY):
+            sent = now.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
+            now = rest.union(sent).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        now = stored(now, "ranks")
+        both = now.withColumn("was", F.lit(0.0)).union(old.select("kind", "host", F.lit(0.0), "mass"))
+        both = both.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("was").alias("was"))
+        grown = both.where("mass > 0").agg(F.max((F.col("mass") - F.col("was")) / F.col("mass"))).first()[0]
+        if old is not rest:
+            dropped(old)
+        if grown is None or grown < tolerance:
+            return now
+
+
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE, parents: bool = True) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of the host (6 decimals)."""
     name, verdict = ruled(rules)
     rows = parsed(pages).withColumn("rule", name).withColumn("by_rule", verdict)
     seeds = rows.where("by_rule IS NOT NULL AND host <> ''").groupBy(F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("mass"))
-    mass = propagated(host_edges(pages, parents), seeds, damping, rounds)
-    of = lambda kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)), 6).alias(kind)
+    mass = propagated(host_edges(pages, parents), seeds, damping, tolerance)
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)).alias(kind)
     scores = mass.groupBy("host").agg(of("trust"), of("distrust"))
     out = rows.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
-    by_host = F.when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "trust", "distrust")
+    share = threshold * (1 + MARGIN) * (F.col("trust") + F.col("distrust"))
+    by_host = F.when(F.col("distrust") > share, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
 
 
 def oracle(rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> str:

@@ -299,6 +299,18 @@ def test_distrust_travels_against_links_and_trust_along(spark):
     assert got[4]["trust"] == pytest.approx(0.15 * 0.85) and got[3]["distrust"] == pytest.approx(0.15 * 0.85) and got[5]["trust"] == 0
 
 
+def test_distrust_reaches_hosts_however_far_and_faint(spark):
+    link = lambda n, h: f'<a href="http://{h}/">x</a>' * n
+    rows = [(0, "http://h0.net/", "")] + [(i, f"http://h{i}.info/", link(1, "h0.net" if i == 1 else f"h{i - 1}.info")) for i in range(1, 12)]
+    rows += [(20, "http://b.net/", ""), (21, "http://hub.info/", link(1500, "b.net")), (22, "http://one.info/", link(1, "b.net"))]
+    rows += [(23, "http://hub2.info/", link(1500, "one.info")), (24, "http://faint.info/", link(1, "one.info"))]
+    rows += [(30, "http://p.org/fr/", link(1, "q.info")), (31, "http://q.info/", link(1, "p.org")), (32, "http://lone.info/", "")]
+    got = {r["page_id"]: r for r in urls.judged(pages(spark, rows)).collect()}
+    assert [i for i, r in got.items() if r["verdict"] == "allow"] == [30, 31, 32] and got[24]["distrust"] == 0  # rounded
+    assert got[11]["distrust"] == pytest.approx(0.15 * 0.85**11, abs=1e-6)
+    assert got[30]["trust"] == pytest.approx(0.15 / (1 - 0.85**2), rel=1e-5)  # the sum of all rounds
+
+
 # 6 -- licenses
 
 
