@@ -1,14 +1,14 @@
 """Media columns: payloads stored as WAV, read back by the wave module, and spectral
 fingerprints stored as time-coded arrays.
 
-Frames of 256 samples every 128 go through a Hann window and a real FFT (short-time
+Frames of 256 samples every 128, the last one padded with zeros, go through a Hann window and a real FFT (short-time
 Fourier transform).  In each frame the strongest bin of each band is a peak if it
 stands above the frame's mean; each peak is paired with the peaks of the next frames
 (the target zone).  A pair's code holds both bins and the frame distance; its time is
 the anchor's frame.
 
 Defined cases: null and empty texts give a payload of 64 zero bytes; a constant signal
-has no peak and an empty fingerprint; equal texts give equal values, as each text is
+of whole frames has no peak and an empty fingerprint; equal texts give equal values, as each text is
 transformed by itself and in blocks of a fixed size; null ids pass through; columns
 other than doc_id and text are ignored; an empty table gives an empty table.
 """
@@ -58,9 +58,8 @@ def from_wav(media: bytes) -> bytes:
 def peaks_of(samples: bytes) -> np.ndarray:
     """(frames, bands) int32: the bin of each band's peak, -1 where there is none."""
     x = np.frombuffer(samples, np.uint8).astype(np.float64) - 128.0
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    n = 1 + (len(x) - FRAME) // HOP
+    n = 1 + max(0, -(-(len(x) - FRAME) // HOP))
+    x = np.pad(x, (0, FRAME + (n - 1) * HOP - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     out = np.full((n, len(BANDS)), -1, np.int32)
     for k in range(0, n, BLOCK):

@@ -359,6 +359,14 @@ def test_a_tone_peaks_in_its_bin():
     assert len(media.pairs_of(media.peaks_of(bytes([128]) * 640))[0]) == 0
 
 
+def test_the_last_frame_covers_the_tail():
+    assert [len(media.peaks_of(bytes([128]) * n)) for n in (64, 256, 320, 384, 448, 960, 1024)] == [1, 1, 2, 2, 3, 7, 7]
+    wave = lambda k, n: (128 + 100 * np.sin(2 * np.pi * k / 256 * np.arange(n))).astype(np.uint8).tobytes()
+    for n in (320, 448, 960):  # 64 over whole frames
+        low, high = (media.peaks_of(wave(20, n - 64) + wave(k, 64)) for k in (16, 100))
+        assert (low[:-1] == high[:-1]).all() and (low[-1] != high[-1]).any()
+
+
 # 8 -- greedy string tiling
 
 
