@@ -5,16 +5,27 @@ most `distance` bits agree on at least BLOCKS - distance blocks, so they share o
 keys made of that many blocks: joining on those keys and verifying the Hamming distance
 misses no pair.  With 6 blocks and distance 3 a key has about 32 bits.
 
-Copies count once: distinct fingerprints are joined.  A key shared by over TILE
-fingerprints is dealt in tiles (pairs of chunks), so no task holds an unbounded group, and
-from each tile only the edges of a spanning forest of its links are emitted, never all
-pairs: linear in the group, and no link between components is lost.  Components come from
-alternating large-star and small-star rounds over tables in the shared folder.
+Copies count once: distinct fingerprints are joined.  Of each group that shares a key only
+the edges of a spanning forest are emitted, each from a node to the smallest one of its tree:
+linear in the group, and no link between components is lost.  A key shared by over TILE
+fingerprints is first compared with its smallest one, the pivot.  What is within the distance
+d of the pivot is linked to it and thereby done; by the triangle inequality only what lies
+within 2d of the pivot can be linked to those, and it is compared with them in cells of
+TILE by TILE; what is left is compared with itself in such cells.  So a group of copies costs
+one row for each, and no task holds an unbounded group.
+
+Components come from alternating large-star and small-star rounds over tables in the shared
+folder, after two rounds without a join that leave about one edge for each node: a node has
+at most one smaller neighbour for each key and cell, so a window over those is bounded.
+
+Groups are sorted before they are read, so edges do not depend on the order of arrival, and
+what is made again after an executor is lost is equal.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any
-other; rows with the same doc_id are one document to its component; a row without doc_id
-has a fingerprint, and its component_id is the smallest id reachable, null if there is
-none; other columns are ignored; an empty table gives an empty table.
+other; rows with the same doc_id are judged each by its own text, so one id may be in
+several components; a row without doc_id has a fingerprint, and its component_id is the
+smallest id reachable, null if there is none; other columns are ignored; an empty table
+gives an empty table; long texts are hashed whole, BATCH shingles at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import by_document, dropped, id_text, stored
 
@@ -77,37 +89,55 @@ def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
 
 
 def _forest(ids: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among rows (ids; fps: rows of words)."""
+    """(node, root) of each tree of a spanning forest of the links among rows (ids, ascending;
+    fps: rows of words); its root is the tree's smallest node."""
     out = []
     while len(ids):
-        queue, ids, fps = [(ids[0], fps[0])], ids[1:], fps[1:]
+        root, queue, ids, fps = ids[0], [fps[0]], ids[1:], fps[1:]
         while queue and len(ids):
-            i, x = queue.pop()
-            near = np.bitwise_count(fps ^ x).sum(1, dtype=np.int32) <= distance
+            near = _differing(fps, queue.pop()) <= distance
             if near.any():
-                got, words = ids[near], fps[near]
+                out += [(i, root) for i in ids[near]]
+                queue += list(fps[near])
                 ids, fps = ids[~near], fps[~near]
-                out += [(i, y) for y in got]
-                queue += list(zip(got, words))
     return out
 
 
+def _differing(fps: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps ^ other).sum(1, dtype=np.int32)
+
+
+def _across(ids: np.ndarray, fps: np.ndarray, linked: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """For each row that isn't `linked` an edge to the first linked row within the distance."""
+    done, out = fps[linked], []
+    for i, x in zip(ids[~linked], fps[~linked]) if linked.any() else ():
+        near = _differing(done, x) <= distance
+        if near.any():
+            out.append((i, ids[linked][near.argmax()]))
+    return out
+
+
+KEYS = ("key", "i", "j")  # a group's key and the cell in it; i is -1 - its row where done ones are met
+
+
 def _groups(distance: int):
-    """Over batches of (c, k, i, j, node, words of its fingerprint ...) sorted by the first
-    four: the forest edges of each group."""
+    """Over batches of (key, i, j, linked, node, words of its fingerprint ...) sorted by those
+    up to node: the edges of each cell."""
 
     def edges(table: pa.Table):
-        cols = [table.column(i).to_numpy() for i in range(table.num_columns)]
-        ids, fps = cols[4], np.stack(cols[5:], 1).view(np.uint64)  # signed words would count bits of absolute values
+        cols = [table.column(i).to_numpy(zero_copy_only=False) for i in range(table.num_columns)]
+        rows, linked, ids, fps = cols[1], cols[3], cols[4], np.stack(cols[5:], 1).view(np.uint64)  # signed words would count bits of absolute values
         new = np.ones(len(ids), bool)
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in cols[:4]])
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in cols[:3]])
         at = np.nonzero(new)[0]
         size = np.diff(np.append(at, len(ids)))
-        two = at[size == 2]
+        plain = (size == 2) & (rows[at] >= 0)
+        two = at[plain]
         near = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1, dtype=np.int32) <= distance]
-        us, vs = [ids[near]], [ids[near + 1]]
-        for s, n in zip(at[size > 2], size[size > 2]):
-            found = _forest(ids[s : s + n], fps[s : s + n], distance)
+        us, vs = [ids[near + 1]], [ids[near]]
+        for s, n in zip(at[(size > 1) & ~plain], size[(size > 1) & ~plain]):
+            part = slice(s, s + n)
+            found = _forest(ids[part], fps[part], distance) if rows[s] >= 0 else _across(ids[part], fps[part], linked[part], distance)
             us.append(np.array([x for x, _ in found], np.int64))
             vs.append(np.array([y for _, y in found], np.int64))
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -120,7 +150,7 @@ def _groups(distance: int):
             table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
             if not table.num_rows:
                 continue
-            keys = [table.column(i).to_numpy() for i in range(4)]
+            keys = [table.column(i).to_numpy() for i in range(3)]
             same = np.logical_and.reduce([k == k[-1] for k in keys])
             cut = int(np.nonzero(~same)[0][-1]) + 1 if not same.all() else 0
             rest = table.slice(cut)
@@ -132,30 +162,69 @@ def _groups(distance: int):
     return run
 
 
+def _dealt(rest: DataFrame, linked: DataFrame, key: str, size: Column, tile: int) -> DataFrame:
+    """Cells of what is left of the groups: rest (key, node, near) against itself, and its near
+    rows against `linked` (key, node).  `size` weighs a row; a cell holds about 2 * tile of it.
+    Each side is dealt in ceil(weight / tile) chunks by a hash of the node."""
+    chunks = lambda df, name: df.groupBy(key).agg(F.ceil(F.sum(size) / F.lit(tile)).cast("int").alias(name))
+    chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    more = [c for c in rest.columns if c not in (key, "node", "near")]
+    own = rest.join(chunks(rest, "t"), key).withColumn("own", chunk("t")).withColumn("other", every("t"))
+    own = own.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(False).alias("linked"), "node", *more)
+    near = rest.where("near")
+    of_near, of_linked = chunks(near, "t"), chunks(linked.join(near.select(key).distinct(), key, "left_semi"), "d")
+    left = near.join(of_near, key).join(of_linked, key).select(key, (-1 - chunk("t")).alias("i"), every("d").alias("j"), F.lit(False).alias("linked"), "node", *more)
+    right = linked.join(of_near, key).join(of_linked, key).select(key, chunk("d").alias("j"), every("t").alias("i"), "node", *more)
+    right = right.select(key, (-1 - F.col("i")).alias("i"), "j", F.lit(True).alias("linked"), "node", *more)
+    return own.unionByName(left).unionByName(right)
+
+
 def links(keyed: DataFrame, words: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
-    """(u, v), u > v: spanning edges of the links among nodes that share a key.  keyed: c and
-    k (which blocks, and what they hold) and node; words: node and the words of its
-    fingerprint, which are joined to the rows of shared keys only."""
-    shared = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    met = keyed.join(shared, ["c", "k"]).withColumn("t", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    met = met.select("c", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    met = met.join(words, "node").select("c", "k", "i", "j", "node", *(x for x in words.columns if x != "node"))
-    met = met.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j", "node")  # the smallest are roots: fewer distinct edges
-    return met.mapInArrow(_groups(distance), "u long, v long").distinct()
+    """(u, v), u > v: spanning edges of the links among nodes that share a key.  keyed: key and
+    node; words: node and the words of its fingerprint, which are joined to the rows of shared
+    keys only."""
+    names = [x for x in words.columns if x != "node"]
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "keys")
+    cells = keyed.join(shared.where(F.col("n") <= tile).select("key"), "key").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("linked"), "node")
+    hot = shared.where(F.col("n") > tile)
+    direct = None
+    if not hot.isEmpty():
+        pivots = hot.join(words.withColumnRenamed("node", "pivot"), "pivot").select("key", "pivot", *(F.col(x).alias(f"p{x}") for x in names))
+        far = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p{x}"))) for x in names), F.lit(0))
+        met = keyed.join(pivots, "key").where("node <> pivot").join(words, "node")
+        met = stored(met.select("key", "node", "pivot", far.cast("int").alias("far")), "hot")
+        done, rest = met.where(F.col("far") <= distance), met.where(F.col("far") > distance)
+        direct = done.select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+        rest = rest.select("key", "node", (F.col("far") <= 2 * distance).alias("near"))
+        cells = cells.unionByName(_dealt(rest, done.select("key", "node"), "key", F.lit(1), tile))
+    cells = cells.join(words, "node").select(*KEYS, "linked", "node", *names)
+    cells = cells.repartition(*KEYS).sortWithinPartitions(*KEYS, "linked", "node")
+    found = cells.mapInArrow(_groups(distance), "u long, v long")
+    return (found if direct is None else found.union(direct)).distinct()
 
 
 def block_keys(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """keyed for links(), of nodes with 64-bit fingerprints fp: a row for each choice of blocks."""
     masks = block_masks(distance, blocks)
-    choice = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks))))
-    return nodes.select("node", choice.alias("key")).select("key.c", "key.k", "node")
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+    return nodes.select("node", F.explode(keys).alias("key"))
+
+
+def thinned(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Edges (u, v), u > v, of the same components and about as many as nodes: each round ties
+    a node's smaller neighbours to the smallest of them.  No join; a node's window holds its
+    smaller neighbours only, of which links() makes one for each key and cell."""
+    for _ in range(rounds):
+        least = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        both = least.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = both.select("e.u", "e.v").where("u > v").distinct()
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node reachable, for the nodes that edges have."""
-    now = stored(edges.select("u", "v").where("u <> v"), "edges")
+    """(node, comp): the smallest node reachable, for the nodes that edges (u > v) have."""
+    now = stored(thinned(edges.select("u", "v").where("u <> v")), "edges")
     mark = None
     while True:
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -216,16 +285,44 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())]), "<u8"))
 
 
-def wide_fingerprint(hashes: np.ndarray, bits: int = 2048) -> bytes:
+_FIELDS = tuple(np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F))
+
+
+def _added(rows: np.ndarray, field: int, times: int) -> list[np.ndarray]:
+    """The even and the odd fields (1 << field bits) of rows of words, each widened to twice the
+    bits and added up over `times` rows at a time, as many as can't overflow."""
+    n, out = -(-len(rows) // times), []
+    for shift in (0, 1 << field):
+        part = (rows >> np.uint64(shift)) & _FIELDS[field]
+        total = part[:n].copy()
+        for k in range(1, times):
+            more = part[k * n : (k + 1) * n]
+            total[: len(more)] += more
+        out.append(total)
+    return out
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows of words have each bit set.  Bits come in the order of the fields."""
+    out = []
+    for pairs in _added(rows, 0, 3):
+        for nibbles in _added(pairs, 1, 5):
+            for shift in (0, 4):
+                part = (nibbles >> np.uint64(shift)) & _FIELDS[2]
+                out.append(sum(part[k : k + 17].sum(0, dtype=np.uint64).view(np.uint8).astype(np.int64) for k in range(0, len(part), 17)))
+    return np.concatenate(out)
+
+
+def wide_fingerprint(hashes: np.ndarray, bits: int = 4096) -> bytes:
     """As fingerprint(), of a set of shingles, over bits made from each XXH64 by a mixing step."""
+    salt = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
     counts = np.zeros(bits, np.int64)
-    salt = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(0, len(hashes), 4096):
-        z = hashes[k : k + 4096, None] + salt
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        counts += np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    for k in range(0, len(hashes), 1020):
+        z = hashes[k : k + 1020, None] * salt
+        z ^= z >> np.uint64(32)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(29)
+        counts += bit_counts(z)
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
@@ -236,65 +333,110 @@ def allowed_bits(similarity: float, bits: int, deviations: float = 6) -> int:
     return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
+def _common(flat: np.ndarray, sizes: np.ndarray, members: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """How many of `members` each of the sets laid end to end in flat has."""
+    mark[members] = True
+    out = np.add.reduceat(mark[flat], np.cumsum(sizes) - sizes, dtype=np.int64)
+    mark[members] = False
+    return out
+
+
 def exact_forest(nodes: np.ndarray, sizes: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among sets of that Jaccard similarity and more.
-    flat: the members of all sets, one after the other."""
+    """As _forest(), among sets of that Jaccard similarity and more.  nodes: ascending; flat:
+    the members of all sets, one after the other."""
     out = []
     flat = np.unique(flat, return_inverse=True)[1]
     mark = np.zeros(int(flat.max()) + 1 if len(flat) else 0, bool)
     while len(nodes):
-        queue = [(nodes[0], flat[: sizes[0]])]
+        root, queue = nodes[0], [flat[: sizes[0]]]
         nodes, flat, sizes = nodes[1:], flat[sizes[0] :], sizes[1:]
         while queue and len(nodes):
-            u, members = queue.pop()
-            mark[members] = True
-            common = np.add.reduceat(mark[flat], np.cumsum(sizes) - sizes, dtype=np.int64)
-            mark[members] = False
+            members = queue.pop()
+            common = _common(flat, sizes, members, mark)
             near = common / (sizes + len(members) - common) >= similarity
             if near.any():
-                got = np.split(flat[np.repeat(near, sizes)], np.cumsum(sizes[near])[:-1])
-                out += [(u, v) for v in nodes[near]]
-                queue += list(zip(nodes[near], got))
+                queue += np.split(flat[np.repeat(near, sizes)], np.cumsum(sizes[near])[:-1])
+                out += [(v, root) for v in nodes[near]]
                 nodes, flat, sizes = nodes[~near], flat[np.repeat(~near, sizes)], sizes[~near]
     return out
 
 
+def exact_across(nodes: np.ndarray, sizes: np.ndarray, flat: np.ndarray, linked: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """As _across(), among sets."""
+    out = []
+    if linked.any() and not linked.all():
+        flat = np.unique(flat, return_inverse=True)[1]
+        mark = np.zeros(int(flat.max()) + 1, bool)
+        done, n, ids = flat[np.repeat(linked, sizes)], sizes[linked], nodes[linked]
+        ends = np.cumsum(sizes)
+        for k in np.nonzero(~linked)[0]:
+            common = _common(done, n, flat[ends[k] - sizes[k] : ends[k]], mark)
+            near = common / (n + sizes[k] - common) >= similarity
+            if near.any():
+                out.append((nodes[k], ids[near.argmax()]))
+    return out
+
+
 def _exact_groups(similarity: float):
-    """Over batches of (k, i, j, node, set) sorted by the first three: forest edges of each group."""
+    """Over batches of (comp, i, j, linked, node, set) sorted by those up to node: edges of each cell."""
 
-    def edges(nodes: list, sets: list) -> pa.RecordBatch:
-        found = exact_forest(np.array(nodes, np.int64), np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets), similarity)
+    def edges(across: bool, linked: list, nodes: list, sets: list) -> pa.RecordBatch:
+        parts = np.array(nodes, np.int64), np.fromiter(map(len, sets), np.int64, len(sets)), np.concatenate(sets)
+        found = exact_across(*parts, np.array(linked), similarity) if across else exact_forest(*parts, similarity)
         u, v = (np.array([e[x] for e in found], np.int64) for x in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     def run(batches):
-        at, nodes, sets = None, [], []
+        at, held = None, ([], [], [])
         for batch in batches:
             keys = zip(*(batch.column(x).to_pylist() for x in range(3)))
-            for key, node, held in zip(keys, batch.column(3).to_pylist(), batch.column(4)):
-                if key != at and nodes:
-                    yield edges(nodes, sets)
-                    nodes, sets = [], []
+            for key, linked, node, members in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+                if key != at and held[0]:
+                    yield edges(at[1] < 0, *held)
+                    held = ([], [], [])
                 at = key
-                nodes.append(node)
-                sets.append(np.frombuffer(held.as_py(), "<u8"))
-        if nodes:
-            yield edges(nodes, sets)
+                for x, value in zip(held, (linked, node, np.frombuffer(members.as_py(), "<u8"))):
+                    x.append(value)
+        if held[0]:
+            yield edges(at[1] < 0, *held)
 
     return run
 
 
+def _jaccard(batches):
+    """(node, comp, size, alike) of (node, comp, set, the component's smallest node's set)."""
+    for batch in batches:
+        sizes, alike = [], []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(z.as_py() or b"", "<u8") for z in (x, y))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            sizes.append(len(x))
+            alike.append(common / max(len(x) + len(y) - common, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(alike, pa.float64())], names=["node", "comp", "size", "alike"])
+
+
 def exact_links(groups: DataFrame, sets: DataFrame, similarity: float, tile: int = 1 << 20) -> DataFrame:
     """(u, v), u > v: spanning edges of the links of that Jaccard similarity and more among the
-    nodes of a group.  groups: node and comp; sets: node, members (8 bytes each).  A group of
-    over `tile` members is dealt in tiles, as in links()."""
-    met = groups.join(sets, "node").where("length(members) > 0")
-    total = met.groupBy("comp").agg(F.ceil(F.sum(F.length("members")) / F.lit(8 * tile)).cast("int").alias("t"))
-    met = met.join(total, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    met = met.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "members")
-    met = met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    return met.mapInArrow(_exact_groups(similarity), "u long, v long").distinct()
+    nodes of a group.  groups: node and comp, its smallest node; sets: node, members (8 bytes
+    each).  Each node is compared with its group's smallest one, the pivot; only what
+    isn't linked to it goes on to cells, as in links(), of about 2 * tile members each.  The
+    Jaccard distance is a metric too."""
+    sets = sets.where("length(members) > 0")
+    pivot = groups.where("node = comp").join(sets, "node").select("comp", F.col("members").alias("other"))
+    pairs = groups.where("node <> comp").join(sets, "node").join(pivot, "comp", "left").select("node", "comp", "members", "other")
+    judged = stored(pairs.mapInArrow(_jaccard, "node long, comp long, size long, alike double"), "judged")
+    done, rest = judged.where(F.col("alike") >= similarity), judged.where(F.col("alike") < similarity)
+    direct = done.select(F.col("node").alias("u"), F.col("comp").alias("v"))
+    near = F.col("alike") >= 2 * similarity - 1 - 1e-9
+    # a group whose one other node is neither linked nor near to anything has no more pairs
+    more = rest.groupBy("comp").agg(F.count("*").alias("n"), F.max(near).alias("near")).where("n > 1 OR near").select("comp")
+    rest = rest.join(more, "comp", "left_semi").select("comp", "node", "size", near.alias("near"))
+    if rest.isEmpty():
+        return direct
+    cells = _dealt(rest, done.select("comp", "node", "size"), "comp", F.col("size"), tile)
+    cells = cells.join(sets, "node").select("comp", "i", "j", "linked", "node", "members")
+    cells = cells.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "linked", "node")
+    return cells.mapInArrow(_exact_groups(similarity), "u long, v long").union(direct).distinct()
 
 
 def text_hash(text: str | Column = "text") -> Column:
@@ -302,36 +444,41 @@ def text_hash(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 2048, block: int = 24, verified: int = 512) -> DataFrame:
+def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 4096, block: int = 24, verified: int = 512) -> DataFrame:
     """doc_id, mark (text_hash()) and comp of each row: rows share comp if a chain of pairs
     of that Jaccard similarity of their shingle sets links them.
 
     Nodes are distinct shingle sets.  At a similarity of 0.8 some 15 % of the bits differ,
-    which 64 bits can't tell apart by blocks.  A fingerprint of 2048 bits split into 85 blocks
-    of 24 bits shares one for sure if it differs in up to 84 bits, and with a chance of
-    1 - (1 - 0.85^24)^85 = 82 % at the very threshold, 99.9 % at a similarity of 0.9; the
-    first `verified` bits then sort out most others.  Unrelated fingerprints meet in a block
-    with a chance of 2^-24.  What is left are groups of candidates: their texts are read
-    again, and within each group every pair is judged by its sets themselves."""
+    which 64 bits can't tell apart by blocks.  A fingerprint of 4096 bits split into 170 blocks
+    of 24 bits shares one for sure if it differs in up to 169 bits, and with a chance of
+    1 - (1 - 0.85^24)^170 = 97 % at the very threshold, 99.9 % from a similarity of 0.83 on; the
+    first `verified` bits, with six standard deviations allowed, then sort out most others.
+    Unrelated fingerprints meet in a block with a chance of 2^-24.  What is left are groups
+    of candidates: their texts are read again and judged by their sets themselves.
+
+    block: whole bytes.  An empty table gives an empty table."""
+    step = block // 8
     n_blocks, n_words = bits // block, verified // 64
 
     def run(ids: list, texts: list) -> dict:
         import xxhash
 
         sets = [shingle_set(t, width) for t in texts]
-        raw = [wide_fingerprint(s, bits) for s in sets]
-        every = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), bits // 8), axis=1)[:, : n_blocks * block]
-        keys = every.reshape(len(raw), n_blocks, block).astype(np.int32) @ (1 << np.arange(block, dtype=np.int32))
-        words = np.frombuffer(b"".join(r[: verified // 8] for r in raw), "<i8").reshape(len(raw), n_words)
+        raw = np.frombuffer(b"".join(wide_fingerprint(s, bits) for s in sets), np.uint8).reshape(len(sets), bits // 8)
+        cut = raw[:, : n_blocks * step].reshape(len(sets), n_blocks, step)
+        keys = np.arange(n_blocks, dtype=np.int64) << block  # the block's number, and what it holds
+        for k in range(step):
+            keys = keys | (cut[:, :, k].astype(np.int64) << (8 * k))
+        words = np.ascontiguousarray(raw[:, : 8 * n_words]).view("<i8")
         signed = lambda values: np.fromiter(values, np.uint64, len(texts)).view(np.int64)
         return {"doc_id": ids, "mark": signed(xxhash.xxh64_intdigest(t or "", 42) for t in texts), "node": signed(xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), "keys": list(keys), "words": list(words)}
 
     def members(nodes: list, texts: list) -> dict:
         return {"node": nodes, "members": [shingle_set(t, width).tobytes() for t in texts]}
 
-    rows = stored(by_document(docs, run, "doc_id long, mark long, node long, keys array<int>, words array<long>"), "wide")
-    nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
-    keyed = nodes.select(F.posexplode("keys").alias("c", "k"), "node")
+    rows = stored(by_document(docs, run, "doc_id long, mark long, node long, keys array<long>, words array<long>"), "wide")
+    nodes = stored(rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("words").alias("words")), "nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     words_of = nodes.select("node", *(F.col("words")[i].alias(f"w{i}") for i in range(n_words)))
     loose = stored(components(links(keyed, words_of, allowed_bits(similarity, verified))), "groups")
     one = rows.join(loose.select("node"), "node").groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("row"))

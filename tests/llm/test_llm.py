@@ -275,6 +275,56 @@ def test_exact_forest_equals_brute_force():
         assert {(a, b) for a in range(25) for b in range(25) if want[a] == want[b]} == {(a, b) for a in range(25) for b in range(25) if have[a] == have[b]}
 
 
+def merged_by(pairs, n):
+    label = list(range(n))
+    for a, b in pairs:
+        label = [label[b] if x == label[a] else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("tile", [1 << 20, 30])
+def test_exact_links_equal_brute_force(spark, tile):
+    rnd = random.Random(21)
+    base, other = rnd.sample(range(300), 20), rnd.sample(range(300), 20)
+    sets = [sorted({x if rnd.random() < 0.95 else rnd.randrange(300) for x in (base if k % 3 else other)}) for k in range(40)] + [[]]
+    shipped(spark)
+    groups = spark.createDataFrame([(k, 0 if k < 30 else 30) for k in range(41)], "node long, comp long")
+    members = spark.createDataFrame([(k, bytearray(np.array(x, "<u8").tobytes())) for k, x in enumerate(sets)], "node long, members binary")
+    got = [tuple(r) for r in simhash.exact_links(groups, members, 0.8, tile).collect()]
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    want = [(a, b) for a in range(40) for b in range(a) if (a < 30) == (b < 30) and alike(sets[a], sets[b])]
+    assert set(got) <= set(want) | {(a, b) for a in range(40) for b in range(a) if merged_by(want, 41)[a] == merged_by(want, 41)[b]}
+    have, wish = merged_by(got, 41), merged_by(want, 41)
+    assert all((have[a] == have[b]) == (wish[a] == wish[b]) for a in range(41) for b in range(a))
+
+
+def test_bit_counts():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 14, 255, 256, 1020):
+        rows = rng.integers(0, 1 << 63, (n, 4), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (n, 4), dtype=np.uint64)
+        assert sorted(simhash.bit_counts(rows)) == sorted(np.unpackbits(rows.view(np.uint8), axis=1).sum(0))
+
+
+@pytest.mark.parametrize("tile", [4096, 10])
+def test_edges_are_few_and_do_not_depend_on_order(spark, tile):
+    """A cluster of near copies that meets in many keys: about an edge for each node goes on."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(22)
+    base = [rnd.randrange(1 << 24) for _ in range(85)]
+    keys = [(k, (c << 24) + (x if rnd.random() < 0.6 else rnd.randrange(1 << 24))) for k in range(300) for c, x in enumerate(base)]
+    words = spark.createDataFrame([(k, rnd.getrandbits(20)) for k in range(300)], "node long, w0 long")
+    shipped(spark)
+    found = []
+    for _ in range(2):
+        rnd.shuffle(keys)
+        edges = simhash.links(spark.createDataFrame(keys, "node long, key long").repartition(5), words.orderBy(F.rand()), 20, tile)
+        found.append(sorted(map(tuple, edges.collect())))
+    assert found[0] == found[1]
+    assert simhash.thinned(spark.createDataFrame(found[0], "u long, v long")).count() < 700
+    assert {r["comp"] for r in simhash.components(spark.createDataFrame(found[0], "u long, v long")).collect()} == {0}
+
+
 # 5 -- URLs
 
 
