@@ -11,16 +11,25 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH_KEY, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 BATCH = 2000  # rows of an Arrow batch; Spark's own default suits short rows, not documents
 
 
+def local_dir(spark: SparkSession) -> str:
+    """A temporary folder of this machine, for local sessions only: on a cluster other machines
+    can't see it, so spark.checkpoint.dir must name a shared one."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tessellate-")
+
+
 def shipped(spark: SparkSession) -> None:
     """Gives the executors this package, once for each SparkContext: they need not have it
     installed.  The archive is written to the folder in spark.checkpoint.dir, which driver and
-    executors share; to a temporary one only where that is unset (local sessions).  Bounds the
-    rows of a batch that a Python worker holds."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # not chosen by the user
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    executors share; to a temporary one only in a local session where that is unset.  Bounds
+    the rows of a batch that a Python worker holds, unless the session sets such a bound."""
+    if spark.conf.get(_BATCH_KEY, None) == _DEFAULT and _BATCH_KEY not in {k for k, _ in spark.sparkContext.getConf().getAll()}:
+        spark.conf.set(_BATCH_KEY, BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_tessellate_shipped", False):
         return
@@ -29,7 +38,7 @@ def shipped(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted((root / "tessellate").rglob("*.py")):
             z.write(f, f.relative_to(root))
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{local_dir(spark)}"
     place = f"{top.rstrip('/')}/tessellate_{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}.zip"
     path = sc._jvm.org.apache.hadoop.fs.Path(place)
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
