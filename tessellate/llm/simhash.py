@@ -14,6 +14,9 @@ within 2d of the pivot can be linked to those, and it is compared with them in c
 TILE by TILE; what is left is compared with itself in such cells.  So a group of copies costs
 one row for each, and no task holds an unbounded group.
 
+The keys of a few blocks are joined first, and their stars taken; of the other keys only those
+are read whose nodes are not yet all in one star, and only edges between stars are emitted.  So a large group of copies is settled by a few of its keys.
+
 Components come from alternating large-star and small-star rounds over tables in the shared
 folder, after two rounds without a join that leave about one edge for each node: a node has
 at most one smaller neighbour for each key and cell, so a window over those is bounded.
@@ -45,6 +48,7 @@ SHINGLE = 3
 DISTANCE = 3
 BLOCKS = 6
 TILE = 4096
+NUMBER = 54  # bits of a key below the number of its choice of blocks (of 512 at most)
 BATCH = 1 << 17  # shingles hashed at once
 
 
@@ -89,8 +93,8 @@ def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
 
 
 def _forest(ids: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """(node, root) of each tree of a spanning forest of the links among rows (ids, ascending;
-    fps: rows of words); its root is the tree's smallest node."""
+    """(label, root) of each tree of a spanning forest of the links among rows (ids: labels,
+    ascending; fps: rows of words); its root is the tree's smallest label."""
     out = []
     while len(ids):
         root, queue, ids, fps = ids[0], [fps[0]], ids[1:], fps[1:]
@@ -121,8 +125,8 @@ KEYS = ("key", "i", "j")  # a group's key and the cell in it; i is -1 - its row
 
 
 def _groups(distance: int):
-    """Over batches of (key, i, j, linked, node, words of its fingerprint ...) sorted by those
-    up to node: the edges of each cell."""
+    """Over batches of (key, i, j, linked, label, words of a fingerprint ...) sorted by those
+    up to label: the edges of each cell, between labels."""
 
     def edges(table: pa.Table):
         cols = [table.column(i).to_numpy(zero_copy_only=False) for i in range(table.num_columns)]
@@ -141,6 +145,7 @@ def _groups(distance: int):
             us.append(np.array([x for x, _ in found], np.int64))
             vs.append(np.array([y for _, y in found], np.int64))
         u, v = np.concatenate(us), np.concatenate(vs)
+        u, v = u[u != v], v[u != v]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     def run(batches):
@@ -180,34 +185,55 @@ def _dealt(rest: DataFrame, linked: DataFrame, key: str, size: Column, tile: int
     return own.unionByName(left).unionByName(right)
 
 
-def links(keyed: DataFrame, words: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
-    """(u, v), u > v: spanning edges of the links among nodes that share a key.  keyed: key and
-    node; words: node and the words of its fingerprint, which are joined to the rows of shared
-    keys only."""
+def links(met: DataFrame, words: DataFrame, distance: int, tile: int = TILE, labels: DataFrame | None = None) -> DataFrame:
+    """(u, v), u > v: spanning edges of the links among nodes that share a key.  met: key and
+    node; words: node and the words of its fingerprint.  With labels (node, comp), each
+    the smallest node known to be of a node's component, edges are between labels, and keys
+    of a single one are left out."""
     names = [x for x in words.columns if x != "node"]
-    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "keys")
-    cells = keyed.join(shared.where(F.col("n") <= tile).select("key"), "key").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("linked"), "node")
-    hot = shared.where(F.col("n") > tile)
-    direct = None
+    known = labels is not None
+    if known:
+        met = met.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("label"))
+    else:
+        met = met.withColumn("label", F.col("node"))
+    keys = met.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("label", "node"))["node"].alias("pivot"))
+    keys = stored(keys.where("lo < hi"), "keys")
+    cells = met.join(keys.where(F.col("n") <= tile).select("key"), "key").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("linked"), "node", "label")
+    hot, direct = keys.where(F.col("n") > tile), None
     if not hot.isEmpty():
-        pivots = hot.join(words.withColumnRenamed("node", "pivot"), "pivot").select("key", "pivot", *(F.col(x).alias(f"p{x}") for x in names))
-        far = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p{x}"))) for x in names), F.lit(0))
-        met = keyed.join(pivots, "key").where("node <> pivot").join(words, "node")
-        met = stored(met.select("key", "node", "pivot", far.cast("int").alias("far")), "hot")
-        done, rest = met.where(F.col("far") <= distance), met.where(F.col("far") > distance)
-        direct = done.select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-        rest = rest.select("key", "node", (F.col("far") <= 2 * distance).alias("near"))
-        cells = cells.unionByName(_dealt(rest, done.select("key", "node"), "key", F.lit(1), tile))
-    cells = cells.join(words, "node").select(*KEYS, "linked", "node", *names)
-    cells = cells.repartition(*KEYS).sortWithinPartitions(*KEYS, "linked", "node")
+        pivots = hot.join(words.withColumnRenamed("node", "pivot"), "pivot").select("key", "pivot", "lo", *(F.col(x).alias(f"p{x}") for x in names))
+        far = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p{x}"))) for x in names), F.lit(0)).cast("int")
+        each = met.join(pivots, "key").join(words, "node").withColumn("far", far).withColumn("done", (F.col("far") <= distance) | (F.col("label") == F.col("lo")))
+        each = stored(each.where("node <> pivot OR done").select("key", "node", "label", "lo", "far", "done"), "hot")
+        direct = each.where((F.col("far") <= distance) & (F.col("label") > F.col("lo"))).select(F.col("label").alias("u"), F.col("lo").alias("v"))
+        # what is done by its label alone may lie anywhere, so all that is left is near it
+        near = F.lit(True) if known else F.col("far") <= 2 * distance
+        cells = cells.unionByName(_dealt(each.where("NOT done").select("key", "node", "label", near.alias("near")), each.where("done").select("key", "node", "label"), "key", F.lit(1), tile))
+    cells = cells.join(words, "node").select(*KEYS, "linked", "label", *names)
+    cells = cells.repartition(*KEYS).sortWithinPartitions(*KEYS, "linked", "label")
     found = cells.mapInArrow(_groups(distance), "u long, v long")
     return (found if direct is None else found.union(direct)).distinct()
 
 
+EARLY = 6  # blocks whose keys are joined first
+
+
+def clusters(keyed: DataFrame, words: DataFrame, distance: int, early: Column, tile: int = TILE) -> DataFrame:
+    """(node, comp): the smallest node reachable by links among nodes that share a key, for the
+    nodes that have any.  keyed: key and node; early: whether a key is joined first."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = stored(keyed.join(shared, "key").select("key", "node"), "met")
+    now = stored(_starred(thinned(links(met.where(early), words, distance, tile))), "edges")
+    first = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))  # of one component, if not yet the whole
+    later = links(met.where(~early), words, distance, tile, first)
+    return components(now.union(later))
+
+
 def block_keys(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """keyed for links(), of nodes with 64-bit fingerprints fp: a row for each choice of blocks."""
+    """keyed for clusters(), of nodes with 64-bit fingerprints fp: a row for each choice of
+    blocks.  A key is a hash with the number of the choice on top."""
     masks = block_masks(distance, blocks)
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+    keys = F.array(*(F.shiftrightunsigned(F.xxhash64(F.col("fp").bitwiseAND(F.lit(m))), 10).bitwiseOR(F.lit(i << NUMBER)) for i, m in enumerate(masks)))
     return nodes.select("node", F.explode(keys).alias("key"))
 
 
@@ -222,21 +248,27 @@ def thinned(edges: DataFrame, rounds: int = 2) -> DataFrame:
     return edges
 
 
+def _starred(now: DataFrame) -> DataFrame:
+    """Edges after a large-star and a small-star round."""
+    both = now.union(now.select("v", "u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))  # small star: u > v holds
+    each = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+    return large.join(least, "u").select(each.alias("e")).select("e.u", "e.v").where("u > v").distinct()
+
+
+def _is_starred(now: DataFrame) -> bool:
+    """Whether each node is either a centre or has one neighbour, which is a centre."""
+    ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, for the nodes that edges (u > v) have."""
     now = stored(thinned(edges.select("u", "v").where("u <> v")), "edges")
-    mark = None
-    while True:
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark or not new[0]:
-            break
-        mark = new
-        both = now.union(now.select("v", "u"))  # large star
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))  # small star: u > v holds
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct()
-        old, now = now, stored(small, "edges")
+    while not _is_starred(now):
+        old, now = now, stored(_starred(now), "edges")
         dropped(old)
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return pairs.union(pairs.select("comp", "comp").distinct())
@@ -264,8 +296,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = stored(fingerprints(docs), "fingerprints")
     nodes = _nodes(fps)
-    edges = links(block_keys(nodes, distance, blocks), nodes.select("node", F.col("fp").alias("w0")), distance)
-    return _named(fps, nodes, components(edges)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = clusters(block_keys(nodes, distance, blocks), nodes.select("node", F.col("fp").alias("w0")), distance, F.col("key") < EARLY << NUMBER)
+    return _named(fps, nodes, found).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -313,7 +345,7 @@ def bit_counts(rows: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def wide_fingerprint(hashes: np.ndarray, bits: int = 4096) -> bytes:
+def wide_fingerprint(hashes: np.ndarray, bits: int = 3456) -> bytes:
     """As fingerprint(), of a set of shingles, over bits made from each XXH64 by a mixing step."""
     salt = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
     counts = np.zeros(bits, np.int64)
@@ -444,14 +476,14 @@ def text_hash(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 4096, block: int = 24, verified: int = 512) -> DataFrame:
+def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 3456, block: int = 24, verified: int = 512) -> DataFrame:
     """doc_id, mark (text_hash()) and comp of each row: rows share comp if a chain of pairs
     of that Jaccard similarity of their shingle sets links them.
 
     Nodes are distinct shingle sets.  At a similarity of 0.8 some 15 % of the bits differ,
-    which 64 bits can't tell apart by blocks.  A fingerprint of 4096 bits split into 170 blocks
-    of 24 bits shares one for sure if it differs in up to 169 bits, and with a chance of
-    1 - (1 - 0.85^24)^170 = 97 % at the very threshold, 99.9 % from a similarity of 0.83 on; the
+    which 64 bits can't tell apart by blocks.  A fingerprint of 3456 bits split into 144 blocks
+    of 24 bits shares one for sure if it differs in up to 143 bits, and with a chance of
+    1 - (1 - 0.85^24)^144 = 95 % at the very threshold, 99 % at 0.84 and 99.9 % at 0.86; the
     first `verified` bits, with six standard deviations allowed, then sort out most others.
     Unrelated fingerprints meet in a block with a chance of 2^-24.  What is left are groups
     of candidates: their texts are read again and judged by their sets themselves.
@@ -459,6 +491,7 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits:
     block: whole bytes.  An empty table gives an empty table."""
     step = block // 8
     n_blocks, n_words = bits // block, verified // 64
+    kind = "int32" if n_blocks << block <= 1 << 32 else "int64"  # unsigned
 
     def run(ids: list, texts: list) -> dict:
         import xxhash
@@ -466,21 +499,22 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits:
         sets = [shingle_set(t, width) for t in texts]
         raw = np.frombuffer(b"".join(wide_fingerprint(s, bits) for s in sets), np.uint8).reshape(len(sets), bits // 8)
         cut = raw[:, : n_blocks * step].reshape(len(sets), n_blocks, step)
-        keys = np.arange(n_blocks, dtype=np.int64) << block  # the block's number, and what it holds
+        keys = np.arange(n_blocks, dtype=np.int64) << block  # the block's number above what it holds
         for k in range(step):
             keys = keys | (cut[:, :, k].astype(np.int64) << (8 * k))
         words = np.ascontiguousarray(raw[:, : 8 * n_words]).view("<i8")
         signed = lambda values: np.fromiter(values, np.uint64, len(texts)).view(np.int64)
-        return {"doc_id": ids, "mark": signed(xxhash.xxh64_intdigest(t or "", 42) for t in texts), "node": signed(xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), "keys": list(keys), "words": list(words)}
+        return {"doc_id": ids, "mark": signed(xxhash.xxh64_intdigest(t or "", 42) for t in texts), "node": signed(xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), "keys": list(keys.astype(kind)), "words": list(words)}
 
     def members(nodes: list, texts: list) -> dict:
         return {"node": nodes, "members": [shingle_set(t, width).tobytes() for t in texts]}
 
-    rows = stored(by_document(docs, run, "doc_id long, mark long, node long, keys array<long>, words array<long>"), "wide")
-    nodes = stored(rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("words").alias("words")), "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    wide = stored(by_document(docs, run, f"doc_id long, mark long, node long, keys array<{'int' if kind == 'int32' else 'long'}>, words array<long>"), "wide")
+    rows = stored(wide.select("doc_id", "mark", "node"), "rows")
+    nodes = stored(wide.groupBy("node").agg(F.first("keys").alias("keys"), F.first("words").alias("words")), "nodes")
+    dropped(wide)
     words_of = nodes.select("node", *(F.col("words")[i].alias(f"w{i}") for i in range(n_words)))
-    loose = stored(components(links(keyed, words_of, allowed_bits(similarity, verified))), "groups")
+    loose = stored(clusters(nodes.select("node", F.explode("keys").alias("key")), words_of, allowed_bits(similarity, verified), F.shiftrightunsigned("key", block) < EARLY), "groups")
     one = rows.join(loose.select("node"), "node").groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("row"))
     texts = id_text(docs).withColumn("mark", text_hash()).withColumnRenamed("doc_id", "id")
     met = texts.join(one, (F.col("mark") == F.col("row.mark")) & F.col("id").eqNullSafe(F.col("row.doc_id")))
