@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shipped, spread
+from ..session import local_dir, shipped, spread
 
 ROWS = 1000  # documents that a function of by_document() gets at once
 
@@ -26,14 +25,14 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the
-    session; one of our own only where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; in a
+    local session, where that may be unset, one of our own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if top:
         return top.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessellate-"))
+        sc.setCheckpointDir(local_dir(spark))
     return sc.getCheckpointDir().rstrip("/")
 
 
@@ -81,9 +80,13 @@ def by_document(docs: DataFrame, fn: Callable[[list, list], dict], schema: str,
     return id_text(docs).mapInArrow(run, spark_schema)
 
 
+LONGEST = 128  # characters of a key that is remembered
+
+
 class Remembered(dict):
-    """A bounded memo: when it holds `most` entries they become the old ones, and of those
-    only what is asked for again is kept."""
+    """A memo of bounded size: when it holds `most` entries they become the old ones, and of
+    those only what is asked for again is kept.  Keys of over LONGEST characters are not
+    remembered, so texts without spaces take no room."""
 
     def __init__(self, most: int):
         super().__init__()
@@ -97,6 +100,8 @@ class Remembered(dict):
         return value
 
     def put(self, key, value) -> None:
+        if len(key) > LONGEST:
+            return
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

@@ -1,31 +1,39 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-The normaliser (space to U+2581, one in front), the pieces and the byte fallback are
-compiled into one transducer: a trie whose final nodes emit a piece, and for a character
-that is no piece an arc that emits its bytes.  Each input is composed with it and the
-shortest path of the tropical semiring (least cost, costs add up) gives the pieces.
+Normaliser, pieces and byte fallback are compiled into one transducer over the characters
+of raw texts.  The normaliser (space to U+2581, one in front) is composed into the arcs: an
+arc that reads U+2581 also reads a space, and the one in front is an arc that reads
+nothing.  Pieces are the paths of a trie; arcs that lead from each node to where its longest
+suffix goes on let one pass over a text meet every piece that ends at each place.  A character
+that is no piece is read by an arc that emits its bytes.
+
+Each input is composed with it, and the shortest path of the tropical semiring (costs add up
+along a path, the least counts) gives the pieces: place by place, the least of the costs to
+where an arriving arc begins plus the arc's own.
 
 Unigram models: an arc costs minus its piece's log probability, so the shortest path is
 the model's segmentation.  BPE models: merging is not a sum of costs, but it is regular.
 A sequence of pieces is what the merges make if and only if this holds of each
 two neighbours alone, so the transducer's states remember the last piece and an arc costs
-1 if the pair is stable under the merges and infinity otherwise; exactly one path is
-finite, and at each position at most one state is.  Stable pairs are found when first
-met and remembered.
+nothing if the pair is stable under the merges and infinity otherwise.  The pieces of a text's
+beginning are what the merges make of it, so exactly one arc to each place is finite, and the
+first found is the least.  A pair is stable if nothing merges across its boundary while both
+sides grow, which is read off the merges that made each; stable pairs are remembered.
 
 If no piece has U+2581 after another character, no path crosses from one such chunk to
 the next but at a state that any arc can leave, so chunks are composed one by one and
-remembered (a bounded number of them).
+remembered (a bounded number of at most LONGEST characters).
 
 Defined cases: null and empty texts have no pieces; a literal U+2581 reads as a space, as
-in the library; runs without spaces take time in proportion to length; null ids pass
-through; other columns are ignored.  Models with a character map or user-defined symbols
-are refused.
+in the library; runs without spaces take time in proportion to length; repeated rows are each
+encoded; null ids pass through; other columns are ignored; an empty table gives an empty
+table.  Models with a character map or user-defined symbols are refused.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -62,30 +70,51 @@ class Transducer:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.worst = min(self.score.values()) - UNK_PENALTY
-        # the trie: for each node its arcs by character, and the piece it emits or -1
+        if self.merges and any(c not in self.ids for piece in self.ids for c in piece):
+            raise NotImplementedError("pieces with characters that are no pieces")
+        self._compile()
+        whole = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
+        gap, word = f"[ {SPACE}]", f"[^ {SPACE}]"
+        self.chunks = re.compile(f"{word}+" if self.squeeze else "(?s:.+)" if whole else f"{gap}*{word}+|{gap}+")
+        self.whole = whole
+        self.pairs = 0  # remembered in the arcs
+        self.spines: dict[int, tuple] = {}
+        self.known = Remembered(CACHE)
+        self.out = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(self.names, self.kinds)]
+
+    def _compile(self) -> None:
+        """Nodes of the machine: arcs by character, where to go on if none fits (the node of the
+        longest proper suffix), and the arcs that end there, longest first: (characters, piece,
+        pieces it is known to be stable after, pieces it is known not to be)."""
+        self.sizes = list(map(len, self.names))
+        self.arriving = [(n, i, set(), set()) for i, n in enumerate(self.sizes)]
         self.arcs: list[dict[str, int]] = [{}]
-        self.emits = [-1]
+        own = [-1]
         for piece, i in self.ids.items():
             node = 0
             for c in piece:
                 if c not in self.arcs[node]:
                     self.arcs[node][c] = len(self.arcs)
                     self.arcs.append({})
-                    self.emits.append(-1)
+                    own.append(-1)
                 node = self.arcs[node][c]
-            self.emits[node] = i
-        # for each piece its length and the longest other piece that it begins with
-        self.sizes = list(map(len, self.names))
-        self.shorter = [-1] * len(self.names)
-        for piece, i in self.ids.items():
-            self.shorter[i] = next((self.ids[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.ids), -1)
-        if self.merges and any(c not in self.ids for piece in self.ids for c in piece):
-            raise NotImplementedError("pieces with characters that are no pieces")
-        whole = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
-        self.chunks = re.compile(f"(?s:.+)" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.pairs: dict[int, bool] = {}
-        self.known = Remembered(CACHE)
-        self.out = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(self.names, self.kinds)]
+            own[node] = i
+        self.back, self.ends = [0] * len(self.arcs), [()] * len(self.arcs)
+        level = [0]
+        while level:
+            below = []
+            for node in level:
+                for c, to in self.arcs[node].items():
+                    at = self.back[node]
+                    while at and c not in self.arcs[at]:
+                        at = self.back[at]
+                    self.back[to] = at = self.arcs[at].get(c, 0) if node else 0
+                    self.ends[to] = (self.arriving[own[to]], *self.ends[at]) if own[to] >= 0 else self.ends[at]
+                    below.append(to)
+            level = below
+        for arcs in self.arcs:  # the normaliser
+            if SPACE in arcs:
+                arcs[" "] = arcs[SPACE]
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: best score first, then leftmost."""
@@ -100,103 +129,139 @@ class Transducer:
                 return part
             part[at : at + 2] = [part[at] + part[at + 1]]
 
+    def spine(self, piece: int) -> tuple:
+        """Of the merges that make a piece by itself: what its last character belongs to from merge
+        to merge, and likewise its first, each with its score; None if they don't make it, or
+        if a merge has a better score than one before it."""
+        got = self.spines.get(piece)
+        if got is None:
+            part = list(self.names[piece])
+            right, left, before, sound = [(part[-1], _INF)], [(part[0], _INF)], _INF, True
+            while len(part) > 1:
+                scores = [self.score.get(x + y, -_INF) for x, y in zip(part, part[1:])]
+                best = max(scores)
+                if best == -_INF or best > before:
+                    sound = False
+                    break
+                before, at = best, scores.index(best)
+                part[at : at + 2] = [part[at] + part[at + 1]]
+                if part[-1] != right[-1][0]:
+                    right.append((part[-1], best))
+                if part[0] != left[-1][0]:
+                    left.append((part[0], best))
+            got = self.spines[piece] = (right, left) if sound else (None, None)
+        return got
+
     def stable(self, a: int, b: int) -> bool:
-        """a: -1 at the start of a path or after bytes, where nothing can merge."""
-        key = a * len(self.names) + b
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            parts = [self.names[b]] if a < 0 else [self.names[a], self.names[b]]
-            ok = self.pairs[key] = self.merged("".join(parts)) == parts
-        return ok
+        """Whether the merges leave pieces a and b as they are, side by side.  a: -1 at the start
+        of a path or after bytes, where nothing can merge."""
+        _, _, yes, no = self.arriving[b]
+        if a not in yes and a not in no:
+            if self.pairs >= PAIRS:
+                for _, _, *sets in self.arriving:
+                    for x in sets:
+                        x.clear()
+                self.pairs = 0
+            self.pairs += 1
+            (yes if self._apart(a, b) else no).add(a)
+        return a in yes
+
+    def _apart(self, a: int, b: int) -> bool:
+        left = self.spine(b)[1]
+        if a < 0 or left is None:
+            return a < 0 and left is not None or self.merged(("" if a < 0 else self.names[a]) + self.names[b]) == [self.names[x] for x in (a, b) if x >= 0]
+        right = self.spine(a)[0]
+        if right is None:
+            return self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
+        i = j = 0
+        while True:
+            of_a = right[i + 1][1] if i + 1 < len(right) else -_INF
+            of_b = left[j + 1][1] if j + 1 < len(left) else -_INF
+            across = self.score.get(right[i][0] + left[j][0])
+            if across is not None and across > of_a and across >= of_b:  # of equal merges the leftmost is first
+                return False
+            if of_a == of_b == -_INF:
+                return True
+            if of_a >= of_b:
+                i += 1
+            else:
+                j += 1
 
     def shortest(self, text: str) -> list[int]:
-        return self._only(text) if self.merges else self._least(text)
-
-    def _only(self, text: str) -> list[int]:
-        """The one finite path of a BPE model, found depth first, longest arcs first.  All
-        finite paths to a place are one, so a place that leads nowhere is never tried again."""
-        n, arcs, emits, pairs, shorter, sizes, width = len(text), self.arcs, self.emits, self.pairs, self.shorter, self.sizes, len(self.names)
-        path: list[tuple[int, int]] = []  # (place where it begins, piece or -1 for bytes)
-        dead: set[int] = set()
-        at, last = 0, -1
-        while at < n:
-            node, j, p = 0, at, -1
-            while j < n and (node := arcs[node].get(text[j], 0)):
-                j += 1
-                if (e := emits[node]) >= 0:
-                    p = e
-            if p < 0:  # no piece begins here: bytes
-                path.append((at, -1))
-                at, last = at + 1, -1
-                continue
-            while True:
-                if p < 0:  # nothing fits: back, and on with the arc before's next shorter one
-                    dead.add(at)
-                    at, p = path.pop()
-                    last = path[-1][1] if path else -1
-                    p = shorter[p] if p >= 0 else -1
-                    continue
-                end = at + sizes[p]
-                if end not in dead:
-                    ok = pairs.get(last * width + p)
-                    if ok or (ok is None and self.stable(last, p)):
-                        path.append((at, p))
-                        at, last = end, p
-                        break
-                p = shorter[p]
+        """The pieces on the shortest path that reads text."""
+        last = (self._stable_path if self.merges else self._least_path)(text)
         out: list[int] = []
-        for i, p in path:
+        j = len(text)
+        while j:
+            p = last[j]
             if p >= 0:
                 out.append(p)
+                j -= self.sizes[p]
+            else:
+                j -= 1
+                out += self._fallback(SPACE if text[j] == " " else text[j])[::-1]
+        return out[::-1]
+
+    def _stable_path(self, text: str) -> list[int]:
+        """For each place the piece that arrives there at finite cost (-1: bytes)."""
+        arcs, back, ends, stable = self.arcs, self.back, self.ends, self.stable
+        last, node = [-1], 0
+        for c in text:
+            while (to := arcs[node].get(c)) is None and node:
+                node = back[node]
+            node = to or 0
+            for size, p, yes, no in ends[node]:
+                q = last[-size]  # where the arc begins
+                if q in yes or (q not in no and stable(q, p)):
+                    last.append(p)
+                    break
             else:
-                out += self._fallback(text[i])
-        return out
+                last.append(-1)
+        return last
+
+    def _least_path(self, text: str) -> list[int]:
+        """For each place the piece of the arc on its path of least cost (-1: bytes)."""
+        cost, last, node = [0.0], [-1], 0
+        for c in text:
+            while (to := self.arcs[node].get(c)) is None and node:
+                node = self.back[node]
+            node = to or 0
+            least, by, plain = _INF, -1, False
+            for size, p, _, _ in self.ends[node]:
+                plain |= size == 1
+                if (w := cost[-size] - self.score[self.names[p]]) <= least:  # of equal paths that of shorter pieces
+                    least, by = w, p
+            if not plain and (w := cost[-1] - self.worst) < least:
+                least, by = w, -1
+            cost.append(least)
+            last.append(by)
+        return last
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unknown]
 
-    def _least(self, text: str) -> list[int]:
-        """The path of least cost of a unigram model, by dynamic programming."""
-        n = len(text)
-        cost, last, arc = [_INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        for i in range(n):
-            node, j, plain = 0, i, False
-            while j < n and (node := self.arcs[node].get(text[j], 0)):
-                j += 1
-                if (p := self.emits[node]) >= 0:
-                    plain |= j == i + 1
-                    if (c := cost[i] - self.score[self.names[p]]) < cost[j]:
-                        cost[j], last[j], arc[j] = c, p, i
-            if not plain and (c := cost[i] - self.worst) < cost[i + 1]:
-                cost[i + 1], last[i + 1], arc[i + 1] = c, -1, i
-        path, j = [], n
-        while j:
-            path.append((arc[j], last[j]))
-            j = arc[j]
-        out: list[int] = []
-        for i, p in reversed(path):
-            out += [p] if p >= 0 else self._fallback(text[i])
-        return out
-
-    def normalised(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.replace(SPACE, " ")).strip(" ")
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+    def composed(self, text: str) -> list[str]:
+        """The chunks of a raw text that the machine reads one by one, with the normaliser's space
+        in front."""
+        if not self.squeeze:
+            return self.chunks.findall(" " + text if self.prefix else text)
+        words = self.chunks.findall(text)
+        out = [f" {w}" for w in words]
+        if out and not self.prefix:
+            out[0] = words[0]
+        return ["".join(out)] if self.whole and out else out
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        chunks = self.chunks.findall(self.normalised(text))
+        chunks = self.composed(text)
         got = list(map(self.known.get, chunks))
         if None in got:
             for i, x in enumerate(got):
                 if x is None:
                     c = chunks[i]
                     if (x := self.known.get(c)) is None and (x := self.known.older(c)) is None:
-                        x = np.array(self.shortest(c), np.int32).tobytes()
+                        x = array("i", self.shortest(c)).tobytes()
                         self.known.put(c, x)
                     got[i] = x
         return np.frombuffer(b"".join(got), np.int32)
