@@ -8,12 +8,15 @@ the id), counted on the executors.  The model is `BUCKETS` x languages numbers a
 scripts seen with each language, whatever the input's size.
 
 A word's score for a language is the mean log share of its n-grams, scaled by the square
-root of its letters; languages never seen with the word's script get a floor instead.
-The Viterbi steps run over many documents at once.
+root of its letters; languages never seen with the word's script are out of the question
+(minus infinity) where another was seen with it.  The Viterbi steps run over many documents
+at once.
 
 Defined cases: a null text or one without a letter is `und` with score 0; a word of a
 script unseen in training keeps all languages; ties go to the first language in sorted
-order; null ids pass through; other columns are ignored; whole texts are labelled.
+order; null ids pass through; repeated rows are each labelled; other columns are ignored; an
+empty table gives an empty table; whole texts are labelled, and a run of over LONGEST letters
+is scored anew each time, so that texts without spaces take no room in a worker's memory.
 """
 
 from __future__ import annotations
@@ -32,11 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_document, shipped
+from .common import LONGEST, by_document, shipped
 
 BUCKETS = 1 << 16
 PENALTY = 6.0  # log units that a change of language costs
-FLOOR = -12.0
 PER_LANG, MAX_DOCS, PARTS = 1000, 12_000, 100
 CACHE = 1 << 17
 TOKENIZED, HELD = 500, 1 << 22  # documents, scores
@@ -101,7 +103,7 @@ class Model:
         for kind in set(kinds):
             if kind in self.scripts and not self.scripts[kind].all():
                 rows = np.array([x == kind for x in kinds])
-                out[np.ix_(rows, ~self.scripts[kind])] = FLOOR
+                out[np.ix_(rows, ~self.scripts[kind])] = -np.inf
         return out * size[:, None].astype(np.float32)
 
 
@@ -213,7 +215,7 @@ class Scores:
 
     def of(self, docs: list[list[str]]) -> np.ndarray:
         new = set(chain.from_iterable(docs)).difference(self.known)
-        if len(self.known) + len(new) > CACHE and self.known:
+        if len(self.table) + len(new) > CACHE and self.known:
             self.known, self.table = {}, self.table[:0]
             new = set(chain.from_iterable(docs))
         fresh = sorted(new)
@@ -221,6 +223,9 @@ class Scores:
         if fresh:
             self.table = np.concatenate([self.table, self.model.vectors(fresh)])
         ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(docs)), np.int64)
+        for word in fresh:
+            if len(word) > LONGEST:
+                del self.known[word]
         return self.table[ids]
 
 
