@@ -3,7 +3,8 @@
 A page whose url a rule fits takes the longest such rule's verdict.  For the others the
 host decides: personalised PageRank carries trust from the hosts of allowed pages along
 host edges, and distrust from the hosts of blocked pages along the reversed edges; a
-host is blocked if distrust makes up over `threshold` of the two.
+host is blocked if distrust makes up over `threshold` of the two.  The seeds of each kind are a
+distribution over its hosts by pages, so neither kind weighs more for having more pages.
 
 Edges: the hosts that a host's pages link to (absolute and protocol-relative href values),
 weighted by links, and with `parents` an edge of weight 1 each way between a host and its
@@ -11,8 +12,8 @@ parent domain where the table has both.  Edges are summed by host pair before an
 a hot host costs one row for each partner.  Mass at hosts without out-edges is dropped.
 Steps are made until no host's mass, however small, has grown by over TOLERANCE of itself in
 EVERY steps, so all hosts that mass can reach are reached; masses pass through tables in the
-shared folder.  Verdicts compare unrounded masses; a tie, to MARGIN, is allowed.  The SQL can't
-iterate so: it makes ROUNDS steps, and its masses differ from these where there are edges.
+shared folder.  Verdicts compare unrounded masses; a tie, to MARGIN, is allowed.  The SQL makes
+STEPS steps by a recursive query, beyond which masses differ by less than is shown.
 
 Defined cases: a null url or one without `://` has empty host and path; an empty host has
 neither edges nor scores and is allowed; a host that no mass reaches is allowed; a null html
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import dropped, stored
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
-TOLERANCE, EVERY, MARGIN = 1e-6, 8, 1e-9
+DAMPING, STEPS, THRESHOLD = 0.85, 200, 0.5
+TOLERANCE, EVERY, MARGIN = 1e-9, 8, 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -113,6 +114,8 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
     name, verdict = ruled(rules)
     rows = parsed(pages).withColumn("rule", name).withColumn("by_rule", verdict)
     seeds = rows.where("by_rule IS NOT NULL AND host <> ''").groupBy(F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("mass"))
+    totals = F.broadcast(seeds.groupBy("kind").agg(F.sum("mass").alias("all")))  # two rows at most
+    seeds = seeds.join(totals, "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass"))
     mass = propagated(host_edges(pages, parents), seeds, damping, tolerance)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)).alias(kind)
     scores = mass.groupBy("host").agg(of("trust"), of("distrust"))
@@ -122,7 +125,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
 
 
-def oracle(rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
+def oracle(rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, damping: float = DAMPING, steps: int = STEPS) -> str:
     """judged() in DuckDB's SQL."""
     cases = {"name": "", "verdict": ""}
     for r in sorted(rules, key=lambda r: -len(r.name)):
@@ -130,14 +133,12 @@ def oracle(rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, dampin
         cases["name"] += f"{fits} THEN '{r.name}' "
         cases["verdict"] += f"{fits} THEN '{r.verdict}' "
     host = f"translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}')"
-    steps = ["mass0 AS (SELECT * FROM seeds)"]
-    for k in range(rounds):
-        steps.append(f"mass{k + 1} AS (SELECT kind, host, sum(mass) AS mass FROM (SELECT kind, host, mass * {1 - damping} AS mass FROM seeds UNION ALL SELECT w.kind, w.dst, m.mass * w.share * {damping} FROM mass{k} m JOIN ways w ON w.kind = m.kind AND w.src = m.host) GROUP BY ALL)")
     link = LINK.replace("'", "''")
-    return f"""WITH cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    return f"""WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, html, coalesce({host}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
 marked AS (SELECT page_id, host, path, CASE {cases["name"]} END AS rule, CASE {cases["verdict"]} END AS by_rule FROM parts),
-seeds AS (SELECT CASE WHEN by_rule = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*)::DOUBLE AS mass FROM marked WHERE by_rule IS NOT NULL AND host <> '' GROUP BY ALL),
+pages_of AS (SELECT CASE WHEN by_rule = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM marked WHERE by_rule IS NOT NULL AND host <> '' GROUP BY ALL),
+seeds AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS mass FROM pages_of),
 hosts AS (SELECT DISTINCT host FROM parts WHERE host <> ''),
 up AS (SELECT host AS src, substr(host, instr(host, '.') + 1) AS dst FROM hosts WHERE instr(host, '.') > 0),
 known AS (SELECT src, dst FROM up WHERE dst IN (SELECT host FROM hosts)),
@@ -145,7 +146,8 @@ raw AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}',
 edges AS (SELECT src, dst, count(*) AS n FROM (SELECT * FROM raw WHERE src <> dst UNION ALL SELECT src, dst FROM known UNION ALL SELECT dst, src FROM known) GROUP BY ALL),
 both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
 ways AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways),
-{", ".join(steps)},
-scores AS (SELECT host, round(coalesce(sum(mass) FILTER (kind = 'trust'), 0), 6) AS trust, round(coalesce(sum(mass) FILTER (kind = 'distrust'), 0), 6) AS distrust FROM mass{rounds} GROUP BY host)
-SELECT page_id, m.host AS host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > {threshold} * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+sent AS (SELECT 0 AS step, kind, host, mass * {1 - damping} AS mass FROM seeds
+UNION ALL SELECT any_value(s.step) + 1, s.kind, w.dst, sum(s.mass * w.share * {damping}) FROM sent s JOIN ways w ON w.kind = s.kind AND w.src = s.host WHERE s.step < {steps} GROUP BY s.kind, w.dst),
+scores AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust FROM sent GROUP BY host)
+SELECT page_id, m.host AS host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > {threshold * (1 + MARGIN)} * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust
 FROM marked m LEFT JOIN scores s ON s.host = m.host"""
