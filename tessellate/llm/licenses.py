@@ -11,7 +11,8 @@ that lie on word bounds; each exact place holds every seed, so candidates includ
 
 Defined cases: null and empty texts have no word and no label, score 0; ties between
 matches of equal edits go to the earliest; null ids pass through; other columns are
-ignored; whole texts of any length are searched.
+ignored; repeated rows are each searched; an empty table gives an empty table; whole texts of
+any length are searched.
 """
 
 from __future__ import annotations

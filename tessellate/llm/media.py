@@ -10,7 +10,8 @@ the anchor's frame.
 Defined cases: null and empty texts give a payload of 64 zero bytes; a constant signal
 of whole frames has no peak and an empty fingerprint; equal texts give equal values, as each text is
 transformed by itself and in blocks of a fixed size; null ids pass through; columns
-other than doc_id and text are ignored; an empty table gives an empty table.
+other than doc_id and text are ignored; an empty table gives an empty table; repeated rows
+are each transformed, and a long text BLOCK frames at a time.
 """
 
 from __future__ import annotations
@@ -91,9 +92,9 @@ def pairs_of(peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order], c[order]
 
 
-def media_columns(docs: DataFrame, arrays: bool = True) -> DataFrame:
-    """doc_id, media (WAV), times and codes (time-coded fingerprint arrays), and digests
-    of the stored form.  arrays=False leaves media, times and codes out."""
+def media_columns(docs: DataFrame, stored_form: bool = True) -> DataFrame:
+    """doc_id, times and codes (time-coded fingerprint arrays), digests of the payload read
+    back and of the stored form, and with stored_form that form itself, media (WAV)."""
 
     def run(ids: list, texts: list) -> dict:
         cols: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_peaks", "n_pairs", "feature", "media", "times", "codes")}
@@ -109,5 +110,5 @@ def media_columns(docs: DataFrame, arrays: bool = True) -> DataFrame:
                 cols[k].append(v)
         return {"doc_id": ids} | cols
 
-    wide = ", media binary, times array<int>, codes array<int>" if arrays else ""
+    wide = ", times array<int>, codes array<int>" + (", media binary" if stored_form else "")
     return by_document(docs, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_peaks long, n_pairs long, feature string" + wide)

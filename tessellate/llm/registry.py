@@ -42,7 +42,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(load(spark, sf_dir, "documents"), arrays=False)
+    return media.media_columns(load(spark, sf_dir, "documents"), stored_form=False)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ end of the text comes first, over the header and base64 lines that follow.  Span
 whole match.
 
 Defined cases: null and empty texts have no span; a failing match still takes up its
-text, as in a search; null ids pass through; other columns are ignored; one text is in
-memory at a time per batch row, whatever its length.
+text, as in a search; null ids pass through; repeated rows are each scanned; other columns are
+ignored; an empty table gives an empty table; one text is in memory at a time per batch
+row, whatever its length.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ of such files, its added tokens cut out of a text first (its default), no begin
 tokens, no truncation or padding.
 
 Defined cases: null and empty texts have 0 tokens; runs of any length are merged with a
-heap, in n log n time; null ids pass through; other columns are ignored.
+heap, in n log n time, and not remembered if they are long; null ids pass through; repeated
+rows are each counted; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
