@@ -1,19 +1,24 @@
-"""A content-addressed cache of answers as a table: key, text, citations, abstained.
+"""Content-addressed caches of answers and verdicts as tables: key, values, run.
 
-The key is the SHA-256 of everything an answer depends on and nothing else: schema and
+The key is the SHA-256 of everything a value depends on and nothing else: schema and
 generator version, settings, case, question, stage and the ordered context.  Resuming is an
-anti-join; only the misses reach the service, once for each distinct key.
+anti-join; only the misses reach the service, once for each distinct key.  Values are stored
+as they come, `every` keys at a time, so a failure loses no more than those.  Nothing is ever
+overwritten: a run that doesn't resume asks anew and its records, being newer, count.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "key string, text string, citations array<string>, abstained boolean"
+SCHEMA = "key string, text string, citations array<string>, abstained boolean, run long"
+VERDICTS = "key string, supported boolean, run long"
+EVERY = 100  # keys that are asked for and stored at once
 
 
 def keyed(rows: DataFrame, version: str, settings: dict) -> DataFrame:
@@ -29,26 +34,67 @@ def misses(rows: DataFrame, cache: DataFrame) -> DataFrame:
 
 def checked(cache: DataFrame) -> DataFrame:
     """The cache, or an error if a record lacks a part."""
-    bad = cache.where("key IS NULL OR length(key) <> 64 OR text IS NULL OR citations IS NULL OR abstained IS NULL OR exists(citations, c -> c IS NULL)")
-    if not bad.isEmpty():
-        raise RuntimeError("the answer cache holds an invalid record; remove it or generate afresh")
+    parts = [c for c in cache.columns if c not in ("key", "run")]
+    bad = F.col("key").isNull() | (F.length("key") != 64)
+    for c in parts:
+        bad |= F.col(c).isNull() | (F.exists(c, F.isnull) if cache.schema[c].dataType.typeName() == "array" else F.lit(False))
+    if not cache.where(bad).isEmpty():
+        raise RuntimeError("the cache holds an invalid record; remove it or ask afresh elsewhere")
     return cache
 
 
-def answered(rows: DataFrame, generate: Callable[[DataFrame], DataFrame], path: str, version: str, settings: dict, resume: bool = True) -> DataFrame:
-    """rows with `answer`, made for the misses only, written to the cache at path before any
-    use, so no retry or re-plan calls the service again for a written key."""
-    spark = rows.sparkSession
-    rows = keyed(rows, version, settings)
-    empty = spark.createDataFrame([], SCHEMA)
+def newest(cache: DataFrame) -> DataFrame:
+    """Of each key the record of its latest run."""
+    values = [c for c in cache.columns if c not in ("key", "run")]
+    latest = cache.groupBy("key").agg(F.max_by(F.struct(*values), F.coalesce("run", F.lit(0))).alias("r"))
+    return latest.select("key", *(F.col("r")[c].alias(c) for c in values))
+
+
+def _read(spark, path: str, schema: str) -> DataFrame:
     try:
-        cache = checked(spark.read.schema(SCHEMA).parquet(path)) if resume else empty
-        cache.isEmpty()
+        found = spark.read.schema(schema).parquet(path)
+        found.isEmpty()
+        return found
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        cache = empty
-    new = generate(misses(rows, cache)).select("key", "answer.text", "answer.citations", "answer.abstained")
-    new.write.mode("append" if resume else "overwrite").parquet(path)
-    known = spark.read.schema(SCHEMA).parquet(path).dropDuplicates(["key"])
+        return spark.createDataFrame([], schema)
+
+
+def remembered(rows: DataFrame, ask: Callable[[DataFrame], DataFrame], path: str, schema: str, resume: bool = True, every: int = EVERY, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """(key, values) of the keys of rows.  ask: gets rows that lack a value, one for each key,
+    and returns them with the values of schema.  progress(done, all) is told of each part."""
+    spark = rows.sparkSession
+    known = checked(_read(spark, path, schema))
+    left = misses(rows, known if resume else known.where("false")).persist()
+    try:
+        n = left.count()
+        parts, run, done = -(-n // every), time.time_ns(), 0
+        values = [c.split()[0] for c in schema.split(", ")[:-1]]
+        for k in range(parts):
+            # dealt by the key, which is a hash of all it depends on
+            part = left.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k)
+            got = ask(part).select(*values, F.lit(run).alias("run"))
+            got.write.mode("append").parquet(path)
+            done += part.count()
+            if progress:
+                progress(done, n)
+    finally:
+        left.unpersist()
+    return newest(checked(_read(spark, path, schema)))
+
+
+def answered(rows: DataFrame, generate: Callable[[DataFrame], DataFrame], path: str, version: str, settings: dict, resume: bool = True, every: int = EVERY, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """rows with `answer`, made for the misses only, written to the cache at path before any
+    use, so no retry or re-plan calls the service again for a written key."""
+    rows = keyed(rows, version, settings)
+    ask = lambda r: generate(r).select("key", "answer.text", "answer.citations", "answer.abstained")
+    known = remembered(rows, ask, path, SCHEMA, resume, every, progress)
     return rows.join(known, "key").withColumn("answer", F.struct("text", "citations", "abstained")).drop("key", "text", "citations", "abstained")
+
+
+def judged(pairs: DataFrame, ask: Callable[[DataFrame], DataFrame], path: str, settings: dict, resume: bool = True, every: int = EVERY, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """pairs (claim, evidence) with supported, asked for the misses only."""
+    fixed = json.dumps({"schema": 1, "settings": settings}, sort_keys=True)
+    rows = pairs.withColumn("key", F.sha2(F.to_json(F.struct(F.lit(fixed).alias("fixed"), "claim", "evidence")), 256))
+    return rows.join(remembered(rows, ask, path, VERDICTS, resume, every, progress), "key").drop("key")

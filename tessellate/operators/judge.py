@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,6 +40,28 @@ class Judge:
         """pairs: array<struct<claim, evidence array<string>>>."""
         return self.supported(pairs, self.threshold)
 
+    def judged(self, rows: DataFrame, pairs: str, out: str) -> DataFrame:
+        """rows with `out`, a verdict for each of the array `pairs`."""
+        return rows.withColumn(out, self(F.col(pairs)))
+
+
+@dataclass(frozen=True)
+class Asked:
+    """A judge that a service is: verdicts come from a table of distinct pairs."""
+
+    name: str
+    model: str
+    ask: Callable[[DataFrame], DataFrame]  # (claim, evidence) -> the same with supported
+    version: str = "2.0"
+    threshold: None = None
+
+    def judged(self, rows: DataFrame, pairs: str, out: str) -> DataFrame:
+        """As Judge.judged(), of rows (case_id, stage, ...)."""
+        each = rows.select("case_id", "stage", F.posexplode(pairs).alias("pos", "pair")).select("case_id", "stage", "pos", "pair.claim", "pair.evidence")
+        said = self.ask(each.select("claim", "evidence").distinct())
+        lists = each.join(said, ["claim", "evidence"]).groupBy("case_id", "stage").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "supported"))), lambda x: x["supported"]).alias(out))
+        return rows.join(lists, ["case_id", "stage"], "left").withColumn(out, F.coalesce(out, F.array().cast("array<boolean>")))
+
 
 def _lexical(pairs: Column, threshold: float) -> Column:
     """Share of the claim's tokens among those of all evidence; true of an empty claim."""

@@ -7,7 +7,6 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import shipped
 
@@ -40,6 +39,7 @@ def retrieval_summary(rows: DataFrame, ks: tuple[int, ...] = CUTOFFS, *by: str)
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *means, F.avg("rr").alias("mrr"))
 
 
+# Fixed: the order of draws and the places of the bounds, as intervals must agree to the last bit.
 def _interval(values: list[float], n: int, alpha: float, seed: int) -> tuple[float, float]:
     rng = random.Random(seed)
     means = sorted(sum(rng.choice(values) for _ in values) / len(values) for _ in range(n))
@@ -77,10 +77,6 @@ def bootstrap(rows: DataFrame, value: str, order: str, *by: str, n: int = RESAMP
     return means.groupBy(*by).agg(order_.alias("ms")).select(*by, F.get("ms", F.lit(int(alpha / 2 * n))).alias("lo"), F.get("ms", F.lit(int((1 - alpha / 2) * n) - 1)).alias("hi"))
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(order)))
-
-
 def confusion(rows: DataFrame, *by: str, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
     """tp, fp, fn, tn, accuracy, precision and recall (NULL of nothing)."""
     e, p = F.col(expected), F.col(predicted)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer as A
+from ..session import shipped
 from ..sources.jsonl import files
 
 IMPORT_LIMIT = 20 * 1024 * 1024
@@ -24,17 +26,23 @@ REPORT = (
 )
 
 
+def _inside(found: DataFrame, root: str) -> DataFrame:
+    """Files whose resolved place is below root: a link that leads out is left out."""
+    shipped(found.sparkSession)
+    return found.where(F.udf(lambda p: _below(p, root), "boolean")("path"))  # a row is a file
+
+
 def reports(spark: SparkSession, root: str) -> DataFrame:
     """(path, sha256, length, report) of report*.json below root, hidden folders and files
     that hold no report left out, in order of path."""
-    found = files(spark, root, "report*.json")
+    found = _inside(files(spark, root, "report*.json"), root)
     read = found.select("path", "sha256", "length", F.from_json(F.col("content").cast("string"), REPORT).alias("report"))
     return read.where("NOT path RLIKE '/\\\\.' AND report.cases IS NOT NULL AND report.config IS NOT NULL").orderBy("path")
 
 
 def warnings(spark: SparkSession, root: str) -> DataFrame:
     """(path) of files named like reports that are no JSON."""
-    found = files(spark, root, "report*.json").where("NOT path RLIKE '/\\\\.'")
+    found = _inside(files(spark, root, "report*.json"), root).where("NOT path RLIKE '/\\\\.'")
     return found.where(F.json_object_keys(F.col("content").cast("string")).isNull()).select("path")
 
 
@@ -46,7 +54,7 @@ def importable(found: DataFrame) -> DataFrame:
 
 def audits(spark: SparkSession, root: str) -> DataFrame:
     """(sha256, audit): by report; the last path wins."""
-    read = files(spark, root, "audit.json").select("path", F.from_json(F.col("content").cast("string"), AUDIT).alias("audit"))
+    read = _inside(files(spark, root, "audit.json"), root).select("path", F.from_json(F.col("content").cast("string"), AUDIT).alias("audit"))
     kept = read.where((F.col("audit.review_type") == AUDIT_KIND) & F.col("audit.original_report_sha256").isNotNull())
     return kept.groupBy(F.col("audit.original_report_sha256").alias("sha256")).agg(F.max_by("audit", "path").alias("audit"))
 
@@ -55,14 +63,22 @@ def with_audits(found: DataFrame, audited: DataFrame) -> DataFrame:
     return found.join(audited, "sha256", "left")
 
 
+def _below(path: str, root: str) -> bool:
+    """Whether a path lies in a folder once links and dots are resolved; in a store without
+    links (any scheme but file) by name, without dots."""
+    if "://" in path and not path.startswith("file://"):
+        return ".." not in path.split("/") and path.startswith(root.rstrip("/") + "/")
+    place, top = (Path(x.removeprefix("file:").replace("///", "/")).resolve() for x in (path, root))
+    return place != top and place.is_relative_to(top)
+
+
 def evidence(spark: SparkSession, corpus: dict | None, root: str) -> tuple[DataFrame | None, str]:
     """Documents of a report's corpus, and a status; only from below root, and only if the
     bytes are those that were evaluated."""
     path, sha = (corpus or {}).get("path"), (corpus or {}).get("sha256")
     if not path or not sha:
         return None, "Corpus fingerprint unavailable in this report."
-    clean = path.removeprefix("file:")
-    if ".." in clean.split("/") or not clean.startswith(root.removeprefix("file:").rstrip("/") + "/"):
+    if not _below(path, root):
         return None, "Corpus is outside this project; evidence was not loaded."
     try:
         found = files(spark, path).select("sha256", F.col("content").cast("string").alias("text")).first()

@@ -66,5 +66,5 @@ def evaluate(
     found = M.retrieval_rows(cases, ks)
     rows = generate(A.with_context(A.staged(cases, k), docs))
     rows, diagnosed = score(rows, judge, k)
-    settings = {"retriever": retriever, "generator": "extractive", "k": k, "ks": list(ks), "support_judge": judge.name, "scoring_version": judge.version, "support_threshold": judge.threshold, **(config or {})}
+    settings = {"retriever": retriever, "generator": "extractive", "k": k, "ks": list(ks), "support_judge": judge.name, "scoring_version": judge.version, "support_threshold": judge.threshold, "judge_model": getattr(judge, "model", None), **(config or {})}
     return Evaluation(settings, rows, diagnosed, M.retrieval_summary(found, ks), M.retrieval_summary(found, ks, "type"), found, cases)
