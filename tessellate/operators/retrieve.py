@@ -4,6 +4,9 @@ Contract of a retriever: (docs, queries, k) -> (case_id, rank, doc_id, score); d
 doc_id and text, queries has case_id and question.  Only documents that share a term with a
 query are ever joined.  Postings are cut to the queries' terms before they are grouped,
 so what is shuffled follows the hits, not the corpus; only TF-IDF's norms need all terms.
+The corpus is read and cut into words once: each document has a posting of the empty term
+besides, which stands for the document itself, so its number, lengths and document
+frequencies are all sums over the same grouped postings, whose exchange Spark reuses.
 
 Scores are summed in term order and ranked by nine decimals, then by id, so results do not
 depend on partitioning.
@@ -22,18 +25,37 @@ from ..functions import text as T
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, tokens: T.Terms = T.content_tokens, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, tf, dl), of the given terms only if there are any given."""
+WHOLE = ""  # the term of a document as such; no token is empty
+
+
+def _grouped(docs: DataFrame, tokens: T.Terms, terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, dl, tf), of the given terms only if there are any given, and of WHOLE."""
     words = docs.select("doc_id", tokens.kept(F.coalesce("text", F.lit(""))).alias("words"))
-    each = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("word"))
-    each = each.select("doc_id", "dl", tokens.term(F.col("word")).alias("term"))
+    each = words.select("doc_id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(WHOLE))).alias("word"))
+    each = each.select("doc_id", "dl", F.when(F.col("word") == WHOLE, WHOLE).otherwise(tokens.term(F.col("word"))).alias("term"))
     if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "dl")
+        wanted = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(WHOLE)))
+        each = each.join(wanted.distinct(), "term", "left_semi")
+    return each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def postings(docs: DataFrame, tokens: T.Terms = T.content_tokens, terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, dl), of the given terms only if there are any given."""
+    return _grouped(docs, tokens, terms).where(F.col("term") != WHOLE).select("doc_id", "term", "tf", "dl")
+
+
+# The sums below read each grouped column that the joins read, or their exchanges would differ.
+def _posted() -> Column:
+    return F.col("tf") > 0
 
 
 def document_frequencies(found: DataFrame) -> DataFrame:
-    return found.groupBy("term").agg(F.count("*").alias("df"))
+    return found.groupBy("term").agg(F.count_if(_posted()).alias("df"))
+
+
+def _collection(found: DataFrame) -> DataFrame:
+    whole = _posted() & (F.col("term") == WHOLE)
+    return found.agg(F.count_if(whole).alias("n"), F.coalesce(F.nullif(F.avg(F.when(whole, F.col("dl"))), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
 
 
 def collection(docs: DataFrame, tokens: T.Terms = T.content_tokens) -> DataFrame:
@@ -65,8 +87,8 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, tokens: T.Terms = T.content_tokens, k1: float = K1, b: float = B) -> DataFrame:
     asked = queries.select("case_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    found = postings(docs, tokens, asked)
-    one = F.broadcast(collection(docs, tokens))  # a single row
+    found = _grouped(docs, tokens, asked)
+    one = F.broadcast(_collection(found))  # a single row
     tf, dl, norm = F.col("tf"), F.col("dl"), F.col("avgdl")
     weight = bm25_idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / norm))
     hits = asked.join(found, "term").join(document_frequencies(found), "term").crossJoin(one)
@@ -77,20 +99,25 @@ def expanded_bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return bm25(docs, queries, k, T.expanded_tokens)
 
 
-def _vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): L2-normalised (1 + ln tf) idf over the idf's terms."""
-    weighted = counts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = weighted.groupBy(key).agg(F.sqrt(ordered_sum(F.col("term"), F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("w") / F.coalesce(F.nullif("norm", F.lit(0.0)), F.lit(1.0))).alias("weight"))
-
-
 def tfidf(docs: DataFrame, queries: DataFrame, k: int, tokens: T.Terms = T.content_tokens) -> DataFrame:
-    found = postings(docs, tokens)
-    one = F.broadcast(collection(docs, tokens).select("n"))
-    idf = document_frequencies(found).crossJoin(one).select("term", tfidf_idf(F.col("n"), F.col("df")).alias("idf"))
+    """Cosines of L2-normalised (1 + ln tf) idf vectors.  A document's norm and those of its
+    weights that queries ask for come from one grouping."""
+    found = _grouped(docs, tokens)
+    df = document_frequencies(found)
+    one = F.broadcast(df.agg(F.max(F.when(F.col("term") == WHOLE, F.col("df"))).alias("n")))  # a single row
     asked = queries.select("case_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("case_id", "term").agg(F.count("*").alias("tf"))
-    q = _vectors(asked, idf, "case_id").withColumnRenamed("weight", "qw")
-    d = _vectors(found, idf, "doc_id")
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
+    idf = df.join(wanted, "term", "left").crossJoin(one).select("term", tfidf_idf(F.col("n"), F.col("df")).alias("idf"), F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    idf = idf.where(F.col("term") != WHOLE)
+    weight = ((1 + F.log("tf")) * F.col("idf")).alias("w")
+    unit = lambda total: F.coalesce(F.nullif(F.sqrt(total), F.lit(0.0)), F.lit(1.0))
+    # the posting of the document as such drops out, as idf has no such term
+    of_docs = found.join(idf, "term").select("doc_id", "term", weight, "wanted").groupBy("doc_id")
+    of_docs = of_docs.agg(ordered_sum(F.col("term"), F.col("w") * F.col("w")).alias("total"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "w"))).alias("kept"))
+    d = of_docs.select("doc_id", unit(F.col("total")).alias("norm"), F.explode("kept").alias("x")).select("doc_id", "x.term", (F.col("x.w") / F.col("norm")).alias("weight"))
+    q = asked.join(idf, "term").select("case_id", "term", weight)
+    total = q.groupBy("case_id").agg(unit(ordered_sum(F.col("term"), F.col("w") * F.col("w"))).alias("norm"))
+    q = q.join(total, "case_id").select("case_id", "term", (F.col("w") / F.col("norm")).alias("qw"))
     return top(q.join(d, "term").groupBy("case_id", "doc_id").agg(ordered_sum(F.col("term"), F.col("qw") * F.col("weight")).alias("score")), k)
 
 

@@ -85,8 +85,8 @@ def refusal(c: str, version: str = "2.0") -> str:
     return f"regexp_full_match({strip(c)}, {lit('(?i)(?:' + T.REFUSALS[version] + ')')})"
 
 
-def substantive(c: str) -> str:
-    return f"array_to_string(list_filter({sentences(c)}, lambda s: NOT {refusal('s')}), ' ')"
+def substantive(c: str, version: str = "2.0") -> str:
+    return f"array_to_string(list_filter({sentences(c)}, lambda s: NOT {refusal('s', version)}), ' ')"
 
 
 def moved(c: str) -> str:
@@ -112,22 +112,31 @@ per_document("polarity", denies("text"), "negative")
 per_document("fingerprints", "sha256(text)", "sha256")
 SQL["scan_docs"] = f"SELECT doc_id, length(text) AS n, coalesce({strip('text')} = '', true) AS blank FROM documents"
 SQL["dup_ids"] = "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1"
-SQL["fk_missing"] = """WITH named AS (SELECT doc_id AS case_id, unnest([doc_id, doc_id + 1]) AS id FROM labels)
-SELECT case_id, array_to_string(list_sort(list_distinct(list(id))), ',') AS missing FROM named WHERE id NOT IN (SELECT doc_id FROM documents WHERE n_chars % 2 = 0) GROUP BY case_id"""
-SQL["array_domain_checks"] = f"SELECT conv_id, bool_or(coalesce({strip('text')} = '', true)) AS blank, bool_and(role IN ('user', 'assistant', 'system')) AS roles_known FROM conversations GROUP BY conv_id"
+SQL["fk_missing"] = """WITH named AS (SELECT doc_id AS case_id, unnest([doc_id, doc_id * 2]) AS id FROM labels)
+SELECT case_id, array_to_string(list_sort(list_distinct(list(id))), ',') AS missing FROM named WHERE id NOT IN (SELECT doc_id FROM documents) GROUP BY case_id"""
+_BLANK = "coalesce({} = '', true)"
+_DOC_ERROR = f"CASE WHEN {_BLANK.format(strip('id'))} THEN 'Doc.id must be a nonempty string' WHEN {_BLANK.format(strip('title'))} THEN 'Doc.title must be a nonempty string' WHEN {_BLANK.format(strip('text'))} THEN 'Doc.text must be a nonempty string' END"
+SQL["doc_errors"] = f"SELECT doc_id, {_DOC_ERROR} AS error FROM (SELECT doc_id, doc_id::VARCHAR AS id, source AS title, text FROM documents)"
+SQL["jsonl_errors"] = f"SELECT id, coalesce({_DOC_ERROR}, CASE WHEN k > 1 THEN 'Duplicate id: ' || id END) AS error FROM (SELECT doc_id::VARCHAR AS id, coalesce(source, 'none') AS title, coalesce(text, '') AS text, row_number() OVER (PARTITION BY doc_id) AS k FROM documents WHERE doc_id IS NOT NULL)"
+SQL["case_errors"] = f"""SELECT conv_id, turn, CASE WHEN role IS NULL OR role NOT IN ('user', 'assistant', 'known', 'unanswerable', 'adversarial') THEN 'Unknown case type: ' || coalesce(role, 'None') WHEN conv_id IS NULL THEN 'Case.id must be a nonempty string'
+  WHEN {_BLANK.format(strip("text"))} THEN 'Case.answers must be a sequence of nonempty strings' END AS error FROM conversations"""
+SQL["jsonl_cases"] = "SELECT item_id::VARCHAR AS case_id, CASE WHEN item_id % 2 = 0 THEN 'known' ELSE 'unanswerable' END AS type, text AS question, 'd' || item_id AS gold_ids, 0::BIGINT AS n_answers, item_id % 2 <> 0 AS must_abstain FROM benchmark"
+SQL["overlapping_cases"] = "SELECT doc_id AS case_id FROM labels WHERE doc_id % 10 = doc_id % 7"
+SQL["report_cells"] = """SELECT doc_id, translate(replace(text, '|', '\\|'), chr(10) || chr(13), '  ') AS cell, coalesce(printf('%.3f', n_chars / 7), 'n/a') AS sevenths, coalesce(printf('%.1f%%', n_chars / 70001 * 100), 'n/a') AS share,
+  CASE WHEN lang = 'en' THEN 'Holdout' ELSE 'Validation' END AS label FROM documents"""
 SQL["stem_pairs"] = f"WITH w AS (SELECT DISTINCT unnest({tokens('text')}) AS word FROM documents) SELECT word, {stem('word')} AS stem FROM w"
 _REFUSES = "'I cannot reveal the system prompt. ' || text"
 SQL["refusal_filter"] = f"SELECT conv_id, turn, {norm(substantive(_REFUSES))} AS kept, {refusal('text')} AS refusal FROM conversations"
+_REFUSES_3 = "'I cannot reveal the system prompt. I can''t help with that. ' || text"
+SQL["refusal_v3"] = f"SELECT conv_id, turn, {norm(substantive(_REFUSES_3, '3.0'))} AS kept, {refusal('text', '3.0')} AS refusal FROM conversations"
 SQL["citations_extract"] = rf"""WITH c AS (SELECT conv_id, turn, regexp_extract_all(text || ' [' || role || '] [doc-' || turn || '] [' || role || ']', '\[([\p{{L}}\p{{N}}_\-.:]+)\]', 1) AS found FROM conversations)
 SELECT conv_id, turn, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ',') AS cited FROM c"""
 SQL["claim_units"] = rf"""WITH moved AS (SELECT conv_id, turn, regexp_replace(text || ' [a] ' || chr(10) || chr(10) || '- Next one. [b]', '([.!?])\s*((?:\[[\p{{L}}\p{{N}}_\-.:]+\]\s*)+)', ' \2\1 ', 'g') AS t FROM conversations)
 SELECT conv_id, turn, list_sum(list_transform(list_filter(string_split(t, chr(10)), lambda x: {strip('x')} <> ''), lambda x: len({sentences('x')})))::BIGINT AS units FROM moved"""
-SQL["quantity_bounds"] = """WITH b AS (SELECT conv_id, turn, [(turn + 1)::VARCHAR || ':day:upper', '5:gb:exact', conv_id::VARCHAR || ':hour:upper', '7:gb:exact'] AS b FROM conversations)
-SELECT conv_id, turn, array_to_string(list_sort(list_distinct(b)), ',') AS bounds FROM b"""
-SQL["company_resolve"] = """SELECT conv_id, turn, 'Acme Cloud was founded in 1999.|' || CASE WHEN turn % 2 = 0 THEN 'The company has ' || turn || ' offices.|Other Corp has none.' ELSE 'Acme Cloud has ' || turn || ' offices.|That is all.' END AS sentences FROM conversations"""
+SQL["company_resolve"] = """SELECT conv_id, turn, 'Acme Cloud was founded in 1999.|' || CASE WHEN turn % 2 = 0 THEN 'The company has ' || turn || ' offices.|Other Corp has none.' ELSE 'Acme Cloud has ' || turn || ' offices.|That is all.' END || '|' || array_to_string({SENTENCES}, '|') AS sentences FROM conversations""".replace("{SENTENCES}", sentences("text"))
 SQL["membership_relation"] = "SELECT conv_id, turn, turn % 2 = 0 AS member FROM conversations"
 SQL["passage_containment"] = "SELECT item_id AS case_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL"
-SQL["first_cases"] = "SELECT item_id AS case_id, left(text, 60) AS question FROM benchmark ORDER BY item_id LIMIT 7"
+SQL["first_cases"] = "SELECT item_id::VARCHAR AS case_id, text AS question FROM benchmark ORDER BY item_id LIMIT 7"
 
 
 def retrieval(name: str, words=content, expand: bool = False) -> str:
@@ -136,7 +145,7 @@ def retrieval(name: str, words=content, expand: bool = False) -> str:
 {name}_posts AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM {name}_words) GROUP BY doc_id, term),
 {name}_df AS (SELECT term, count(*) AS df FROM {name}_posts GROUP BY term),
 {name}_one AS (SELECT count(*) AS n, coalesce(nullif(avg(len(ws)), 0), 1) AS avgdl FROM {name}_words),
-{name}_asked AS (SELECT item_id AS case_id, unnest(list_distinct({words("left(text, 60)")})) AS term FROM benchmark),
+{name}_asked AS (SELECT item_id AS case_id, unnest(list_distinct({words("text")})) AS term FROM benchmark),
 {name}_scored AS (SELECT case_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM {name}_asked JOIN {name}_posts USING (term) JOIN {name}_df USING (term), {name}_one GROUP BY ALL),
 {name} AS (SELECT * FROM (SELECT case_id, doc_id, score, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {name}_scored WHERE score > 0) WHERE rank <= 5)"""
 
@@ -148,7 +157,7 @@ SQL["doc_len_stats"] = f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM bm2
 SQL["bm25_topk"] = f"WITH {BM25} SELECT case_id, rank, doc_id, round(score, 6) AS score FROM bm25"
 SQL["expanded_bm25_topk"] = f"WITH {retrieval('ex', expanded)} SELECT case_id, rank, doc_id, round(score, 6) AS score FROM ex"
 SQL["tfidf_topk"] = f"""WITH {BM25}, idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM bm25_df, bm25_one),
-q0 AS (SELECT case_id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM (SELECT item_id AS case_id, unnest({content("left(text, 60)")}) AS term FROM benchmark) JOIN idf USING (term) GROUP BY case_id, term),
+q0 AS (SELECT case_id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM (SELECT item_id AS case_id, unnest({content("text")}) AS term FROM benchmark) JOIN idf USING (term) GROUP BY case_id, term),
 d0 AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM bm25_posts JOIN idf USING (term)),
 q AS (SELECT case_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY case_id)) AS w FROM q0),
 d AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM d0),
@@ -163,7 +172,7 @@ bad AS (SELECT case_id, doc_id FROM {name} r WHERE doc_id IN (SELECT doc_id FROM
 golds AS (SELECT case_id, list_sort(list(doc_id)) AS gold_ids FROM gold GROUP BY case_id),
 bads AS (SELECT case_id, list_sort(list(doc_id)) AS forbidden_ids FROM bad GROUP BY case_id),
 ranks AS (SELECT case_id, list(doc_id ORDER BY rank) AS ranked FROM {name} GROUP BY case_id),
-raw AS (SELECT item_id AS case_id, left(text, 60) AS question, substr(text, 31, 30) AS part, coalesce(gold_ids, []) AS gold_ids, coalesce(forbidden_ids, []) AS forbidden_ids, coalesce(ranked, []) AS ranked FROM benchmark LEFT JOIN golds ON golds.case_id = item_id LEFT JOIN bads ON bads.case_id = item_id LEFT JOIN ranks ON ranks.case_id = item_id),
+raw AS (SELECT item_id AS case_id, text AS question, array_to_string(string_split_regex(text, '[[:space:]]+')[-3:], ' ') AS part, coalesce(gold_ids, []) AS gold_ids, coalesce(forbidden_ids, []) AS forbidden_ids, coalesce(ranked, []) AS ranked FROM benchmark LEFT JOIN golds ON golds.case_id = item_id LEFT JOIN bads ON bads.case_id = item_id LEFT JOIN ranks ON ranks.case_id = item_id),
 cases AS (SELECT *, CASE WHEN len(gold_ids) = 0 THEN 'unanswerable' WHEN len(forbidden_ids) > 0 THEN 'adversarial' ELSE 'known' END AS type, len(gold_ids) = 0 AS must_abstain FROM raw)"""
 
 
@@ -184,8 +193,11 @@ SELECT round(max(m) FILTER (i = 51), 6) AS lo, round(max(m) FILTER (i = 1950), 6
 STAGED = f"""{CASES}, staged AS (SELECT *, 'e2e' AS stage, ranked[:3] AS ids FROM cases UNION ALL SELECT *, 'oracle', CASE WHEN len(gold_ids) = 0 THEN ranked[:3] ELSE list_concat(forbidden_ids, gold_ids) END FROM cases)"""
 for _stage in ("e2e", "oracle"):
     SQL[f"{_stage}_context"] = f"WITH {STAGED} SELECT case_id, (i - 1)::BIGINT AS pos, ids[i] AS doc_id FROM (SELECT case_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM staged WHERE stage = '{_stage}')"
-SQL["cache_key"] = f"WITH {STAGED} SELECT case_id, stage, sha256(concat_ws('|', case_id, question, stage, array_to_string(ids, ','))) AS key FROM staged"
-SQL["cache_misses"] = f"WITH {STAGED} SELECT case_id, stage FROM staged WHERE NOT (stage = 'e2e' AND case_id % 2 = 0)"
+_FIXED = lit('{"schema": 1, "settings": {"name": "extractive"}, "version": "1"}')
+SQL["cache_key"] = f"""WITH {STAGED}, c AS (SELECT case_id, stage, question, unnest(ids) AS doc_id, unnest(range(len(ids))) AS pos FROM staged),
+j AS (SELECT case_id, stage, list({{'id': doc_id, 'text': text}} ORDER BY pos) AS context FROM c JOIN documents USING (doc_id) GROUP BY case_id, stage)
+SELECT case_id, stage, sha256(to_json({{'fixed': {_FIXED}, 'case_id': case_id::VARCHAR, 'question': question, 'stage': stage, 'context': coalesce(context, [])}})::VARCHAR) AS key FROM staged LEFT JOIN j USING (case_id, stage)"""
+SQL["cache_misses"] = f"WITH {STAGED} SELECT case_id, stage FROM staged WHERE stage = 'e2e'"
 SQL["prompts"] = f"""WITH {STAGED}, c AS (SELECT case_id, question, unnest(ids) AS doc_id, unnest(range(len(ids))) AS pos FROM staged WHERE stage = 'e2e'),
 j AS (SELECT case_id, string_agg('<source id="' || doc_id || '">' || chr(10) || text || chr(10) || '</source>', chr(10) || chr(10) ORDER BY pos) AS t FROM c JOIN documents USING (doc_id) GROUP BY case_id)
 SELECT case_id, sha256(coalesce(t, '') || chr(10) || chr(10) || 'Question: ' || question) AS prompt_sha256 FROM staged LEFT JOIN j USING (case_id) WHERE stage = 'e2e'"""
@@ -229,10 +241,13 @@ SELECT case_id, diagnosis, citation_ok FROM done"""
 SQL["extractive_answer"] = f"WITH {GRADED} SELECT case_id, stage, answer, abstained FROM graded"
 for _name, _cols in {"answer_correct": "correct", "forbidden_phrase": "forbidden_phrase", "answer_ok": "answer_ok", "citation_valid": "citations_valid", "faithfulness": "round(faithfulness, 6) AS faithfulness", "citation_precision": "citation_precision, cites_gold, cites_forbidden", "citation_ok": "citation_ok"}.items():
     SQL[_name] = f"WITH {GRADED} SELECT case_id, stage, {_cols} FROM graded"
+SQL["cached_answers"] = SQL["extractive_answer"]
 SQL["diagnosis"] = f"WITH {DONE} SELECT case_id, retrieval_hit, diagnosis, oracle_outcome FROM done"
 SQL["outcome_by_type"] = f"WITH {DONE} SELECT type, diagnosis, count(*) AS n FROM done GROUP BY ALL"
-SQL["outcome_counts"] = f"WITH {DONE} SELECT oracle_outcome AS outcome, count(*) AS n, avg((oracle_outcome = 'PASS')::INT) AS pass_rate FROM done GROUP BY ALL"
+SQL["outcome_counts"] = f"WITH {DONE} SELECT type AS path, oracle_outcome AS outcome, count(*) AS n FROM done GROUP BY ALL"
+SQL["pass_rates"] = f"WITH {DONE} SELECT type AS path, round(avg((oracle_outcome = 'PASS')::INT), 6) AS pass_rate, count(*) FILTER (oracle_outcome = 'PASS') AS passes, count(*) AS n FROM done GROUP BY type"
 SQL["e2e_summary"] = f"WITH {DONE} SELECT t.d AS diagnosis, count(done.case_id) AS n FROM (SELECT unnest({array(TAXONOMY)}) AS d) t LEFT JOIN done ON done.diagnosis = t.d GROUP BY t.d"
+SQL["evaluation"] = SQL["e2e_summary"]
 SQL["generation_summary"] = f"WITH {GRADED} SELECT coalesce(type, 'all') AS type, count(*) AS n, round(avg(answer_ok::INT), 6) AS answer_ok, round(avg(abstained::INT) FILTER (must_abstain), 6) AS abstention_accuracy FROM graded WHERE stage = 'oracle' GROUP BY ROLLUP (type)"
 SQL["attribution_summary"] = f"WITH {GRADED} SELECT stage, count(*) AS n_answered, round(avg(faithfulness), 6) AS faithfulness, round(avg(citations_valid::INT), 6) AS citation_validity, round(avg(citation_precision), 6) AS citation_precision, round(avg(citation_ok::INT), 6) AS citation_ok_rate, round(avg(cites_forbidden::INT), 6) AS forbidden_source_cited FROM graded WHERE ok GROUP BY stage"
 _SWEPT = f"{STAGED}, {BEST.removeprefix(STAGED + ', ')}, levels AS (SELECT unnest([0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS threshold)"
@@ -248,14 +263,15 @@ _CELLS = " || ',' || ".join(_LINE.format(c) for c in ("case_id::VARCHAR", "type"
 SQL["csv_export_rows"] = f"WITH {DONE} SELECT case_id AS id, {_CELLS} AS line FROM done"
 SQL["catalog_filter"] = f"WITH {DONE} SELECT case_id AS id, diagnosis AS outcome FROM done WHERE diagnosis <> 'PASS' AND contains(lower(concat_ws(' ', case_id, question, answer)), 'th')"
 SQL["replay_faults"] = f"WITH {CASES} SELECT case_id, 'question changed' AS fault FROM cases WHERE case_id % 3 = 0"
-SQL["audit_join"] = """WITH d AS (SELECT doc_id, sha256(text) AS sha, lang FROM documents), r AS (SELECT sha, max_by(lang, doc_id) AS reviewed FROM d WHERE doc_id % 4 = 0 GROUP BY sha)
-SELECT doc_id, coalesce(reviewed, 'none') AS reviewed FROM d LEFT JOIN r USING (sha)"""
+SQL["audit_join"] = """WITH d AS (SELECT doc_id, sha256(text) AS sha FROM documents), r AS (SELECT sha, max(quality) AS audit FROM d JOIN labels USING (doc_id) GROUP BY sha)
+SELECT doc_id, coalesce(audit, -1)::BIGINT AS reviewed FROM d LEFT JOIN r USING (sha)"""
 SQL["confusion_matrix"] = f"""WITH p AS (SELECT lang, quality = 1 AS e, len({sentences("text")}) >= 5 AS p FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT lang, count(*) AS n, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn, count(*) FILTER (NOT e AND NOT p) AS tn FROM p GROUP BY lang)
 SELECT *, round((tp + tn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c"""
-_PAIRS = f"""pairs AS (SELECT a.conv_id, a.turn, coalesce(({sentences("a.text")})[1], '') AS claim, CASE WHEN a.turn % 2 = 1 THEN a.text ELSE b.text END AS evidence FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"""
-SQL["support_lexical"] = f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, list_distinct({content("claim")}) AS c, list_distinct({content("evidence")}) AS e FROM pairs)
-SELECT conv_id, turn, len(c) = 0 OR len(list_intersect(c, e)) / nullif(len(c), 0) >= 0.8 AS supported FROM t"""
+_PAIRS = f"""turns AS (SELECT a.conv_id, a.turn, {sentences("a.text")} AS ss, coalesce(CASE WHEN a.turn % 2 = 1 THEN a.text ELSE b.text END, '') AS evidence FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
+pairs AS (SELECT conv_id, turn, i - 1 AS pos, ss[i] AS claim, evidence FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM turns))"""
+SQL["support_lexical"] = f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, pos, list_distinct({content("claim")}) AS c, list_distinct({content("evidence")}) AS e FROM pairs)
+SELECT conv_id, turn, pos, len(c) = 0 OR len(list_intersect(c, e)) / nullif(len(c), 0) >= 0.8 AS supported FROM t"""
 
 
 
@@ -269,17 +285,24 @@ def bounds(c: str) -> str:
 
 
 _CANON = rf"regexp_replace({strip('claim')}, '\s+([.!?])', '\1', 'g')"
-SQL["support_structured"] = f"""WITH {_PAIRS}, n AS (SELECT conv_id, turn, {_CANON} AS claim, evidence, row_number() OVER () AS uid FROM pairs),
-c AS (SELECT uid, conv_id, turn, {claim_tokens("claim")} AS t, {subjects("claim")} AS subj, {denies("claim")} AS neg, {numbers("claim")} AS num, {bounds("claim")} AS b FROM n),
+SQL["support_structured"] = f"""WITH {_PAIRS}, n AS (SELECT conv_id, turn, pos, {_CANON} AS claim, evidence, row_number() OVER () AS uid FROM pairs),
+c AS (SELECT uid, conv_id, turn, pos, {claim_tokens("claim")} AS t, {subjects("claim")} AS subj, {denies("claim")} AS neg, {numbers("claim")} AS num, {bounds("claim")} AS b FROM n),
 e0 AS (SELECT uid, unnest({sentences("evidence")}) AS e FROM n), e AS (SELECT uid, {claim_tokens("e")} AS t, {subjects("e")} AS subj, {denies("e")} AS neg, {numbers("e")} AS num, {bounds("e")} AS b FROM e0),
 yes AS (SELECT DISTINCT uid FROM c JOIN e USING (uid) WHERE len(c.t) > 0 AND list_has_all(e.subj, c.subj) AND c.neg = e.neg AND list_has_all(e.t, list_intersect(c.t, {array(UNITS)})) AND list_has_all(e.num, c.num) AND len(list_intersect(c.t, e.t)) / len(c.t) >= 0.8
   AND len(list_filter(e.b, lambda y: y.kind <> 'exact' AND len(list_filter(c.b, lambda x: x.k = y.k AND x.kind <> y.kind)) > 0)) = 0)
-SELECT conv_id, turn, uid IN (SELECT uid FROM yes) AS supported FROM c"""
+SELECT conv_id, turn, pos, uid IN (SELECT uid FROM yes) AS supported FROM c"""
 SQL["support_conservative"] = f"""WITH {_PAIRS}, n AS (SELECT *, row_number() OVER () AS uid FROM pairs),
-c AS (SELECT uid, conv_id, turn, {claim_tokens("claim")} AS t, {subjects("claim")} AS subj, {denies("claim")} AS neg, {numbers("claim")} AS num FROM n),
+c AS (SELECT uid, conv_id, turn, pos, {claim_tokens("claim")} AS t, {subjects("claim")} AS subj, {denies("claim")} AS neg, {numbers("claim")} AS num FROM n),
 e0 AS (SELECT uid, unnest({sentences("evidence")}) AS e FROM n), e AS (SELECT uid, {claim_tokens("e")} AS t, {subjects("e")} AS subj, {denies("e")} AS neg, {numbers("e")} AS num FROM e0),
 yes AS (SELECT DISTINCT uid FROM c JOIN e USING (uid) WHERE len(c.t) > 0 AND list_has_all(e.subj, c.subj) AND c.neg = e.neg AND list_has_all(e.t, list_intersect(c.t, {array(UNITS)})) AND list_has_all(e.num, c.num) AND len(list_intersect(c.t, e.t)) / len(c.t) >= 0.8)
-SELECT conv_id, turn, uid IN (SELECT uid FROM yes) AS supported FROM c"""
+SELECT conv_id, turn, pos, uid IN (SELECT uid FROM yes) AS supported FROM c"""
+_SAID = "'Within ' || turn + 1 || ' days, at least 5 GB; refunds up to ' || conv_id || ' hours. 7 GB then 5 GB. ' || role || '. ' || text"
+SQL["quantity_bounds"] = f"""WITH s AS (SELECT conv_id, turn, {_SAID} AS said FROM conversations)
+SELECT conv_id, turn, array_to_string(list_sort(list_transform({bounds("said")}, lambda x: replace(x.k, ' ', ':') || ':' || x.kind)), ',') AS bounds FROM s"""
+_MATRIX = " UNION ALL ".join(f"SELECT '{j}' AS judge, turn % 2 = 1 AS e, supported AS p FROM ({SQL[f'support_{j}']})" for j in ("conservative", "structured"))
+_SAFE = " UNION ALL ".join(f"SELECT '{j}' AS judge, avg((({strip(substantive('text', v))}) = '') = (turn % 3 = 0)) AS refusal_accuracy FROM conversations" for j, v in (("conservative", "2.0"), ("structured", "3.0"))).replace("avg((", "avg(((").replace("= 0)) AS", "= 0))::INT) AS")
+SQL["judge_validation"] = f"""WITH m AS ({_MATRIX}), c AS (SELECT judge, count(*) AS n, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn, count(*) FILTER (NOT e AND NOT p) AS tn FROM m GROUP BY judge), r AS ({_SAFE})
+SELECT judge, n, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(refusal_accuracy, 6) AS refusal_accuracy FROM c JOIN r USING (judge)"""
 _DIFFERS = {"generator": "false", "model": "a.lang IS DISTINCT FROM b.lang", "k": "a.n % 3 <> b.n % 3"}
 _ISSUES = ", ".join(f"CASE WHEN {_DIFFERS.get(k, 'false')} THEN {lit(v)} END" for k, v in COMPARED.items())
 SQL["comparability"] = f"""WITH r AS (SELECT source, min(lang) AS lang, count(*) AS n, list_sort(list_distinct(list((doc_id % 7)::VARCHAR))) AS ids FROM documents GROUP BY source)

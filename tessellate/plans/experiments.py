@@ -47,11 +47,12 @@ def rescored_config(config: dict, judge: Judge) -> dict:
     return out | {"scoring_version": judge.version, "support_judge": judge.name, "support_threshold": judge.threshold, "evaluation_mode": "rescore_saved_answers"}
 
 
-def swept(docs: DataFrame, cases: DataFrame, thresholds: tuple[float, ...] = (0.4, 0.5, 0.6, 0.7, 0.8), k: int = 3, retriever: str = "bm25", judge: Judge = JUDGES["conservative"]) -> DataFrame:
+def swept(docs: DataFrame, cases: DataFrame, thresholds: tuple[float, ...] = (0.4, 0.5, 0.6, 0.7, 0.8), k: int = 3, retriever: str = "bm25", judge: Judge = JUDGES["conservative"], ranked: bool = False) -> DataFrame:
     """(threshold, n, passes, pass_rate, abstention_accuracy, over_abstention, unsupported,
-    adversarial).  Retrieval, contexts and coverage are made once for all thresholds."""
-    ranked = ranked_lists(cases, RETRIEVERS[retriever](docs, cases, max(*M.CUTOFFS, k)))
-    rows = A.with_context(A.staged(ranked, k), docs).withColumn("best_", A.best_sentence(F.col("question"), F.col("context")))
+    adversarial).  Retrieval, contexts and coverage are made once for all thresholds.  ranked:
+    whether cases have their rankings already."""
+    found = cases if ranked else ranked_lists(cases, RETRIEVERS[retriever](docs, cases, max(*M.CUTOFFS, k)))
+    rows = A.with_context(A.staged(found, k), docs).withColumn("best_", A.best_sentence(F.col("question"), F.col("context")))
     rows = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     rows = rows.withColumn("answer", A._answer(F.col("best_"), F.col("threshold"))).drop("best_")
     rows = rows.withColumn("case_", F.col("case_id")).withColumn("case_id", F.struct("threshold", "case_"))

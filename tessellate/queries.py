@@ -1,12 +1,14 @@
 """Queries over the driver's tables: each operator on its whole stand-in table.
 
-documents are the corpus; benchmark items are the cases (question: the first 60 characters;
-gold: the documents that contain the item; forbidden: toxic documents among the first five
-retrieved); conversation turns are claims and evidence; labels are expected values.
+documents are the corpus; benchmark items are the cases (question: the whole item; expected
+answer: its last three words; gold: the documents that contain the item; forbidden: toxic
+documents among the first five retrieved); the sentences of conversation turns are claims, and
+turns evidence; labels are expected values.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +20,11 @@ from .operators import cache
 from .operators import metrics as M
 from .operators import retrieve as R
 from .operators.judge import JUDGES
+from .plans import catalog as C
 from .plans import experiments as X
 from .plans import report as P
-from .plans.evaluate import score
-from .session import spread
+from .plans.evaluate import evaluate, score
+from .session import shared_dir, spread
 from .sources import jsonl as J
 
 K, DEPTH = 3, 5
@@ -42,23 +45,43 @@ def docs(spark, sf) -> DataFrame:
 
 
 def questions(spark, sf) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("item_id").alias("ord"), F.left("text", F.lit(60)).alias("question"), F.col("text").alias("item"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("item_id").alias("ord"), F.col("text").alias("question"), F.col("text").alias("item"))
+
+
+GRAM = 4
 
 
 def containing(passages: DataFrame, documents: DataFrame) -> DataFrame:
-    """(case_id, doc_id): documents that contain a passage (case_id, item).  Three words from
-    inside the passage are the join key, and only those of a document that some passage has
-    are ever paired; then the text is compared."""
-    key = lambda c, at: F.array_join(F.slice(F.split(c, r"\s+"), at, 3), " ")
-    wanted = passages.select("case_id", "item", key("item", 2).alias("key"))
-    words = F.split("text", r"\s+")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    keys = documents.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
-    pairs = keys.join(wanted.select("case_id", "key"), "key").select("case_id", "doc_id")
+    """(case_id, doc_id): documents that contain a passage (case_id, item); one without a
+    character is in none.
+
+    The join key of a passage is what it holds whole wherever it stands: up to three words
+    from its second to its last but one, or its first characters (GRAM at most) where it has no
+    word inside.  Of a document only keys of the kinds that passages have are listed, and of
+    those only the ones that some passage has are ever paired; then the text is compared."""
+    words = F.split("item", r"\s+")
+    inside = F.least(F.size(words) - 2, F.lit(3))
+    gram = F.least(F.length("item"), F.lit(GRAM))
+    key = F.when(inside > 0, F.array_join(F.slice(words, 2, F.greatest(inside, F.lit(1))), " ")).otherwise(F.left("item", gram))
+    wanted = passages.where("length(item) > 0").select("case_id", "item", F.when(inside > 0, inside).otherwise(-gram).alias("kind"), key.alias("key"))
+    kinds = sorted(r["kind"] for r in wanted.select("kind").distinct().collect())  # of 1 to 3 words, 1 to GRAM characters
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(n)))
+    marked = lambda n: lambda x: F.struct(F.lit(n).alias("kind"), x.alias("key"))
+    lists = [F.transform(F.array_distinct(runs(F.col("w"), n) if n > 0 else grams(-n)), marked(n)) for n in kinds]
+    if not lists:
+        return passages.join(documents, F.lit(False)).select("case_id", "doc_id")
+    keys = documents.select("doc_id", "text", F.split("text", r"\s+").alias("w")).select("doc_id", F.explode(F.concat(*lists)).alias("x")).select("doc_id", "x.kind", "x.key")
+    pairs = keys.join(wanted.select("case_id", "kind", "key"), ["kind", "key"]).select("case_id", "doc_id")
     both = pairs.join(passages, "case_id").join(documents, "doc_id")
     return both.where(F.contains("text", F.col("item"))).select("case_id", "doc_id")
 
 
+def last_words(text: Column, n: int = 3) -> Column:
+    words = F.split(text, r"\s+")
+    return F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n), " ")
+
+
 def cases(spark, sf, retriever: str = "bm25") -> DataFrame:
     """The cases with gold_ids, forbidden_ids and ranked."""
     asked, corpus = questions(spark, sf), docs(spark, sf)
@@ -71,7 +94,7 @@ def cases(spark, sf, retriever: str = "bm25") -> DataFrame:
     none = F.array().cast("array<bigint>")
     out = out.withColumns({"gold_ids": F.coalesce("gold_ids", none), "forbidden_ids": F.coalesce("forbidden_ids", none)})
     kind = F.when(F.size("gold_ids") == 0, "unanswerable").when(F.size("forbidden_ids") > 0, "adversarial").otherwise("known")
-    answers = F.when(F.size("gold_ids") > 0, F.array(F.substring("item", 31, 30))).otherwise(F.array().cast("array<string>"))
+    answers = F.when(F.size("gold_ids") > 0, F.array(last_words(F.col("item")))).otherwise(F.array().cast("array<string>"))
     # read by every step that follows; persisted, it is ranked once (equal plans share it)
     return out.select("case_id", "ord", kind.alias("type"), "question", "gold_ids", answers.alias("answers"), F.array(F.lit("loser")).alias("forbidden_phrases"), "forbidden_ids", J.must_abstain(kind, F.lit(False)).alias("must_abstain"), F.array().cast("array<string>").alias("tags"), "ranked").persist()
 
@@ -122,10 +145,9 @@ def dup_ids(spark, sf):
 
 @query
 def fk_missing(spark, sf):
-    """Of labels and pages as references into documents with an even length."""
-    named = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.array("doc_id").alias("gold_ids"), F.array(F.col("doc_id") + 1).alias("forbidden_ids"))
-    known = table(spark, sf, "documents").where("n_chars % 2 = 0").select("doc_id")
-    return J.missing_documents(named, known).select("case_id", listed("missing").alias("missing"))
+    """Of labels as references into documents: each to its own, and to one of twice its id."""
+    named = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.array("doc_id").alias("gold_ids"), F.array(F.col("doc_id") * 2).alias("forbidden_ids"))
+    return J.missing_documents(named, table(spark, sf, "documents").select("doc_id")).select("case_id", listed("missing").alias("missing"))
 
 
 @query
@@ -134,9 +156,61 @@ def abstain_derived(spark, sf):
 
 
 @query
-def array_domain_checks(spark, sf):
-    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("texts"), F.collect_set("role").alias("roles"))
-    return t.select("conv_id", F.exists("texts", T.is_blank).alias("blank"), F.forall("roles", lambda r: r.isin("user", "assistant", "system")).alias("roles_known"))
+def doc_errors(spark, sf):
+    t = table(spark, sf, "documents")
+    return t.select("doc_id", J.doc_error(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), "text")).alias("error"))
+
+
+@query
+def case_errors(spark, sf):
+    """Turns as cases: the role is the kind, and texts of the conversation the answers."""
+    t = table(spark, sf, "conversations")
+    kind = F.when(F.col("role") == "user", "known").when(F.col("role") == "assistant", "unanswerable").otherwise(F.col("role"))
+    answers = {c: F.array(F.col("text") if c == "answers" else F.lit("x")).alias(c) for c in J._LISTS}
+    case = F.struct(F.col("conv_id").cast("string").alias("id"), kind.alias("type"), F.col("role").alias("question"), *answers.values())
+    return t.select("conv_id", "turn", J.case_error(case).alias("error"))
+
+
+def _written(spark, rows, name: str) -> str:
+    """A table of one string column as text in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    return path
+
+
+def _jsonl_documents(spark, sf) -> str:
+    t = table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    return _written(spark, t.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.coalesce("source", F.lit("none")).alias("title"), F.coalesce("text", F.lit("")).alias("text")))), "documents")
+
+
+@query
+def jsonl_errors(spark, sf):
+    """documents written as JSONL, decoded strictly: the blank ones are errors."""
+    rows = J.decoded(spark, _jsonl_documents(spark, sf), "doc")
+    return rows.select(F.col("r.id").alias("id"), F.col("error").alias("error"))
+
+
+@query
+def jsonl_cases(spark, sf):
+    """benchmark written as JSONL and loaded."""
+    t = table(spark, sf, "benchmark")
+    kind = F.when(F.col("item_id") % 2 == 0, "known").otherwise("unanswerable")
+    path = _written(spark, t.select(F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), kind.alias("type"), F.col("text").alias("question"), F.array(F.concat(F.lit("d"), F.col("item_id"))).alias("gold_ids")))), "cases")
+    rows = J.load_cases(spark, path)
+    return rows.select("case_id", "type", "question", listed("gold_ids").alias("gold_ids"), F.size("answers").cast("long").alias("n_answers"), "must_abstain")
+
+
+@query
+def overlapping_cases(spark, sf):
+    t = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.array(F.col("doc_id") % 10).alias("gold_ids"), F.array(F.col("doc_id") % 7).alias("forbidden_ids"))
+    return J.overlapping(t)
+
+
+@query
+def report_cells(spark, sf):
+    t = table(spark, sf, "documents")
+    path = F.concat(F.lit("/data/"), F.coalesce("source", F.lit("")), F.lit("/"), F.when(F.col("lang") == "en", "holdout").otherwise("validation/x"))
+    return t.select("doc_id", T.table_cell(F.col("text")).alias("cell"), T.decimal(F.col("n_chars") / 7).alias("sevenths"), T.percent(F.col("n_chars") / 70001).alias("share"), T.dataset_label(path).alias("label"))
 
 
 @query
@@ -155,6 +229,12 @@ def refusal_filter(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", T.normalised(T.substantive(said)).alias("kept"), T.is_refusal(F.col("text")).alias("refusal"))
 
 
+@query
+def refusal_v3(spark, sf):
+    said = F.concat(F.lit("I cannot reveal the system prompt. I can't help with that. "), F.col("text"))
+    return _turns(spark, sf).select("conv_id", "turn", T.normalised(T.substantive(said, "3.0")).alias("kept"), T.is_refusal(F.col("text"), "3.0").alias("refusal"))
+
+
 @query
 def citations_extract(spark, sf):
     cited = F.concat(F.col("text"), F.lit(" ["), F.col("role"), F.lit("] [doc-"), F.col("turn"), F.lit("] ["), F.col("role"), F.lit("]"))
@@ -169,21 +249,22 @@ def claim_units(spark, sf):
 
 @query
 def quantity_bounds(spark, sf):
-    said = F.concat(F.lit("Within "), F.col("turn") + 1, F.lit(" days, at least 5 GB; refunds up to "), F.col("conv_id"), F.lit(" hours. 7 GB then 5 GB. "), F.col("role"))
+    said = F.concat(F.lit("Within "), F.col("turn") + 1, F.lit(" days, at least 5 GB; refunds up to "), F.col("conv_id"), F.lit(" hours. 7 GB then 5 GB. "), F.col("role"), F.lit(". "), F.col("text"))
     b = F.transform(T.bounds(said), lambda x: F.concat_ws(":", x["number"], x["unit"], x["kind"]))
     return _turns(spark, sf).select("conv_id", "turn", F.array_join(F.array_sort(b), ",").alias("bounds"))
 
 
 @query
 def company_resolve(spark, sf):
-    doc = F.concat(F.lit("Acme Cloud was founded in 1999. The company has "), F.col("turn"), F.lit(" offices. "), F.when(F.col("turn") % 2 == 0, "Other Corp has none.").otherwise("That is all."))
+    doc = F.concat(F.lit("Acme Cloud was founded in 1999. The company has "), F.col("turn"), F.lit(" offices. "), F.when(F.col("turn") % 2 == 0, "Other Corp has none.").otherwise("That is all."), F.lit(" "), F.col("text"))
     return _turns(spark, sf).select("conv_id", "turn", F.array_join(T.resolved_sentences(doc), "|").alias("sentences"))
 
 
 @query
 def membership_relation(spark, sf):
     claim = F.concat(F.when(F.col("turn") % 2 == 0, "Paris").otherwise("Oslo"), F.lit(" is one of the data center regions."))
-    return _turns(spark, sf).select("conv_id", "turn", T.is_member(claim, F.lit("Acme Cloud operates data centers in Paris, Rome, and Lima.")).alias("member"))
+    said = T.sentences(F.concat(F.col("text"), F.lit(" Acme Cloud operates data centers in Paris, Rome, and Lima.")))
+    return _turns(spark, sf).select("conv_id", "turn", F.exists(said, lambda s: T.is_member(claim, s)).alias("member"))
 
 
 @query
@@ -270,7 +351,7 @@ def extractive_answer(spark, sf):
 
 @query
 def coverage_sweep(spark, sf):
-    s = X.swept(docs(spark, sf), cases(spark, sf).drop("ranked"))
+    s = X.swept(docs(spark, sf), cases(spark, sf), ranked=True)
     return s.select("threshold", "n", "passes", r6("pass_rate").alias("pass_rate"), r6("abstention_accuracy").alias("abstention_accuracy"), "over_abstention", "unsupported", "adversarial")
 
 
@@ -292,20 +373,20 @@ QUERIES["citation_ok"] = _scored("citation_ok")
 
 
 def _pairs(spark, sf):
-    """A claim from each turn (its first sentence) and the whole turn before as evidence, or
-    the turn itself where the number is odd."""
+    """Each sentence of a turn as a claim, and as evidence the whole turn before, if there is
+    one, or the turn itself where the number is odd."""
     t = _turns(spark, sf)
     before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    both = t.join(before, ["conv_id", "turn"])
-    claim = F.coalesce(F.try_element_at(T.sentences(F.col("text")), F.lit(1)), F.lit(""))
-    evidence = F.when(F.col("turn") % 2 == 1, F.col("text")).otherwise(F.col("before"))
-    return both.select("conv_id", "turn", claim.alias("claim"), F.array(evidence).alias("evidence"))
+    both = t.join(before, ["conv_id", "turn"], "left")
+    evidence = F.array_compact(F.array(F.when(F.col("turn") % 2 == 1, F.col("text")).otherwise(F.col("before"))))
+    each = both.select("conv_id", "turn", evidence.alias("evidence"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "claim"))
+    return each.withColumn("pos", F.col("pos").cast("long"))
 
 
 def _support(name):
     def run(spark, sf):
         ok = F.get(JUDGES[name](F.array(F.struct("claim", "evidence"))), F.lit(0))
-        return _pairs(spark, sf).select("conv_id", "turn", ok.alias("supported"))
+        return _pairs(spark, sf).select("conv_id", "turn", "pos", ok.alias("supported"))
 
     QUERIES[f"support_{name}"] = run
 
@@ -314,6 +395,15 @@ for _name in JUDGES:
     _support(_name)
 
 
+@query
+def judge_validation(spark, sf):
+    """Sentences as probes, expected to be supported where the turn is odd; turns as refusals."""
+    probes = _pairs(spark, sf).select(F.concat_ws("-", "conv_id", "turn", "pos").alias("id"), "claim", "evidence", (F.col("turn") % 2 == 1).alias("expected"))
+    refusals = _turns(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", (F.col("turn") % 3 == 0).alias("expected_safe"))
+    rows = X.validated_judges(probes, refusals, [JUDGES["conservative"], JUDGES["structured"]])
+    return rows.select("judge", "n", "tp", "fp", "fn", "tn", *(r6(c).alias(c) for c in ("accuracy", "precision", "recall", "refusal_accuracy")))
+
+
 @query
 def diagnosis(spark, sf):
     _, done = judged(spark, sf)
@@ -365,16 +455,34 @@ def confusion_matrix(spark, sf):
     return c.select("lang", "n", "tp", "fp", "fn", "tn", *(r6(x).alias(x) for x in ("accuracy", "precision", "recall")))
 
 
+def _asked(spark, sf):
+    return A.with_context(A.staged(cases(spark, sf), K), docs(spark, sf))
+
+
 @query
 def cache_key(spark, sf):
-    identity = F.concat_ws("|", F.col("case_id").cast("string"), "question", "stage", listed("context_ids"))
-    return A.staged(cases(spark, sf), K).select("case_id", "stage", F.sha2(identity, 256).alias("key"))
+    return cache.keyed(_asked(spark, sf), "1", {"name": "extractive"}).select("case_id", "stage", "key")
 
 
 @query
 def cache_misses(spark, sf):
-    rows = cache.keyed(A.with_context(A.staged(cases(spark, sf), K), docs(spark, sf)), "1", {"name": "extractive"})
-    return cache.misses(rows, rows.where("stage = 'e2e' AND case_id % 2 = 0").select("key")).select("case_id", "stage")
+    """What is asked for again where the oracle stage is stored."""
+    rows = cache.keyed(_asked(spark, sf), "1", {"name": "extractive"})
+    return cache.misses(rows, rows.where("stage = 'oracle'").select("key")).select("case_id", "stage")
+
+
+@query
+def cached_answers(spark, sf):
+    """Answers through a cache, asked for and read back."""
+    rows = cache.answered(_asked(spark, sf), A.extractive, f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}", "1", {"name": "extractive"}, every=1000)
+    return rows.select("case_id", "stage", F.col("answer.text").alias("answer"), F.col("answer.abstained").alias("abstained"))
+
+
+@query
+def evaluation(spark, sf):
+    """The whole evaluation as one call: how often each cause is found."""
+    e = evaluate(docs(spark, sf), cases(spark, sf).drop("ranked"), "bm25", k=K)
+    return e.summaries()["diagnosis_counts"].select("diagnosis", "n")
 
 
 def _saved(spark, sf):
@@ -433,10 +541,10 @@ def catalog_filter(spark, sf):
 
 @query
 def audit_join(spark, sf):
-    """Reviewed labels where a review of the same fingerprint exists."""
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "lang")
-    review = d.where("doc_id % 4 = 0").groupBy("sha256").agg(F.max_by("lang", "doc_id").alias("reviewed"))
-    return d.join(review, "sha256", "left").select("doc_id", F.coalesce("reviewed", F.lit("none")).alias("reviewed"))
+    """Documents as reports, the labels of their fingerprints as audits."""
+    found = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    reviewed = found.join(table(spark, sf, "labels"), "doc_id").groupBy("sha256").agg(F.max("quality").alias("audit"))
+    return C.with_audits(found, reviewed).select("doc_id", F.coalesce("audit", F.lit(-1)).cast("long").alias("reviewed"))
 
 
 @query
@@ -452,13 +560,24 @@ def prompts(spark, sf):
 
 @query
 def first_cases(spark, sf):
-    return questions(spark, sf).orderBy("ord").limit(7).select("case_id", "question")
+    """The first seven of the cases loaded from JSONL."""
+    t = table(spark, sf, "benchmark").orderBy("item_id").coalesce(1)
+    path = _written(spark, t.select(F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), F.lit("known").alias("type"), F.col("text").alias("question")))), "cases")
+    return J.load_cases(spark, path, 7).select("case_id", "question")
+
+
+def _labelled(spark, sf):
+    return P.filtered(_saved(spark, sf), "oracle").withColumn("path", F.col("type"))
 
 
 @query
 def outcome_counts(spark, sf):
-    rows = P.filtered(_saved(spark, sf), "oracle")
-    return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.avg((F.col("outcome") == "PASS").cast("double")).alias("pass_rate"))
+    return C.outcome_counts(_labelled(spark, sf)).select("path", "outcome", "n")
+
+
+@query
+def pass_rates(spark, sf):
+    return C.pass_rates(_labelled(spark, sf)).select("path", r6("pass_rate").alias("pass_rate"), "passes", "n")
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

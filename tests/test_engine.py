@@ -182,7 +182,7 @@ def test_report_files(result, tmp_path):
     assert json.loads(path.read_text())["end_to_end"]["n"] == 4
     text = path.with_suffix(".md").read_text()
     assert "| q4 |" in text or result["end_to_end"]["pass_rate"] == 1
-    assert report.json_safe({"a": [float("nan"), 1.0, (2,)]}) == {"a": [None, 1.0, [2]]} and "bm25" in report.console(result)
+    assert "bm25" in report.console(result) and [report.shown(x) for x in (None, 0.5, 3, "a|b\nc", {"mean": 0.5, "ci95": [0.25, 0.75]}, [None, None, None])] == ["n/a", "0.500", "3", "a\\|b c", "0.500 (0.25 to 0.75)", "n/a"]
 
 
 def test_rescore_is_idempotent_and_guarded(spark, data, result, tmp_path):
@@ -226,7 +226,19 @@ def test_cache(spark, data, tmp_path):
     assert len(cache.answered(rows, counting, path, "1", settings).collect()) == 8 and calls.value == 8
     cache.answered(rows, counting, path, "1", {"model": "n"}).collect()
     assert calls.value == 16
-    spark.createDataFrame([("short", None, None, None)], cache.SCHEMA).write.mode("append").parquet(path)
+    told = []
+    cache.answered(rows, counting, path, "1", settings, resume=False, every=3, progress=lambda done, n: told.append((done, n))).collect()
+    assert calls.value == 24 and told[-1] == (8, 8) and len(told) == 3  # asked anew, in parts
+    assert cache.answered(rows, counting, path, "1", {"model": "n"}).count() == 8 and calls.value == 24  # of others nothing is lost
+    def failing(r):
+        if calls.value >= 27:
+            raise RuntimeError("down")
+        return counting(r)
+
+    with pytest.raises(RuntimeError, match="down"):
+        cache.answered(rows, failing, path, "1", {"model": "o"}, every=2)
+    assert len(cache.answered(rows, counting, path, "1", {"model": "o"}).collect()) == 8 and calls.value == 32  # none was asked twice
+    spark.createDataFrame([("short", None, None, None, 1)], cache.SCHEMA).write.mode("append").parquet(path)
     with pytest.raises(RuntimeError, match="invalid record"):
         cache.answered(rows, counting, path, "1", settings)
 
@@ -322,8 +334,10 @@ def test_providers(monkeypatch):
     for more in ({"model": "bad model"}, {"interval": float("nan")}, {"retries": 6}, {"max_tokens": 0}):
         with pytest.raises(ValueError):
             client(Script(), **more)
+    minute = providers.quota_hint({"error": {"details": [{"violations": [{"quotaMetric": "requests_per_minute", "quotaValue": 0}, {"quotaId": "free text of any kind"}]}]}})
+    assert "minute" in minute and "zero" in minute and "free" not in minute
     hint = providers.quota_hint({"error": {"details": [{"violations": [{"quotaId": "RequestsPerDay", "quotaValue": "20"}]}, {"retryDelay": "9s"}]}})
-    assert "Daily" in hint and "20" in hint and "9s" in hint and providers.quota_hint({"error": "x"}) == ""
+    assert "daily" in hint and "20" in hint and "9s" in hint and providers.quota_hint({"error": "x"}) == ""
 
 
 def test_hosted_rows(spark, monkeypatch):
@@ -341,6 +355,55 @@ def test_hosted_rows(spark, monkeypatch):
     assert got["q"]["citations"] == ["a"] and got["z"]["abstained"] and got["z"]["text"] == A.ABSTAINS
 
 
+def test_hosted_judge_is_cached(spark, data, tmp_path):
+    from tessellate.operators.judge import Asked
+
+    docs, cases = data
+    calls = spark.sparkContext.accumulator(0)
+
+    def ask(pairs):
+        def run(frames):
+            for pdf in frames:
+                calls.add(len(pdf))
+                yield pdf[["key"]].assign(supported=["Backups" in c for c in pdf["claim"]])
+
+        return pairs.mapInPandas(run, "key string, supported boolean")
+
+    judge = Asked("groq", "m", lambda pairs: cache.judged(pairs, ask, str(tmp_path / "verdicts"), {"model": "m"}))
+    e = evaluate(docs, cases, judge=judge, generate=lambda r: A.extractive(r, 0.1))
+    assert e.config["judge_model"] == "m" and e.config["support_judge"] == "groq"
+    got = {(r["case_id"], r["stage"]): r["faithfulness"] for r in e.rows.collect()}
+    asked = calls.value
+    assert got["q2", "e2e"] == 1.0 and got["q1", "oracle"] == 0.0 and asked > 0
+    evaluate(docs, cases, judge=judge, generate=lambda r: A.extractive(r, 0.1)).rows.collect()
+    assert calls.value == asked
+    nothing = spark.createDataFrame([("c", None), ("d", [])], "claim string, evidence array<string>")
+    assert [r["supported"] for r in providers.hosted_support(nothing, None).collect()] == [False, False]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    text = "\n".join(f'{{"id":"{i}"}}' + ("\u2028\r" if i % 7 == 0 else "\r" if i % 5 == 0 else "") for i in range(400)) + "\n\n"
+    (tmp_path / "x.jsonl").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        got = sorted((r["line"], r["record"]) for r in jsonl.lines(spark, str(tmp_path / "x.jsonl")).collect())
+        assert jsonl.lines(spark, str(tmp_path / "x.jsonl")).count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(k, x) for k, x in enumerate(text.splitlines(), 1) if x.strip()]
+    assert [(k, json.loads(x)["id"]) for k, x in got] == [(k, json.loads(x)["id"]) for k, x in want]
+
+
+def test_links_that_lead_out_are_left_out(spark, result, tmp_path):
+    report.write(result, str(tmp_path / "out"), "report_x")
+    report.write(result, str(tmp_path / "in"), "report_y")
+    (tmp_path / "in" / "report_link.json").symlink_to(tmp_path / "out" / "report_x.json")
+    assert [r["path"].rsplit("/", 1)[1] for r in catalog.reports(spark, str(tmp_path / "in")).collect()] == ["report_y.json"]
+    (tmp_path / "in" / "c.jsonl").symlink_to(tmp_path / "out" / "report_x.json")
+    assert "outside" in catalog.evidence(spark, {"path": str(tmp_path / "in" / "c.jsonl"), "sha256": "0"}, str(tmp_path / "in"))[1]
+
+
 def test_stream_equals_batch(spark, data, tmp_path):
     from tessellate.streaming.scoring import scored_stream, write_scored
 
@@ -362,7 +425,7 @@ def test_command_line(files, tmp_path, capsys):
     p = parser()
     base = ["evaluate", "--corpus", "c", "--cases", "d"]
     assert check(p, p.parse_args([*base, "--retriever", "bm25, tfidf,bm25"])) == ["bm25", "tfidf"]
-    for bad in (["--retriever", "x"], ["--k", "0"], ["--min-coverage", "2"], ["--generator", "groq"], ["--model", "m"], ["--limit", "0"], ["--request-interval", "5"], ["--max-retries", "9"], ["--no-resume"]):
+    for bad in (["--retriever", "x"], ["--k", "0"], ["--min-coverage", "2"], ["--generator", "groq"], ["--model", "m"], ["--limit", "0"], ["--request-interval", "5"], ["--max-retries", "9"], ["--no-resume"], ["--judge", "groq"], ["--judge-model", "m"]):
         with pytest.raises(SystemExit):
             check(p, p.parse_args([*base, *bad]))
 
