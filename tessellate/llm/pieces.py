@@ -44,11 +44,26 @@ from .common import Remembered, by_document, shipped
 SPACE = "▁"
 CACHE = 1 << 16  # chunks that a worker remembers (and as many older ones), and pairs
 PAIRS = 1 << 18
+ROOM = 1 << 18  # arcs of suffixes that are kept
 UNK_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _INF = float("inf")
 
 
+class Arcs(dict):
+    """The arcs of a node by character; one that has no arc of its own for it goes where its
+    longest suffix goes, which is kept while there is room."""
+
+    __slots__ = ("back", "room")
+
+    def __missing__(self, c):
+        to = 0 if self.back is None else self.back[c]
+        if self.room[0]:
+            self.room[0] -= 1
+            self[c] = to
+        return to
+
+
 class Transducer:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -88,7 +103,7 @@ class Transducer:
         pieces it is known to be stable after, pieces it is known not to be)."""
         self.sizes = list(map(len, self.names))
         self.arriving = [(n, i, set(), set()) for i, n in enumerate(self.sizes)]
-        self.arcs: list[dict[str, int]] = [{}]
+        self.arcs: list[dict] = [{}]
         own = [-1]
         for piece, i in self.ids.items():
             node = 0
@@ -115,6 +130,9 @@ class Transducer:
         for arcs in self.arcs:  # the normaliser
             if SPACE in arcs:
                 arcs[" "] = arcs[SPACE]
+        room, self.arcs = [ROOM], [Arcs(x) for x in self.arcs]
+        for node, arcs in enumerate(self.arcs):
+            arcs.back, arcs.room = self.arcs[self.back[node]] if node else None, room
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: best score first, then leftmost."""
@@ -204,12 +222,10 @@ class Transducer:
 
     def _stable_path(self, text: str) -> list[int]:
         """For each place the piece that arrives there at finite cost (-1: bytes)."""
-        arcs, back, ends, stable = self.arcs, self.back, self.ends, self.stable
+        arcs, ends, stable = self.arcs, self.ends, self.stable
         last, node = [-1], 0
         for c in text:
-            while (to := arcs[node].get(c)) is None and node:
-                node = back[node]
-            node = to or 0
+            node = arcs[node][c]
             for size, p, yes, no in ends[node]:
                 q = last[-size]  # where the arc begins
                 if q in yes or (q not in no and stable(q, p)):
@@ -223,9 +239,7 @@ class Transducer:
         """For each place the piece of the arc on its path of least cost (-1: bytes)."""
         cost, last, node = [0.0], [-1], 0
         for c in text:
-            while (to := self.arcs[node].get(c)) is None and node:
-                node = self.back[node]
-            node = to or 0
+            node = self.arcs[node][c]
             least, by, plain = _INF, -1, False
             for size, p, _, _ in self.ends[node]:
                 plain |= size == 1
