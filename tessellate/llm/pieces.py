@@ -65,7 +65,7 @@ class Arcs(dict):
 
 
 class Transducer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHE):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -94,7 +94,8 @@ class Transducer:
         self.whole = whole
         self.pairs = 0  # remembered in the arcs
         self.spines: dict[int, tuple] = {}
-        self.known = Remembered(CACHE)
+        self.known = Remembered(remembered)
+        self.is_byte = np.array([k == BYTE for k in self.kinds])
         self.out = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else n.replace(SPACE, " ").encode() for n, k in zip(self.names, self.kinds)]
 
     def _compile(self) -> None:
@@ -209,16 +210,17 @@ class Transducer:
         """The pieces on the shortest path that reads text."""
         last = (self._stable_path if self.merges else self._least_path)(text)
         out: list[int] = []
-        j = len(text)
+        sizes, j = self.sizes, len(text)
         while j:
             p = last[j]
             if p >= 0:
                 out.append(p)
-                j -= self.sizes[p]
+                j -= sizes[p]
             else:
                 j -= 1
                 out += self._fallback(SPACE if text[j] == " " else text[j])[::-1]
-        return out[::-1]
+        out.reverse()
+        return out
 
     def _stable_path(self, text: str) -> list[int]:
         """For each place the piece that arrives there at finite cost (-1: bytes)."""
@@ -282,11 +284,12 @@ class Transducer:
 
     def decode(self, ids) -> str:
         """Texts of the pieces; bytes that are no UTF-8 become U+FFFD one by one."""
-        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
-        if not ids:
+        ids = np.asarray(ids, np.int32)
+        if not len(ids):
             return ""
-        out = self.out
-        if any(self.kinds[i] == BYTE for i in set(ids)):
+        out, raw = self.out, self.is_byte[ids].any()
+        ids = ids.tolist()
+        if raw:
             parts, run = [], b""
             for i in ids:
                 if self.kinds[i] == BYTE:
@@ -298,7 +301,7 @@ class Transducer:
                     parts.append(out[i].decode("utf-8"))
             text = "".join([*parts, _lenient(run)])
         else:
-            text = b"".join([out[i] for i in ids]).decode("utf-8")
+            text = b"".join(map(out.__getitem__, ids)).decode("utf-8")
         first = next((i for i in ids if self.kinds[i] != CONTROL), None)
         return text[1:] if self.prefix and first is not None and self.names[first].startswith(SPACE) else text
 
@@ -323,17 +326,18 @@ def _lenient(run: bytes) -> str:
 
 
 @lru_cache(2)
-def transducer(path: str) -> Transducer:
-    return Transducer(path)
+def transducer(path: str, remembered: int = CACHE) -> Transducer:
+    return Transducer(path, remembered)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, remembered: int = CACHE) -> DataFrame:
     """doc_id, n_bytes, n_pieces, pieces (array of ids), round_trip (whether decoding
     gives the text back, spaces for U+2581).  path: the model file, the same on every
-    executor."""
+    executor; remembered: chunks that a worker remembers (about 250 bytes each, and as many
+    older ones)."""
 
     def run(ids: list, texts: list) -> dict:
-        t = transducer(path)
+        t = transducer(path, remembered)
         pieces = [t.encode(x) for x in texts]
         back = [t.decode(p) == (x or "").replace(SPACE, " ") for p, x in zip(pieces, texts)]
         return {"doc_id": ids, "n_bytes": [len((x or "").encode("utf-8")) for x in texts], "n_pieces": [len(p) for p in pieces], "pieces": pieces, "round_trip": back}

@@ -17,7 +17,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return pieces.encode_documents(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 1 << 18)  # nothing else holds the workers' memory here
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
