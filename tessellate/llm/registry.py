@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, media, pieces, ranking, secrets, simhash, suffixes, tiling, tokens, urls
+from . import language, licenses, maxent, media, pieces, ranking, secrets, simhash, suffixes, tiling, tokens, urls
 from .common import load
 
 
@@ -57,10 +57,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(load(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.lm_scores(load(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_language_id, op4_simhash, op5_url_filter, op6_license_scan, op7_media_columns, op8_decontamination, op9_secret_scan, op10_token_counts, op12_ranked_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_language_id, op4_simhash, op5_url_filter, op6_license_scan, op7_media_columns, op8_decontamination, op9_secret_scan, op10_token_counts, op11_lm_scoring, op12_ranked_search)}
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filter": urls.oracle(), "op12_ranked_search": ranking.oracle()}
