@@ -274,30 +274,20 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("comp", "comp").distinct())
 
 
-NAMELESS = 1 << 62  # nodes from here on stand for fingerprints without an id
-
-
-def _nodes(fps: DataFrame, *more) -> DataFrame:
-    """A row for each fingerprint, with `node`: its smallest id, so that the smallest node of a
-    component is its component_id.  Where no row has an id, a number beyond all ids takes its
-    place; fingerprints that share it differ in two bits at most."""
-    beyond = F.lit(NAMELESS) + F.shiftrightunsigned("fp", 2)
-    return fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), beyond).alias("node"), *more)
-
-
-def _named(fps: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """fps with the component_id of each row's fingerprint."""
-    comp = F.coalesce("comp", "node")
-    of = nodes.select("fp", "node").join(found, "node", "left").select("fp", F.when(comp < NAMELESS, comp).alias("component_id"))
-    return fps.join(of, "fp")
+def linked(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """fps (doc_id, fp) with component_id, the smallest doc_id reachable.  Nodes are fingerprints,
+    so rows that share an id and differ in text stay apart."""
+    nodes = fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least"))
+    found = clusters(block_keys(nodes.withColumn("fp", F.col("node")), distance, blocks), nodes.select("node", F.col("node").alias("w0")), distance, F.col("key") < EARLY << NUMBER, tile)
+    found = stored(nodes.join(found, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "nodes")
+    names = found.groupBy("comp").agg(F.min("least").alias("component_id"))
+    return fps.join(found.join(names, "comp").select(F.col("node").alias("fp"), "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    fps = stored(fingerprints(docs), "fingerprints")
-    nodes = _nodes(fps)
-    found = clusters(block_keys(nodes, distance, blocks), nodes.select("node", F.col("fp").alias("w0")), distance, F.col("key") < EARLY << NUMBER)
-    return _named(fps, nodes, found).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = linked(stored(fingerprints(docs), "fingerprints"), distance, blocks)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:

@@ -226,8 +226,6 @@ def test_fingerprints_equal_brute_force(spark):
 
 @pytest.mark.parametrize("tile", [4096, 3])
 def test_components_equal_brute_force(spark, tile):
-    from pyspark.sql import functions as F
-
     rnd, fps = random.Random(3), [0, 0]
     for _ in range(40):
         x = rnd.getrandbits(64)
@@ -238,12 +236,11 @@ def test_components_equal_brute_force(spark, tile):
             fps.append(y)
             x = y if rnd.random() < 0.3 else x
     rows = [(i if i % 7 else None, f) for i, f in zip(rnd.sample(range(10_000), len(fps)), fps)]
+    a, b = rnd.getrandbits(64), rnd.getrandbits(64)  # one id with two texts, each near to another's
+    rows += [(20_005, a), (20_005, b), (20_004, b ^ 1), (20_006, a ^ 2), (20_006, b ^ 4)]
     shipped(spark)
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "doc_id long, fp long")
-    nodes = simhash._nodes(df)
-    words = nodes.select("node", F.col("fp").alias("w0"))
-    found = simhash.clusters(simhash.block_keys(nodes), words, 3, F.col("key") < simhash.EARLY << simhash.NUMBER, tile)
-    got = simhash._named(df, nodes, found).collect()
+    got = simhash.linked(df, tile=tile).collect()
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == brute_components(rows)
 
 
@@ -700,6 +697,21 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     assert [len(corpus_pipeline.STAGES), *(s[0] for s in corpus_pipeline.STAGES)][0] == 5
 
 
+def test_stages_keep_columns_that_clash_with_theirs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ("text_mark", "kept_id", "kept_mark", "id", "mark", "row", "comp", "node", "least", "a.b")
+    spark.createDataFrame([(1, "no such words here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, [(1, "the cat and this thing with that house"), (2, "the cat and this thing with that house"), (None, "another thing that is said here")])
+    docs = docs.withColumns({c: F.lit("clash") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert set(names) < set(docs.columns)
+    assert ids(docs.collect()) == [1, None] and docs.select("`a.b`").first()[0] == "clash"
+    assert docs.where("false").count() == 0
+
+
 def test_dedup_judges_rows_without_id_and_rows_that_share_an_id(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(13)
