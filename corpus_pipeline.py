@@ -1,7 +1,11 @@
 """A corpus pipeline of five stages, each over what the one before kept.
 
 Stages take (spark, docs, sf_dir); run() writes each result as Parquet to the shared
-folder and reads it again.  All but the last keep the columns of documents.
+folder and reads it again.  All but the last keep the columns of documents, whatever their names.
+
+Defined cases: an empty table gives an empty one in each stage; a null or blank text has no
+letter, so language ID removes it; a null doc_id stays null; texts of any length are read whole;
+of near-duplicates the row of the smallest doc_id stays, of equal rows one.
 """
 
 from __future__ import annotations
@@ -21,13 +25,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays: that
-    of the smallest doc_id, or one without doc_id if none has any.  Rows are judged, not ids."""
+    of the smallest doc_id, or one without doc_id if none has any.  Rows are judged, not ids.
+    Of rows equal in doc_id and text one stays, chosen by a hash of all its columns."""
     rows = simhash.similar_rows(docs)
-    kept = rows.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "mark")).alias("row"))
-    kept = kept.select(F.col("row.doc_id").alias("kept_id"), F.col("row.mark").alias("kept_mark"))
-    marked = docs.withColumn("text_mark", simhash.text_hash())
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_mark") == F.col("kept_mark"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_mark"]).drop("text_mark")
+    kept = rows.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "mark")).alias("least"))
+    kept = kept.select(F.col("least.doc_id").alias("kept_id"), F.col("least.mark").alias("kept_mark"))
+    # packed, so that no column of docs can clash with ours
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), simhash.text_hash().alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    one = packed.join(kept, same, "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return one.select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +48,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of each document's text, and whether they give it back."""
     return pieces.encode_documents(docs, tokenizer("piece_bpe_32k.model"))
 
 
