@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,6 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder: cuts the lineage, and what is read back
+    survives the loss of the executors that made it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shipped(spark: SparkSession) -> None:
     """Gives the executors this package, once for each SparkContext: they need not have it
     installed.  The archive is written to the folder in spark.checkpoint.dir, which driver and
