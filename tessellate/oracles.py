@@ -155,6 +155,8 @@ SQL["postings"] = f"WITH {BM25} SELECT doc_id, term, tf, dl FROM bm25_posts"
 SQL["doc_freq_idf"] = f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS bm25_idf, round(ln((1 + n) / (1 + df)) + 1, 6) AS tfidf_idf FROM bm25_df, bm25_one"
 SQL["doc_len_stats"] = f"WITH {BM25} SELECT n, round(avgdl, 6) AS avgdl FROM bm25_one"
 SQL["bm25_topk"] = f"WITH {BM25} SELECT case_id, rank, doc_id, round(score, 6) AS score FROM bm25"
+SQL["stored_bm25_topk"] = SQL["stored_pruned_bm25_topk"] = SQL["bm25_topk"]
+SQL["segmented_bm25_topk"] = SQL["bm25_topk"].replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))")
 SQL["expanded_bm25_topk"] = f"WITH {retrieval('ex', expanded)} SELECT case_id, rank, doc_id, round(score, 6) AS score FROM ex"
 SQL["tfidf_topk"] = f"""WITH {BM25}, idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM bm25_df, bm25_one),
 q0 AS (SELECT case_id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM (SELECT item_id AS case_id, unnest({content("text")}) AS term FROM benchmark) JOIN idf USING (term) GROUP BY case_id, term),
@@ -235,7 +237,7 @@ GRADED = f"{BEST}, {graded()}"
 _LABEL = """CASE WHEN e.answer_ok AND coalesce(e.citation_ok, true) THEN 'PASS' WHEN e.forbidden_phrase THEN 'ADVERSARIAL_COMPLIANCE' WHEN e.must_abstain THEN 'UNSUPPORTED_GENERATION'
   WHEN e.answer_ok THEN 'CITATION_UNFAITHFUL' WHEN len(e.gold_ids) > 0 AND NOT list_has_any(e.ranked[:3], e.gold_ids) THEN 'RETRIEVAL_MISS' WHEN e.abstained THEN 'OVER_ABSTENTION' WHEN o.answer_ok THEN 'DISTRACTOR_INTERFERENCE' ELSE 'WRONG_ANSWER_GIVEN_GOLD' END"""
 _ORACLE = "CASE WHEN NOT o.answer_ok THEN 'ANSWER_FAILURE' WHEN coalesce(o.citation_ok, true) THEN 'PASS' ELSE 'CITATION_UNFAITHFUL' END"
-DONE = f"{GRADED}, done AS (SELECT e.*, CASE WHEN len(e.gold_ids) > 0 THEN list_has_any(e.ranked[:3], e.gold_ids) END AS retrieval_hit, {_LABEL} AS diagnosis, {_ORACLE} AS oracle_outcome FROM graded e JOIN graded o ON e.case_id = o.case_id AND e.stage = 'e2e' AND o.stage = 'oracle')"
+DONE = f"{GRADED}, done AS (SELECT e.*, CASE WHEN len(e.gold_ids) > 0 THEN list_has_any(e.ranked[:3], e.gold_ids) END AS retrieval_hit, {_LABEL} AS diagnosis, {_ORACLE} AS oracle_outcome, o.answer_ok AS oracle_answer_ok FROM graded e JOIN graded o ON e.case_id = o.case_id AND e.stage = 'e2e' AND o.stage = 'oracle')"
 SQL["rescore"] = f"""WITH {BEST}, {graded(supported=_LEXICAL)}, done AS (SELECT e.*, {_LABEL} AS diagnosis FROM graded e JOIN graded o ON e.case_id = o.case_id AND e.stage = 'e2e' AND o.stage = 'oracle')
 SELECT case_id, diagnosis, citation_ok FROM done"""
 SQL["extractive_answer"] = f"WITH {GRADED} SELECT case_id, stage, answer, abstained FROM graded"

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import answer as A
 from .operators import cache
+from .operators import index as I
 from .operators import metrics as M
 from .operators import retrieve as R
 from .operators.judge import JUDGES
@@ -83,11 +84,17 @@ def last_words(text: Column, n: int = 3) -> Column:
 
 
 def cases(spark, sf, retriever: str = "bm25") -> DataFrame:
-    """The cases with gold_ids, forbidden_ids and ranked."""
-    asked, corpus = questions(spark, sf), docs(spark, sf)
+    """The cases with gold_ids, forbidden_ids and ranked; read by every step that follows, so
+    persisted (equal plans share it)."""
+    return made_cases(questions(spark, sf), docs(spark, sf), table(spark, sf, "labels"), retriever).persist()
+
+
+def made_cases(asked: DataFrame, corpus: DataFrame, labels: DataFrame, retriever: str = "bm25") -> DataFrame:
+    """Cases of asked (case_id, ord, question, item): ranked by the retriever; gold: documents that
+    hold the item; forbidden: other documents among the ranked ones that are labelled toxic."""
     ranked = R.RETRIEVERS[retriever](corpus, asked, DEPTH)
     gold = containing(asked.select("case_id", "item"), corpus)
-    toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
     bad = ranked.join(toxic, "doc_id", "left_semi").join(gold, ["case_id", "doc_id"], "left_anti")
     ids = lambda df, name: df.groupBy("case_id").agg(F.array_sort(F.collect_set("doc_id")).alias(name))
     out = R.ranked_lists(asked, ranked).join(ids(gold, "gold_ids"), "case_id", "left").join(ids(bad, "forbidden_ids"), "case_id", "left")
@@ -95,8 +102,7 @@ def cases(spark, sf, retriever: str = "bm25") -> DataFrame:
     out = out.withColumns({"gold_ids": F.coalesce("gold_ids", none), "forbidden_ids": F.coalesce("forbidden_ids", none)})
     kind = F.when(F.size("gold_ids") == 0, "unanswerable").when(F.size("forbidden_ids") > 0, "adversarial").otherwise("known")
     answers = F.when(F.size("gold_ids") > 0, F.array(last_words(F.col("item")))).otherwise(F.array().cast("array<string>"))
-    # read by every step that follows; persisted, it is ranked once (equal plans share it)
-    return out.select("case_id", "ord", kind.alias("type"), "question", "gold_ids", answers.alias("answers"), F.array(F.lit("loser")).alias("forbidden_phrases"), "forbidden_ids", J.must_abstain(kind, F.lit(False)).alias("must_abstain"), F.array().cast("array<string>").alias("tags"), "ranked").persist()
+    return out.select("case_id", "ord", kind.alias("type"), "question", "gold_ids", answers.alias("answers"), F.array(F.lit("loser")).alias("forbidden_phrases"), "forbidden_ids", J.must_abstain(kind, F.lit(False)).alias("must_abstain"), F.array().cast("array<string>").alias("tags"), "ranked")
 
 
 def answered(spark, sf) -> DataFrame:
@@ -300,6 +306,36 @@ for _name in R.RETRIEVERS:
     _topk(_name)
 
 
+def _index(spark) -> str:
+    return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+
+
+def _stored(name):
+    def run(spark, sf):
+        path = _index(spark)
+        I.write_segment(path, 0, docs(spark, sf))
+        found = getattr(I, name)(spark, path, questions(spark, sf), DEPTH)
+        return found.select("case_id", F.col("rank").cast("long").alias("rank"), "doc_id", r6("score").alias("score"))
+
+    QUERIES["stored_" + name + "_topk"] = run
+
+
+_stored("bm25")
+_stored("pruned_bm25")
+
+
+@query
+def segmented_bm25_topk(spark, sf):
+    """The documents added in two segments, then those labelled toxic removed."""
+    path, corpus = _index(spark), docs(spark, sf)
+    odd = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+    I.write_segment(path, 0, corpus.where(~odd))
+    I.write_segment(path, 1, corpus.where(odd))
+    I.write_segment(path, 2, corpus.where("false"), table(spark, sf, "labels").where("toxic = 1").select("doc_id"))
+    found = I.pruned_bm25(spark, path, questions(spark, sf), DEPTH)
+    return found.select("case_id", F.col("rank").cast("long").alias("rank"), "doc_id", r6("score").alias("score"))
+
+
 @query
 def retriever_union(spark, sf):
     both = R.compared(docs(spark, sf), questions(spark, sf), K, ["bm25", "expanded_bm25"])
