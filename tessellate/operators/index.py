@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..session import stored
-from .retrieve import B, K1, bm25_idf, ordered_sum, top
+from .retrieve import B, K1, bm25_idf, exact_sum, top
 
 BUCKETS, TIERS = 64, 8
 PROBE = 64  # postings of a case that the first pass reads, about
@@ -139,7 +139,7 @@ def _asked(spark: SparkSession, path: str, queries: DataFrame, tokens: T.Terms,
 
 
 def _summed(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("case_id", "doc_id").agg(ordered_sum(F.col("term"), F.col("weight")).alias("score"))
+    return hits.groupBy("case_id", "doc_id").agg(exact_sum(F.col("weight")).alias("score"))
 
 
 def bm25(spark: SparkSession, path: str, queries: DataFrame, k: int, tokens: T.Terms = T.content_tokens, id_type: str = "bigint", buckets: int = BUCKETS) -> DataFrame:

@@ -2,14 +2,14 @@
 
 Contract of a retriever: (docs, queries, k) -> (case_id, rank, doc_id, score); docs has
 doc_id and text, queries has case_id and question.  Only documents that share a term with a
-query are ever joined.  Postings are cut to the queries' terms before they are grouped,
-so what is shuffled follows the hits, not the corpus; only TF-IDF's norms need all terms.
-The corpus is read and cut into words once: each document has a posting of the empty term
-besides, which stands for the document itself, so its number, lengths and document
-frequencies are all sums over the same grouped postings, whose exchange Spark reuses.
-
-Scores are summed in term order and ranked by nine decimals, then by id, so results do not
-depend on partitioning.
+query are ever joined.  Texts are read and cut into words once: the grouped postings, cut to the
+queries' terms where no others are needed, are written as a table that all that follows reads.
+Besides the terms it has a row of the empty term for each document, its number of tokens, which
+no join by term reads.  Where the queries' terms are too many to be sent to all tasks, tokens are
+counted in each document before any exchange by term.
+
+Scores are sums of whole numbers of 2^-40, the same in any order, and ranked by nine decimals,
+then by id, so results do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import stored
 
 K1, B = 1.5, 0.75
 
@@ -28,15 +29,21 @@ K1, B = 1.5, 0.75
 WHOLE = ""  # the term of a document as such; no token is empty
 
 
+FEW = 1 << 18  # terms that are sent to all tasks, some 16 MB
+
+
 def _grouped(docs: DataFrame, tokens: T.Terms, terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, dl, tf), of the given terms only if there are any given, and of WHOLE."""
     words = docs.select("doc_id", tokens.kept(F.coalesce("text", F.lit(""))).alias("words"))
     each = words.select("doc_id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(WHOLE))).alias("word"))
     each = each.select("doc_id", "dl", F.when(F.col("word") == WHOLE, WHOLE).otherwise(tokens.term(F.col("word"))).alias("term"))
-    if terms is not None:
-        wanted = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(WHOLE)))
-        each = each.join(wanted.distinct(), "term", "left_semi")
-    return each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    count = lambda rows: rows.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    if terms is None:
+        return count(each)
+    wanted = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(WHOLE))).distinct()
+    if wanted.limit(FEW + 1).count() <= FEW:
+        return count(each.join(F.broadcast(wanted), "term", "left_semi"))
+    return count(each).join(wanted, "term", "left_semi")
 
 
 def postings(docs: DataFrame, tokens: T.Terms = T.content_tokens, terms: DataFrame | None = None) -> DataFrame:
@@ -44,18 +51,14 @@ def postings(docs: DataFrame, tokens: T.Terms = T.content_tokens, terms: DataFra
     return _grouped(docs, tokens, terms).where(F.col("term") != WHOLE).select("doc_id", "term", "tf", "dl")
 
 
-# The sums below read each grouped column that the joins read, or their exchanges would differ.
-def _posted() -> Column:
-    return F.col("tf") > 0
-
-
 def document_frequencies(found: DataFrame) -> DataFrame:
-    return found.groupBy("term").agg(F.count_if(_posted()).alias("df"))
+    return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def _collection(found: DataFrame) -> DataFrame:
-    whole = _posted() & (F.col("term") == WHOLE)
-    return found.agg(F.count_if(whole).alias("n"), F.coalesce(F.nullif(F.avg(F.when(whole, F.col("dl"))), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    """n and avgdl of the rows of WHOLE."""
+    mean = F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0))
+    return found.where(F.col("term") == WHOLE).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), mean.alias("avgdl"))
 
 
 def collection(docs: DataFrame, tokens: T.Terms = T.content_tokens) -> DataFrame:
@@ -72,9 +75,13 @@ def tfidf_idf(n: Column, df: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1
 
 
-def ordered_sum(key: Column, value: Column) -> Column:
-    """Sum in order of key: the same to the last bit however rows arrive."""
-    return F.aggregate(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v")))), F.lit(0.0), lambda a, x: a + x["v"])
+UNIT = float(1 << 40)
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of values below 2^20 or so, rounded to 2^-40 each: the same however rows arrive, and
+    added up before rows are moved."""
+    return F.sum(F.rint(value * UNIT).cast("long")) / UNIT
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -87,12 +94,14 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, tokens: T.Terms = T.content_tokens, k1: float = K1, b: float = B) -> DataFrame:
     asked = queries.select("case_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    found = _grouped(docs, tokens, asked)
+    found = stored(_grouped(docs, tokens, asked), "postings")
     one = F.broadcast(_collection(found))  # a single row
+    found = found.where(F.col("term") != WHOLE)
     tf, dl, norm = F.col("tf"), F.col("dl"), F.col("avgdl")
     weight = bm25_idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / norm))
-    hits = asked.join(found, "term").join(document_frequencies(found), "term").crossJoin(one)
-    return top(hits.groupBy("case_id", "doc_id").agg(ordered_sum(F.col("term"), weight).alias("score")), k)
+    known = document_frequencies(found).crossJoin(one)
+    weights = found.join(known, "term").select("term", "doc_id", weight.alias("weight"))
+    return top(asked.join(weights, "term").groupBy("case_id", "doc_id").agg(exact_sum(F.col("weight")).alias("score")), k)
 
 
 def expanded_bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -100,25 +109,21 @@ def expanded_bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int, tokens: T.Terms = T.content_tokens) -> DataFrame:
-    """Cosines of L2-normalised (1 + ln tf) idf vectors.  A document's norm and those of its
-    weights that queries ask for come from one grouping."""
-    found = _grouped(docs, tokens)
-    df = document_frequencies(found)
-    one = F.broadcast(df.agg(F.max(F.when(F.col("term") == WHOLE, F.col("df"))).alias("n")))  # a single row
+    """Cosines of L2-normalised (1 + ln tf) idf vectors."""
+    found = stored(_grouped(docs, tokens), "postings")
+    one = F.broadcast(_collection(found).select("n"))  # a single row
+    found = found.where(F.col("term") != WHOLE)
+    idf = document_frequencies(found).crossJoin(one).select("term", tfidf_idf(F.col("n"), F.col("df")).alias("idf"))
     asked = queries.select("case_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("case_id", "term").agg(F.count("*").alias("tf"))
-    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
-    idf = df.join(wanted, "term", "left").crossJoin(one).select("term", tfidf_idf(F.col("n"), F.col("df")).alias("idf"), F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    idf = idf.where(F.col("term") != WHOLE)
-    weight = ((1 + F.log("tf")) * F.col("idf")).alias("w")
-    unit = lambda total: F.coalesce(F.nullif(F.sqrt(total), F.lit(0.0)), F.lit(1.0))
-    # the posting of the document as such drops out, as idf has no such term
-    of_docs = found.join(idf, "term").select("doc_id", "term", weight, "wanted").groupBy("doc_id")
-    of_docs = of_docs.agg(ordered_sum(F.col("term"), F.col("w") * F.col("w")).alias("total"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "w"))).alias("kept"))
-    d = of_docs.select("doc_id", unit(F.col("total")).alias("norm"), F.explode("kept").alias("x")).select("doc_id", "x.term", (F.col("x.w") / F.col("norm")).alias("weight"))
-    q = asked.join(idf, "term").select("case_id", "term", weight)
-    total = q.groupBy("case_id").agg(unit(ordered_sum(F.col("term"), F.col("w") * F.col("w"))).alias("norm"))
-    q = q.join(total, "case_id").select("case_id", "term", (F.col("w") / F.col("norm")).alias("qw"))
-    return top(q.join(d, "term").groupBy("case_id", "doc_id").agg(ordered_sum(F.col("term"), F.col("qw") * F.col("weight")).alias("score")), k)
+    weight, square = (1 + F.log("tf")) * F.col("idf"), F.col("w") * F.col("w")
+    unit = F.coalesce(F.nullif(F.sqrt(exact_sum(square)), F.lit(0.0)), F.lit(1.0)).alias("norm")
+    weights = found.join(idf, "term").select("doc_id", "term", weight.alias("w"))
+    norms = weights.groupBy("doc_id").agg(unit)
+    wanted = asked.select("term").distinct()
+    d = weights.join(wanted, "term", "left_semi").join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    q = asked.join(idf, "term").select("case_id", "term", weight.alias("w"))
+    q = q.join(q.groupBy("case_id").agg(unit), "case_id").select("case_id", "term", (F.col("w") / F.col("norm")).alias("qw"))
+    return top(q.join(d, "term").groupBy("case_id", "doc_id").agg(exact_sum(F.col("qw") * F.col("weight")).alias("score")), k)
 
 
 RETRIEVERS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {"bm25": bm25, "tfidf": tfidf, "expanded_bm25": expanded_bm25}

@@ -12,6 +12,7 @@ from ..operators import answer as A
 from ..operators import metrics as M
 from ..operators.judge import JUDGES, Judge
 from ..operators.retrieve import RETRIEVERS, ranked_lists
+from ..session import stored
 from ..sources.jsonl import validate
 
 
@@ -23,7 +24,7 @@ class Evaluation:
     retrieval: DataFrame
     retrieval_by_type: DataFrame
     retrieval_rows: DataFrame
-    ranked: DataFrame  # persisted: every later step reads it
+    ranked: DataFrame  # a table that every later step reads
 
     def summaries(self) -> dict[str, DataFrame]:
         return {
@@ -62,7 +63,7 @@ def evaluate(
     if checked:
         validate(cases, docs)
     ranked = RETRIEVERS[retriever](docs, cases, max(*ks, k))
-    cases = ranked_lists(cases, ranked).persist()
+    cases = stored(ranked_lists(cases, ranked), "ranked")
     found = M.retrieval_rows(cases, ks)
     rows = generate(A.with_context(A.staged(cases, k), docs))
     rows, diagnosed = score(rows, judge, k)

@@ -25,7 +25,7 @@ from .plans import catalog as C
 from .plans import experiments as X
 from .plans import report as P
 from .plans.evaluate import evaluate, score
-from .session import shared_dir, spread
+from .session import shared_dir, spread, stored
 from .sources import jsonl as J
 
 K, DEPTH = 3, 5
@@ -67,7 +67,7 @@ def containing(passages: DataFrame, documents: DataFrame) -> DataFrame:
     wanted = passages.where("length(item) > 0").select("case_id", "item", F.when(inside > 0, inside).otherwise(-gram).alias("kind"), key.alias("key"))
     kinds = sorted(r["kind"] for r in wanted.select("kind").distinct().collect())  # of 1 to 3 words, 1 to GRAM characters
     runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(n)))
+    grams = lambda n: F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # of each place, in one walk
     marked = lambda n: lambda x: F.struct(F.lit(n).alias("kind"), x.alias("key"))
     lists = [F.transform(F.array_distinct(runs(F.col("w"), n) if n > 0 else grams(-n)), marked(n)) for n in kinds]
     if not lists:
@@ -84,9 +84,8 @@ def last_words(text: Column, n: int = 3) -> Column:
 
 
 def cases(spark, sf, retriever: str = "bm25") -> DataFrame:
-    """The cases with gold_ids, forbidden_ids and ranked; read by every step that follows, so
-    persisted (equal plans share it)."""
-    return made_cases(questions(spark, sf), docs(spark, sf), table(spark, sf, "labels"), retriever).persist()
+    """The cases with gold_ids, forbidden_ids and ranked, as a table that every step reads."""
+    return stored(made_cases(questions(spark, sf), docs(spark, sf), table(spark, sf, "labels"), retriever), "cases")
 
 
 def made_cases(asked: DataFrame, corpus: DataFrame, labels: DataFrame, retriever: str = "bm25") -> DataFrame:
