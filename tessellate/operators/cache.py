@@ -51,14 +51,11 @@ def newest(cache: DataFrame) -> DataFrame:
 
 
 def _read(spark, path: str, schema: str) -> DataFrame:
-    try:
-        found = spark.read.schema(schema).parquet(path)
-        found.isEmpty()
-        return found
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    """The cache, an empty one if nothing is at path yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
 
 
 def remembered(rows: DataFrame, ask: Callable[[DataFrame], DataFrame], path: str, schema: str, resume: bool = True, every: int = EVERY, progress: Callable[[int, int], None] | None = None) -> DataFrame:

@@ -192,6 +192,15 @@ SQL["bootstrap_ci"] = f"""WITH {RETRIEVAL}, xs AS (SELECT list(rr ORDER BY case_
 ms AS (SELECT list_sum(list_transform(range(n), lambda p: xs[(((r * 1103515245 + p * 12345) % n) + 1)::INT])) / n AS m FROM xs, range(2000) AS t(r)),
 o AS (SELECT m, row_number() OVER (ORDER BY m) AS i FROM ms)
 SELECT round(max(m) FILTER (i = 51), 6) AS lo, round(max(m) FILTER (i = 1950), 6) AS hi FROM o"""
+# Poisson(1): the bounds of its shares, of 2^31 - 1
+_P = 2147483647
+_BOUNDS = (790015083, 1580030167, 1975037709, 2106706890, 2139624185, 2146207644, 2147304887, 2147461637)
+_TIMES = " + ".join(f"(u >= {x})::INT" for x in _BOUNDS)
+SQL["bootstrap_merged"] = f"""WITH d AS (SELECT lang, doc_id AS k, (length(text) % 1000) / 1000 AS v, r FROM documents, range(200) AS t(r) WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+a AS (SELECT *, (k % {_P} * 48271 + r * 69621 + 1) % {_P} AS m FROM d), b AS (SELECT *, (m * m + r) % {_P} AS m2 FROM a), c AS (SELECT *, (m2 * 16807 + k) % {_P} AS m3 FROM b),
+e AS (SELECT lang, r, v, {_TIMES} AS w FROM (SELECT *, (m3 * m3) % {_P} AS u FROM c)), s AS (SELECT lang, r, sum(v * w) / sum(w) AS m FROM e GROUP BY lang, r HAVING sum(w) > 0),
+o AS (SELECT lang, m, row_number() OVER (PARTITION BY lang ORDER BY m) AS i FROM s)
+SELECT lang, round(max(m) FILTER (i = 6), 6) AS lo, round(max(m) FILTER (i = 195), 6) AS hi FROM o GROUP BY lang"""
 STAGED = f"""{CASES}, staged AS (SELECT *, 'e2e' AS stage, ranked[:3] AS ids FROM cases UNION ALL SELECT *, 'oracle', CASE WHEN len(gold_ids) = 0 THEN ranked[:3] ELSE list_concat(forbidden_ids, gold_ids) END FROM cases)"""
 for _stage in ("e2e", "oracle"):
     SQL[f"{_stage}_context"] = f"WITH {STAGED} SELECT case_id, (i - 1)::BIGINT AS pos, ids[i] AS doc_id FROM (SELECT case_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM staged WHERE stage = '{_stage}')"
@@ -309,6 +318,9 @@ _DIFFERS = {"generator": "false", "model": "a.lang IS DISTINCT FROM b.lang", "k"
 _ISSUES = ", ".join(f"CASE WHEN {_DIFFERS.get(k, 'false')} THEN {lit(v)} END" for k, v in COMPARED.items())
 SQL["comparability"] = f"""WITH r AS (SELECT source, min(lang) AS lang, count(*) AS n, list_sort(list_distinct(list((doc_id % 7)::VARCHAR))) AS ids FROM documents GROUP BY source)
 SELECT a.source AS left_id, b.source AS right_id, array_to_string(list_filter([{_ISSUES}, 'corpus', CASE WHEN a.ids <> b.ids THEN 'evaluated cases/order' END, CASE WHEN a.n % 5 = 0 OR b.n % 5 = 0 THEN 'saved-answer replay' END], lambda x: x IS NOT NULL), ', ') AS issues FROM r a JOIN r b ON a.source < b.source"""
+_G_ISSUES = f"""[CASE WHEN a.lang IS DISTINCT FROM b.lang THEN {lit(COMPARED["model"])} END, CASE WHEN a.k IS DISTINCT FROM b.k THEN {lit(COMPARED["k"])} END, CASE WHEN NOT (a.s AND b.s) THEN 'corpus' END, CASE WHEN a.c <> b.c THEN 'evaluated cases/order' END, CASE WHEN a.z OR b.z THEN 'saved-answer replay' END]"""
+SQL["comparability_groups"] = f"""WITH g AS (SELECT min(doc_id) AS id, count(*) AS n, lang, n_chars % 3 AS k, source IS NOT NULL AS s, doc_id % 2 AS c, coalesce(n_chars % 5 = 0, false) AS z FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL)
+SELECT a.id AS left_id, b.id AS right_id, a.n AS n_left, b.n AS n_right, array_to_string(list_filter({_G_ISSUES}, lambda x: x IS NOT NULL), ', ') AS issues FROM g a JOIN g b ON a.id < b.id OR (a.id = b.id AND a.n > 1)"""
 _MEANS = "avg(len(list_intersect(gold_ids, ranked[:3])) / len(gold_ids)) AS recall_at_3, avg(coalesce(1.0 / list_min(list_filter(list_transform(gold_ids, lambda g: list_position(ranked, g)), lambda p: p > 0)), 0.0)) AS mrr"
 SQL["metric_delta"] = f"""WITH {BM25}, {retrieval("ex", expanded)}, gold AS (SELECT DISTINCT item_id AS case_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), golds AS (SELECT case_id, list(doc_id) AS gold_ids FROM gold GROUP BY case_id),
 l AS (SELECT {_MEANS} FROM golds LEFT JOIN (SELECT case_id, list(doc_id ORDER BY rank) AS ranked FROM bm25 GROUP BY case_id) USING (case_id)), r AS (SELECT {_MEANS} FROM golds LEFT JOIN (SELECT case_id, list(doc_id ORDER BY rank) AS ranked FROM ex GROUP BY case_id) USING (case_id)),

@@ -107,19 +107,41 @@ def manifest(reports: list[tuple[str, str, dict]], dataset: str) -> dict:
     return {"evaluation_mode": "controlled_comparison", "generator": c["generator"], "model": c.get("model"), "dataset": dataset, "k": c["k"], "judge": c["support_judge"], "scoring_version": c["scoring_version"], "inputs": c.get("inputs"), "reports": entries}
 
 
+def _issues(a: str, b: str) -> Column:
+    """What keeps runs a and b (aliases) from being compared."""
+    at = lambda side, key: F.try_element_at(f"{side}.config", F.lit(key))
+    differs = [F.when(~at(a, k).eqNullSafe(at(b, k)), F.lit(name)) for k, name in COMPARED.items()]
+    prints = [F.when(at(a, k).isNull() | at(b, k).isNull() | (at(a, k) != at(b, k)), F.lit(name)) for k, name in (("cases_sha256", "case set"), ("corpus_sha256", "corpus"))]
+    order = F.when(~F.col(f"{a}.case_ids").eqNullSafe(F.col(f"{b}.case_ids")), F.lit("evaluated cases/order"))
+    replay = F.when(F.col(f"{a}.replay") | F.col(f"{b}.replay"), F.lit("saved-answer replay"))
+    return F.array_compact(F.array(*differs, *prints, order, replay))
+
+
+def grouped_runs(runs: DataFrame) -> DataFrame:
+    """runs with group_id, a hash of all that comparability looks at: runs of a group can't be told
+    apart by it."""
+    keys = [*COMPARED, "cases_sha256", "corpus_sha256"]
+    parts = F.struct(*(F.try_element_at("config", F.lit(k)).alias(f"k{i}") for i, k in enumerate(keys)), "case_ids", F.coalesce("replay", F.lit(False)).alias("replay"))
+    return runs.withColumn("group_id", F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256))
+
+
+def comparability_groups(runs: DataFrame) -> DataFrame:
+    """(left_id, right_id, n_left, n_right, issues) of all pairs of groups of like runs, each named
+    by its smallest run_id, and of each group of several runs with itself: at most the square of
+    the number of groups, however many runs there are.  grouped_runs() has the members."""
+    one = grouped_runs(runs).groupBy("group_id").agg(F.min_by(F.struct("run_id", "config", "case_ids", "replay"), "run_id").alias("r"), F.count("*").alias("n"))
+    one = one.select("group_id", "r.*", "n")
+    a, b = one.alias("a"), one.alias("b")
+    pairs = a.join(b, (F.col("a.run_id") < F.col("b.run_id")) | ((F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.n") > 1)))
+    return pairs.select(F.col("a.run_id").alias("left_id"), F.col("b.run_id").alias("right_id"), F.col("a.n").alias("n_left"), F.col("b.n").alias("n_right"), _issues("a", "b").alias("issues"))
+
+
 def comparability(runs: DataFrame) -> DataFrame:
     """(left_id, right_id, issues) of all pairs of runs (run_id, config map<string,string>,
-    case_ids array, replay boolean): what keeps two runs from being compared."""
+    case_ids array, replay boolean): what keeps two runs from being compared.  As many rows as
+    pairs; comparability_groups() says the same in few."""
     a, b = runs.alias("a"), runs.alias("b")
-    differs = [F.when(~F.try_element_at("a.config", F.lit(k)).eqNullSafe(F.try_element_at("b.config", F.lit(k))), F.lit(name)) for k, name in COMPARED.items()]
-    prints = []
-    for key, name in (("cases_sha256", "case set"), ("corpus_sha256", "corpus")):
-        x, y = F.try_element_at("a.config", F.lit(key)), F.try_element_at("b.config", F.lit(key))
-        prints.append(F.when(x.isNull() | y.isNull() | (x != y), F.lit(name)))
-    order = F.when(~F.col("a.case_ids").eqNullSafe(F.col("b.case_ids")), F.lit("evaluated cases/order"))
-    replay = F.when(F.col("a.replay") | F.col("b.replay"), F.lit("saved-answer replay"))
-    issues = F.array_compact(F.array(*differs, *prints, order, replay))
-    return a.join(b, F.col("a.run_id") < F.col("b.run_id")).select(F.col("a.run_id").alias("left_id"), F.col("b.run_id").alias("right_id"), issues.alias("issues"))
+    return a.join(b, F.col("a.run_id") < F.col("b.run_id")).select(F.col("a.run_id").alias("left_id"), F.col("b.run_id").alias("right_id"), _issues("a", "b").alias("issues"))
 
 
 def deltas(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -482,6 +482,14 @@ def bootstrap_ci_exact(spark, sf):
     return M.bootstrap_exact(_retrieval(spark, sf), "rr", "case_id")
 
 
+@query
+def bootstrap_merged(spark, sf):
+    """Of a number that documents' lengths give, by language: every row takes part."""
+    rows = spread(table(spark, sf, "documents")).select("lang", "doc_id", (F.length("text") % 1000 / 1000).alias("v"))
+    ci = M.bootstrap_merged(rows, "v", "doc_id", "lang", n=200)
+    return ci.select("lang", r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
 @query
 def confusion_matrix(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
@@ -547,6 +555,15 @@ def comparability(spark, sf):
     return X.comparability(runs).select("left_id", "right_id", F.array_join("issues", ", ").alias("issues"))
 
 
+@query
+def comparability_groups(spark, sf):
+    """Runs are documents: what groups of like ones differ in."""
+    t = table(spark, sf, "documents").where("doc_id IS NOT NULL")
+    config = F.create_map(F.lit("generator"), F.lit("extractive"), F.lit("model"), F.col("lang"), F.lit("k"), (F.col("n_chars") % 3).cast("string"), F.lit("cases_sha256"), F.lit("x"), F.lit("corpus_sha256"), F.when(F.col("source").isNotNull(), F.lit("y")))
+    runs = t.select(F.col("doc_id").alias("run_id"), config.alias("config"), F.array(F.col("doc_id") % 2).cast("array<string>").alias("case_ids"), (F.col("n_chars") % 5 == 0).alias("replay"))
+    return X.comparability_groups(runs).withColumn("issues", F.array_join("issues", ", "))
+
+
 @query
 def metric_delta(spark, sf):
     def one(name):
