@@ -44,6 +44,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FEW = 1 << 18
+
+
+def sized(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, of numbers only, sent whole to all tasks that join it where it has at most `most` rows
+    (counted; some 12 MB); a larger one is joined by a shuffle, with the same result."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that stored() made."""
     spark = df.sparkSession

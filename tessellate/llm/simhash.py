@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_document, dropped, id_text, stored
+from .common import FEW, by_document, dropped, id_text, sized, stored
 
 SEED = 42
 SHINGLE = 3
@@ -466,7 +466,7 @@ def text_hash(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 3456, block: int = 24, verified: int = 512) -> DataFrame:
+def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits: int = 3456, block: int = 24, verified: int = 512, few: int = FEW) -> DataFrame:
     """doc_id, mark (text_hash()) and comp of each row: rows share comp if a chain of pairs
     of that Jaccard similarity of their shingle sets links them.
 
@@ -505,7 +505,8 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits:
     dropped(wide)
     words_of = nodes.select("node", *(F.col("words")[i].alias(f"w{i}") for i in range(n_words)))
     loose = stored(clusters(nodes.select("node", F.explode("keys").alias("key")), words_of, allowed_bits(similarity, verified), F.shiftrightunsigned("key", block) < EARLY), "groups")
-    one = rows.join(loose.select("node"), "node").groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("row"))
+    one = stored(rows.join(loose.select("node"), "node").groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("row")), "wanted")
+    one = sized(one, few)
     texts = id_text(docs).withColumn("mark", text_hash()).withColumnRenamed("doc_id", "id")
     met = texts.join(one, (F.col("mark") == F.col("row.mark")) & F.col("id").eqNullSafe(F.col("row.doc_id")))
     sets = by_document(met.select(F.col("node").alias("doc_id"), "text").groupBy("doc_id").agg(F.first("text").alias("text")), members, "node long, members binary")
@@ -513,6 +514,28 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, width: int = 5, bits:
     return rows.select("doc_id", "mark", "node").join(found, "node", "left").select("doc_id", "mark", F.coalesce("comp", "node").alias("comp"))
 
 
+def without_similar(docs: DataFrame, few: int = FEW, **more) -> DataFrame:
+    """One row of docs, all columns, of each group that similar_rows() links: that of the smallest
+    doc_id, one without doc_id if none has any.  Of rows equal in doc_id and text one stays,
+    chosen by a hash of all its columns.  Only ids and hashes are grouped; texts are moved only
+    where what goes is too much to be sent to all tasks."""
+    rows = stored(similar_rows(docs, few=few, **more), "linked")
+    pairs = rows.groupBy("comp", "doc_id", "mark").agg(F.count("*").alias("times"))
+    least = pairs.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "mark")).alias("least"))
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark"))
+    gone = pairs.join(least, "comp").where(~stays | (F.col("times") > 1))
+    gone = stored(gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), stays.alias("again")), "gone")
+    # packed, so that no column of docs can clash with ours
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), text_hash().alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark"))
+    out = packed.join(sized(gone, few), same, "left_anti")
+    again = gone.where("again")
+    if not again.isEmpty():
+        one = packed.join(sized(again, few), same, "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        out = out.unionByName(one)
+    return out.select("row.*")
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, **more) -> DataFrame:
     """doc_id, component_id: the smallest doc_id of the rows that similar_rows() links."""
     rows = stored(similar_rows(docs, similarity, **more), "linked")
