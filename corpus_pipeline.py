@@ -11,7 +11,6 @@ of near-duplicates the row of the smallest doc_id stays, of equal rows one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessellate.llm import language, pieces, secrets, simhash, tiling
 from tessellate.llm.common import load, stored
@@ -25,16 +24,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays: that
-    of the smallest doc_id, or one without doc_id if none has any.  Rows are judged, not ids.
-    Of rows equal in doc_id and text one stays, chosen by a hash of all its columns."""
-    rows = simhash.similar_rows(docs)
-    kept = rows.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "mark")).alias("least"))
-    kept = kept.select(F.col("least.doc_id").alias("kept_id"), F.col("least.mark").alias("kept_mark"))
-    # packed, so that no column of docs can clash with ours
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), simhash.text_hash().alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
-    one = packed.join(kept, same, "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return one.select("row.*")
+    of the smallest doc_id, or one without doc_id if none has any.  Rows are judged, not ids."""
+    return simhash.without_similar(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
