@@ -8,9 +8,12 @@ the id), counted on the executors.  The model is `BUCKETS` x languages numbers a
 scripts seen with each language, whatever the input's size.
 
 A word's score for a language is the mean log share of its n-grams, scaled by the square
-root of its letters; languages never seen with the word's script are out of the question
-(minus infinity) where another was seen with it.  The Viterbi steps run over many documents
-at once.
+root of its letters.  A script's candidates are the languages of whose letters in training it
+holds at least SHARE, so a few words in a foreign script admit none; all others are out of the
+question (minus infinity) for its words.  Where no language has that share, those that were seen
+with the script are candidates.  The Viterbi steps run over many documents at once.
+
+Over MAX_LANGS different labels are an error: the model is BUCKETS numbers for each.
 
 Defined cases: a null text or one without a letter is `und` with score 0; a word of a
 script unseen in training keeps all languages; ties go to the first language in sorted
@@ -40,6 +43,7 @@ from .common import LONGEST, by_document, shipped
 BUCKETS = 1 << 16
 PENALTY = 6.0  # log units that a change of language costs
 PER_LANG, MAX_DOCS, PARTS = 1000, 12_000, 100
+MAX_LANGS, SHARE = 200, 0.05
 CACHE = 1 << 17
 TOKENIZED, HELD = 500, 1 << 22  # documents, scores
 UND = "und"
@@ -87,7 +91,7 @@ class Model:
     key: str  # names this model among those a worker has seen
     langs: list[str]
     weights: np.ndarray  # (BUCKETS, langs) log shares
-    scripts: dict[str, np.ndarray]  # which languages were seen with a script
+    scripts: dict[str, np.ndarray]  # which languages are candidates for a script
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """Scores of words for each language, (words, langs)."""
@@ -134,7 +138,6 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX_DOCS) -
             out = []
             for lang, part in pdf.groupby("lang"):
                 n = np.zeros(BUCKETS, np.int64)
-                seen: set[str] = set()
                 words: dict[str, int] = {}
                 for text in part["text"]:
                     for w in words_of(text):
@@ -144,27 +147,39 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX_DOCS) -
                 for k in range(0, len(distinct), 20_000):
                     g, of = grams(distinct[k : k + 20_000])
                     n += np.bincount(g, times[k : k + 20_000][of], BUCKETS).astype(np.int64)
-                seen.update(map(script, distinct))
+                letters: dict[str, int] = {}
+                for w, k in words.items():
+                    letters[script(w)] = letters.get(script(w), 0) + k * len(w)
                 at = np.nonzero(n)[0]
                 out.append(pd.DataFrame({"lang": lang, "bucket": at, "n": n[at], "script": None}))
-                out.append(pd.DataFrame({"lang": lang, "bucket": -1, "n": 0, "script": sorted(seen)}))
+                out.append(pd.DataFrame({"lang": lang, "bucket": -1, "n": letters.values(), "script": letters.keys()}))
             if out:
                 yield pd.concat(out)
 
     counts = sample(docs, per_lang, max_docs).select("text", "lang").mapInPandas(count, "lang string, bucket long, n long, script string")
-    rows = counts.groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique()) if len(rows) else []
-    n = np.zeros((BUCKETS, len(langs)))
-    scripts: dict[str, np.ndarray] = {}
+    rows = counts.groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n"))
+    labels = [r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
+    if len(labels) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages in column lang")
+    rows, langs = rows.toPandas(), sorted(labels)
     col = {x: i for i, x in enumerate(langs)}
+    n = np.zeros((BUCKETS, len(langs)))
     marks = rows["bucket"] < 0
     body = rows[~marks]
     n[body["bucket"].to_numpy(int), body["lang"].map(col).to_numpy(int)] = body["n"]
+    letters: dict[str, np.ndarray] = {}
     for _, r in rows[marks].iterrows():
-        if r["script"]:
-            scripts.setdefault(r["script"], np.zeros(len(langs), bool))[col[r["lang"]]] = True
+        letters.setdefault(r["script"], np.zeros(len(langs)))[col[r["lang"]]] = r["n"]
     share = (n + 0.5) / (n.sum(0) + 0.5 * BUCKETS) if langs else n
-    return Model(uuid.uuid4().hex, langs, np.log(share).astype(np.float32) if langs else n, scripts)
+    return Model(uuid.uuid4().hex, langs, np.log(share).astype(np.float32) if langs else n, candidates(letters))
+
+
+def candidates(letters: dict[str, np.ndarray], least: float = SHARE) -> dict[str, np.ndarray]:
+    """Of each script which languages its words may be of; letters: how many of each language's
+    letters are of the script."""
+    total = np.maximum(sum(letters.values(), 0), 1)
+    enough = {s: x / total >= least for s, x in letters.items()}
+    return {s: x if x.any() else letters[s] > 0 for s, x in enough.items()}
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:

@@ -14,7 +14,7 @@ THRESHOLD or more.
 
 The items are broadcast in blocks of at most BLOCK_BYTES of text each, one block after the
 other: driver and executors hold one at a time, the documents are scanned once for each, and
-nothing is shuffled.
+nothing is shuffled.  A worker's index of a full block takes some 20 times its text at most.
 
 Defined cases: null and empty texts match nothing, and items without words are in no
 document; items of fewer than MIN_MATCH words match where they stand whole; repeated items
@@ -36,7 +36,7 @@ from .licenses import words_of
 
 MIN_MATCH = 5
 THRESHOLD = 0.8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BITS = 20
@@ -84,19 +84,20 @@ class Seeds:
             h = rolled(running(codes), width)
             hashes.append(h)
             before.append(np.concatenate([[_NO_WORD], codes[: len(h) - 1]]).astype(np.uint64))
-            item.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
+            item.append(np.full(len(h), k, np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
         join = lambda x, t: np.concatenate([*x, np.zeros(0, t)]).astype(t)
         h, before = join(hashes, np.uint64), join(before, np.uint64)
         order = np.lexsort((before, h))
         h, before = h[order], before[order]
-        self.item, self.place = join(item, np.int64)[order], join(place, np.int64)[order]
+        self.item, self.place = join(item, np.int32)[order], join(place, np.int32)[order]
+        del hashes, item, place
         self.hashes, first = np.unique(h, return_index=True)
         self.bounds = np.append(first, len(h))
         both = h ^ (before * _BASE)
         cut = np.nonzero(np.concatenate([[True], both[1:] != both[:-1]]))[0] if len(h) else np.zeros(0, np.int64)
         order = np.argsort(both[cut])
-        self.after, self.low, self.high = both[cut][order], cut[order], np.append(cut[1:], len(h))[order]
+        self.after, self.low, self.high = both[cut][order], cut[order].astype(np.int32), np.append(cut[1:], len(h))[order].astype(np.int32)
         self.map = np.zeros(1 << _BITS, bool)
         self.map[self.hashes >> np.uint64(64 - _BITS)] = True
 
@@ -127,7 +128,8 @@ class Suite:
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int = MIN_MATCH):
         self.ids = [i for i, _ in items]
-        self.words = [words_of(t) for _, t in items]
+        known: dict[bytes, bytes] = {}
+        self.words = [[known.setdefault(w, w) for w in words_of(t)] for _, t in items]  # equal words once
         self.widths = [min(width, len(w)) for w in self.words]
         self.seeds = [Seeds(n, [(k, w) for k, w in enumerate(self.words) if self.widths[k] == n]) for n in sorted(set(self.widths) - {0})]
 

@@ -182,6 +182,67 @@ def test_long_words_are_not_remembered():
     assert dict(memo) == {"z": 1}
 
 
+def test_a_few_foreign_words_admit_no_language_to_a_script():
+    letters = {"Latn": np.array([1000, 20, 0]), "Cyrl": np.array([3, 980, 0]), "Grek": np.array([0, 4, 0])}
+    got = language.candidates(letters)
+    assert {k: v.tolist() for k, v in got.items()} == {"Latn": [True, False, False], "Cyrl": [False, True, False], "Grek": [False, True, False]}
+    assert language.candidates({}) == {}
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGS", 3)
+    rows = [(i, "some text", f"l{i % 9}") for i in range(60)]
+    with pytest.raises(ValueError, match="over 3 languages"):
+        language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def brute_language(text, m, penalty):
+    """(lang_pred, score, spans) by trying the steps of Viterbi one word and label at a time."""
+    import json
+
+    words = language.words_of(text)
+    if not words:
+        return ("und", 0.0, "[]")
+    scores = [m.vectors([w])[0].astype(float).tolist() for w in words]
+    best, back = scores[0], []
+    for row in scores[1:]:
+        top = max(range(len(best)), key=lambda k: (best[k], -k))
+        step = [(k if best[k] >= best[top] - penalty else top) for k in range(len(best))]
+        back.append(step)
+        best = [max(best[k], best[top] - penalty) + row[k] for k in range(len(best))]
+    label = max(range(len(best)), key=lambda k: (best[k], -k))
+    labels = [label]
+    for step in reversed(back):
+        label = step[label]
+        labels.append(label)
+    labels.reverse()
+    letters = Counter()
+    for k, w in zip(labels, words):
+        letters[k] += len(w)
+    top = min(letters, key=lambda k: (-letters[k], k))
+    spans = []
+    for k in labels:
+        if spans and spans[-1][0] == m.langs[k]:
+            spans[-1][1] += 1
+        else:
+            spans.append([m.langs[k], 1])
+    return (m.langs[top], letters[top] / sum(letters.values()), json.dumps(spans))
+
+
+def test_labels_of_mixed_text_equal_brute_force(spark):
+    rnd = random.Random(17)
+    kinds = {"de": "und der die das nicht straße über mit von zu".split(), "en": "and the that this not street over with from to".split(), "ru": "и это что не улица над с из к дом".split()}
+    text = lambda ks, n: " ".join(rnd.choice(kinds[rnd.choice(ks)]) for _ in range(n))
+    rows = [(i, text([k], 30) + (" дом" if k == "en" and i % 20 == 0 else ""), k) for i, k in enumerate(list(kinds) * 40)]
+    m = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.scripts["Cyrl"].tolist() == [False, False, True] and m.scripts["Latn"].tolist() == [True, True, False]
+    mixed = [(i, "; ".join(text([rnd.choice(list(kinds))], rnd.randrange(1, 9)) for _ in range(rnd.randrange(1, 5)))) for i in range(150)] + [(900, None), (901, "12 !"), (902, "中文 の"), (903, "x")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["spans"]) for r in language.language_id(table(spark, mixed), m).collect()}
+    for i, t in mixed:
+        want = brute_language(t, m, language.PENALTY)
+        assert got[i][::2] == want[::2] and got[i][1] == pytest.approx(want[1])
+
+
 # 4 -- SimHash
 
 
@@ -244,6 +305,18 @@ def test_components_equal_brute_force(spark, tile):
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == brute_components(rows)
 
 
+def test_recall_of_near_duplicates_at_the_threshold(spark):
+    """Pairs of similarity 0.8 exactly: 40 shingles of 50 in common."""
+    rnd = random.Random(21)
+    rows, n = [], 250
+    for k in range(n):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(49)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-5], *(f"v{rnd.randrange(10**6)}" for _ in range(5))]))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, rows)).collect()}
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(n)) >= 0.9 * n
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
 def test_similar_documents(spark):
     rnd = random.Random(9)
     base = [f"w{rnd.randrange(5000)}" for _ in range(400)]
@@ -527,6 +600,26 @@ def brute_tiles(doc, item, width):
         out.append(best)
 
 
+def test_an_index_of_a_full_block_takes_little_memory():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import random, resource
+from tessellate.llm import tiling
+rnd, items, size = random.Random(1), [], 0
+while size < tiling.BLOCK_BYTES:
+    items.append((len(items), " ".join(f"word{rnd.randrange(300_000)}" for _ in range(30))))
+    size += len(items[-1][1])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+tiling.Suite(items)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=200)
+    assert int(out.stdout.split()[-1]) < 300, out.stderr
+
+
 def test_tiles_equal_brute_force():
     rnd = random.Random(8)
     for _ in range(60):
@@ -717,8 +810,9 @@ def test_dedup_judges_rows_without_id_and_rows_that_share_an_id(spark):
     rnd = random.Random(13)
     a, b, c, d = (" ".join(f"w{rnd.randrange(9000)}" for _ in range(80)) for _ in range(4))
     rows = [(None, a), (None, a), (None, a + " more"), (1, b), (1, c), (1, c), (2, b), (None, c), (3, d), (4, d), (None, "")]
-    got = corpus_pipeline.dedup_stage(spark, table(spark, rows), "")
-    assert "text_mark" not in got.columns
-    left = Counter((r["doc_id"], r["text"]) for r in got.collect())
-    first = next(k for k in left if k[0] is None and k[1] != "")
-    assert first[1] in (a, a + " more") and left == Counter([first, (1, b), (1, c), (3, d), (None, "")])
+    assert corpus_pipeline.STAGES[1][1].__name__ == "dedup_stage"
+    for few in (simhash.FEW, 0):  # what is sent to all tasks, and what is joined by a shuffle
+        got = simhash.without_similar(table(spark, rows), few)
+        left = Counter((r["doc_id"], r["text"]) for r in got.collect())
+        first = next(k for k in left if k[0] is None and k[1] != "")
+        assert first[1] in (a, a + " more") and left == Counter([first, (1, b), (1, c), (3, d), (None, "")])
