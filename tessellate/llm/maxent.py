@@ -43,7 +43,7 @@ WORDS, CLASSES, KINDS = 1 << 16, 47, 8
 HASHED = 1 << 13  # rows of weights that word features share
 ROUNDS, PRIOR = 4, 4.0
 PIECE = 1 << 18  # bytes of text that are read at once
-TASK = 1 << 26  # bytes of text of a training task, at least
+TASK = 1 << 25  # bytes of text of a training task, at least
 BATCH = 1 << 13  # tokens of a softmax
 SHARDS, FAN = 8, 32
 END = b"\n"  # no word has a line feed
