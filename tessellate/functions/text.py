@@ -170,6 +170,8 @@ def bounds(text: Column) -> Column:
     return F.filter(all_, last)
 
 
+# Fixed value: what counts as a name.  The patterns of foundings, lists and statuses in the three
+# functions below are fixed too, as the same sentences must match.
 _NAME = r"[A-Z][\p{L}\p{N}_]*(?: [A-Z][\p{L}\p{N}_]*){0,3}"
 
 

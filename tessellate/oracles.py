@@ -6,10 +6,8 @@ words are tested against whole runs of word characters.
 
 from __future__ import annotations
 
-from .functions import text as T
-from .operators.answer import ABSTAINS, TAXONOMY
-from .operators.judge import UNITS
-from .plans.experiments import COMPARED
+from . import oracle_values as T
+from .oracle_values import ABSTAINS, COMPARED, TAXONOMY, UNITS
 
 SQL: dict[str, str] = {}
 W = r"[\p{L}\p{N}_]"
@@ -121,6 +119,10 @@ SQL["jsonl_errors"] = f"SELECT id, coalesce({_DOC_ERROR}, CASE WHEN k > 1 THEN '
 SQL["case_errors"] = f"""SELECT conv_id, turn, CASE WHEN role IS NULL OR role NOT IN ('user', 'assistant', 'known', 'unanswerable', 'adversarial') THEN 'Unknown case type: ' || coalesce(role, 'None') WHEN conv_id IS NULL THEN 'Case.id must be a nonempty string'
   WHEN {_BLANK.format(strip("text"))} THEN 'Case.answers must be a sequence of nonempty strings' END AS error FROM conversations"""
 SQL["jsonl_cases"] = "SELECT item_id::VARCHAR AS case_id, CASE WHEN item_id % 2 = 0 THEN 'known' ELSE 'unanswerable' END AS type, text AS question, 'd' || item_id AS gold_ids, 0::BIGINT AS n_answers, item_id % 2 <> 0 AS must_abstain FROM benchmark"
+SQL["jsonl_case_errors"] = """SELECT item_id::VARCHAR AS id, CASE WHEN item_id % 5 = 1 THEN 'unexpected key: extra' WHEN item_id % 5 = 0 THEN 'a field has the wrong type' WHEN item_id % 7 = 0 THEN 'Unknown case type: odd'
+  WHEN item_id % 5 = 3 THEN 'Case.answers must be a sequence of nonempty strings' END AS error FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL"""
+SQL["jsonl_probes"] = "SELECT conv_id || '-' || turn AS id, text AS claim, 2::BIGINT AS n, role AS first, turn % 2 = 1 AS expected, role AS category FROM conversations"
+SQL["file_fingerprints"] = "SELECT sha256(string_agg(text || chr(10), '' ORDER BY item_id)) AS sha256, sum(strlen(text) + 1)::BIGINT AS length FROM benchmark"
 SQL["overlapping_cases"] = "SELECT doc_id AS case_id FROM labels WHERE doc_id % 10 = doc_id % 7"
 SQL["report_cells"] = """SELECT doc_id, translate(replace(text, '|', '\\|'), chr(10) || chr(13), '  ') AS cell, coalesce(printf('%.3f', n_chars / 7), 'n/a') AS sevenths, coalesce(printf('%.1f%%', n_chars / 70001 * 100), 'n/a') AS share,
   CASE WHEN lang = 'en' THEN 'Holdout' ELSE 'Validation' END AS label FROM documents"""
@@ -307,6 +309,13 @@ c AS (SELECT uid, conv_id, turn, pos, {claim_tokens("claim")} AS t, {subjects("c
 e0 AS (SELECT uid, unnest({sentences("evidence")}) AS e FROM n), e AS (SELECT uid, {claim_tokens("e")} AS t, {subjects("e")} AS subj, {denies("e")} AS neg, {numbers("e")} AS num FROM e0),
 yes AS (SELECT DISTINCT uid FROM c JOIN e USING (uid) WHERE len(c.t) > 0 AND list_has_all(e.subj, c.subj) AND c.neg = e.neg AND list_has_all(e.t, list_intersect(c.t, {array(UNITS)})) AND list_has_all(e.num, c.num) AND len(list_intersect(c.t, e.t)) / len(c.t) >= 0.8)
 SELECT conv_id, turn, pos, uid IN (SELECT uid FROM yes) AS supported FROM c"""
+SQL["streamed_diagnosis"] = f"WITH {DONE} SELECT case_id, retrieval_hit, diagnosis FROM done"
+SQL["claims_in_corpus"] = f"""WITH q AS (SELECT item_id, {sentences("text")} AS ss FROM benchmark), n AS (SELECT item_id || '-' || (i - 1) AS claim_id, ss[i] AS claim FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM q)),
+c AS (SELECT claim, {claim_tokens("claim")} AS t, {subjects("claim")} AS subj, {denies("claim")} AS neg, {numbers("claim")} AS num FROM (SELECT DISTINCT claim FROM n)),
+d AS (SELECT DISTINCT doc_id, unnest({sentences("text")}) AS e FROM documents), e AS (SELECT e, {claim_tokens("e")} AS t, {subjects("e")} AS subj, {denies("e")} AS neg, {numbers("e")} AS num FROM (SELECT DISTINCT e FROM d)),
+yes AS (SELECT DISTINCT claim, e.e FROM c JOIN e ON len(c.t) > 0 AND list_has_all(e.subj, c.subj) AND c.neg = e.neg AND list_has_all(e.t, list_intersect(c.t, {array(UNITS)})) AND list_has_all(e.num, c.num) AND len(list_intersect(c.t, e.t)) / len(c.t) >= 0.8),
+f AS (SELECT claim, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_id FROM yes JOIN d USING (e) GROUP BY claim)
+SELECT claim_id, coalesce(documents, 0) AS documents, first_id FROM n LEFT JOIN f USING (claim)"""
 _SAID = "'Within ' || turn + 1 || ' days, at least 5 GB; refunds up to ' || conv_id || ' hours. 7 GB then 5 GB. ' || role || '. ' || text"
 SQL["quantity_bounds"] = f"""WITH s AS (SELECT conv_id, turn, {_SAID} AS said FROM conversations)
 SELECT conv_id, turn, array_to_string(list_sort(list_transform({bounds("said")}, lambda x: replace(x.k, ' ', ':') || ':' || x.kind)), ',') AS bounds FROM s"""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import answer as A
 from .operators import cache
+from .operators import evidence as E
 from .operators import index as I
 from .operators import metrics as M
 from .operators import retrieve as R
@@ -27,6 +28,7 @@ from .plans import report as P
 from .plans.evaluate import evaluate, score
 from .session import shared_dir, spread, stored
 from .sources import jsonl as J
+from .streaming.diagnosis import diagnosed_stream, write_diagnosed
 
 K, DEPTH = 3, 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +207,36 @@ def jsonl_cases(spark, sf):
     return rows.select("case_id", "type", "question", listed("gold_ids").alias("gold_ids"), F.size("answers").cast("long").alias("n_answers"), "must_abstain")
 
 
+@query
+def jsonl_case_errors(spark, sf):
+    """benchmark written as cases with one fault each, decoded strictly; ids come twice where an
+    item is numbered a multiple of five."""
+    t = table(spark, sf, "benchmark").where("item_id IS NOT NULL AND text IS NOT NULL")
+    text = F.to_json(F.struct(F.col("text").alias("question"))).substr(F.lit(2), F.lit(1 << 30))  # without the opening brace
+    fault = F.element_at(F.array(*map(F.lit, ('"must_abstain":"true",', '"extra":1,', '"must_abstain":false,', '"answers":[" "],', ""))), (F.col("item_id") % 5 + 1).cast("int"))
+    kind = F.when(F.col("item_id") % 7 == 0, "odd").otherwise("known")
+    line = F.concat(F.lit('{"id":"'), F.col("item_id"), F.lit('","type":"'), kind, F.lit('",'), fault, text)
+    rows = J.decoded(spark, _written(spark, t.select(line), "cases"), "case")
+    return rows.select(F.coalesce("r.id", F.regexp_extract("r._bad", '"id":"([^"]*)"', 1)).alias("id"), "error")
+
+
+@query
+def jsonl_probes(spark, sf):
+    """Turns written as support probes and read back."""
+    t = _turns(spark, sf)
+    probe = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("claim"), F.array("role", "text").alias("evidence"), (F.col("turn") % 2 == 1).alias("expected"), F.col("role").alias("category"))
+    rows = J.load_probes(spark, _written(spark, t.select(F.to_json(probe)), "probes"))
+    return rows.select("id", "claim", F.size("evidence").cast("long").alias("n"), F.element_at("evidence", 1).alias("first"), "expected", "category")
+
+
+@query
+def file_fingerprints(spark, sf):
+    """The bytes of a file of all items, one after the other."""
+    t = table(spark, sf, "benchmark").where("text IS NOT NULL").coalesce(1).sortWithinPartitions("item_id")
+    found = J.files(spark, _written(spark, t.select("text"), "items"), "part-*")
+    return found.select("sha256", F.col("length").cast("long").alias("length"))
+
+
 @query
 def overlapping_cases(spark, sf):
     t = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), F.array(F.col("doc_id") % 10).alias("gold_ids"), F.array(F.col("doc_id") % 7).alias("forbidden_ids"))
@@ -430,6 +462,14 @@ for _name in JUDGES:
     _support(_name)
 
 
+@query
+def claims_in_corpus(spark, sf):
+    """Sentences of the items as claims, and how many documents have one that supports each."""
+    items = questions(spark, sf).select("case_id", F.posexplode(T.sentences(F.col("item"))).alias("pos", "claim"))
+    claims = items.select(F.concat_ws("-", "case_id", "pos").alias("claim_id"), "claim")
+    return E.support_counts(docs(spark, sf), claims)
+
+
 @query
 def judge_validation(spark, sf):
     """Sentences as probes, expected to be supported where the turn is odd; turns as refusals."""
@@ -445,6 +485,17 @@ def diagnosis(spark, sf):
     return done.select("case_id", "retrieval_hit", "diagnosis", A.outcome("oracle").alias("oracle_outcome"))
 
 
+@query
+def streamed_diagnosis(spark, sf):
+    """The same, of scored rows that arrive as a stream of files."""
+    rows, _ = judged(spark, sf)
+    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.drop("context").withColumn("ts", F.timestamp_seconds(F.lit(946_684_800))).write.parquet(f"{top}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{top}/in").schema).parquet(f"{top}/in")
+    write_diagnosed(diagnosed_stream(source, K), f"{top}/out", f"{top}/checkpoint", True).awaitTermination()
+    return spark.read.parquet(f"{top}/out").select("case_id", "retrieval_hit", "diagnosis")
+
+
 @query
 def generation_summary(spark, sf):
     rows, _ = judged(spark, sf)
