@@ -1,12 +1,13 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are counted over all training documents.  The WORDS most frequent ones are dealt into
-CLASSES classes by k-means over the kinds of documents they stand in; all other tokens, unseen
-ones included, form one class more.  A token's probability is P(class | context) * P(token |
-class).  The first factor is a softmax over weights of the context's features: the last word
-(hashed), the last class and the last two, and skips to the class two and three places back.  The second factor has no context, so its best weights are known: the token's
-share of its class, and in the class of other tokens (count + 1) / (all + distinct + 1), which
-leaves unseen tokens the share of one, as the base score does.
+Tokens are counted over all training documents.  The most frequent ones, about WORDS, are dealt
+into CLASSES classes by k-means over the kinds of documents they stand in; all other tokens,
+unseen ones included, form one class more.  A token's probability is P(class | context) *
+P(token | class).  The first factor is a softmax over weights of the context's features: the last
+word (hashed), the last class and the last two, and skips to the class two and three places back.
+The second factor has no context, so its best weights are known: the token's share of its class,
+and in the class of other tokens (count + 1) / (all + distinct + 1), which leaves unseen tokens
+the share of one, as the base score does.
 
 Training: the documents are dealt by hash into ROUNDS parts, so all are read once.  In a round
 each task sums over its documents what each feature and class should have (observed) and what
@@ -183,11 +184,26 @@ def softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The end and the most frequent tokens, about WORDS at most: all whose count is above a bound
+    that a histogram of counts (2^6 bins to a doubling) gives, and of the bin below it a share by
+    hash, so no task sorts them."""
+    size, end = F.floor(F.log2("n") * 64).cast("int"), F.col("token") == F.lit(END)
+    bins = sorted(map(tuple, counts.where(~end).groupBy(size).agg(F.count("*")).collect()), reverse=True)
+    held, least, share = 0, 0, 1.0
+    for least, k in bins:
+        share = min(1.0, (WORDS - held) / k)
+        if share < 1:
+            break
+        held += k
+    some = F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return counts.where(end | (size > least) | ((size == least) & some)).orderBy("token")
+
+
 def start(counts: DataFrame) -> Model:
     """A model with counts but no weights yet."""
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("token") != F.lit(END)).orderBy(F.col("n").desc(), "token").limit(WORDS - 1)
-    rows = top.union(counts.where(F.col("token") == F.lit(END))).collect()  # WORDS at most
+    rows = frequent(counts).collect()  # about WORDS at most
     table = np.array([r[1:] for r in rows], np.float64).reshape(-1, KINDS + 1)
     points = np.sqrt(table[:, 1:] / np.maximum(table[:, 1:].sum(1, keepdims=True), 1))
     of = clustered(points, table[:, 0], CLASSES)
