@@ -35,9 +35,13 @@ def _inside(found: DataFrame, root: str) -> DataFrame:
 def reports(spark: SparkSession, root: str) -> DataFrame:
     """(path, sha256, length, report) of report*.json below root, hidden folders and files
     that hold no report left out, in order of path."""
-    found = _inside(files(spark, root, "report*.json"), root)
+    return decoded_reports(_inside(files(spark, root, "report*.json"), root)).orderBy("path")
+
+
+def decoded_reports(found: DataFrame) -> DataFrame:
+    """The reports among files (path, sha256, length, content)."""
     read = found.select("path", "sha256", "length", F.from_json(F.col("content").cast("string"), REPORT).alias("report"))
-    return read.where("NOT path RLIKE '/\\\\.' AND report.cases IS NOT NULL AND report.config IS NOT NULL").orderBy("path")
+    return read.where("NOT path RLIKE '/\\\\.' AND report.cases IS NOT NULL AND report.config IS NOT NULL")
 
 
 def warnings(spark: SparkSession, root: str) -> DataFrame:
@@ -54,8 +58,16 @@ def importable(found: DataFrame) -> DataFrame:
 
 def audits(spark: SparkSession, root: str) -> DataFrame:
     """(sha256, audit): by report; the last path wins."""
-    read = _inside(files(spark, root, "audit.json"), root).select("path", F.from_json(F.col("content").cast("string"), AUDIT).alias("audit"))
-    kept = read.where((F.col("audit.review_type") == AUDIT_KIND) & F.col("audit.original_report_sha256").isNotNull())
+    return last_audits(decoded_audits(_inside(files(spark, root, "audit.json"), root)))
+
+
+def decoded_audits(found: DataFrame) -> DataFrame:
+    """(path, audit) of the audits among files (path, content)."""
+    read = found.select("path", F.from_json(F.col("content").cast("string"), AUDIT).alias("audit"))
+    return read.where((F.col("audit.review_type") == AUDIT_KIND) & F.col("audit.original_report_sha256").isNotNull())
+
+
+def last_audits(kept: DataFrame) -> DataFrame:
     return kept.groupBy(F.col("audit.original_report_sha256").alias("sha256")).agg(F.max_by("audit", "path").alias("audit"))
 
 

@@ -62,3 +62,47 @@ def test_a_stage_that_never_comes_times_out(spark, tmp_path):
         stream(spark, path, schema, out, ckpt)
     got = view(spark.read.parquet(out))
     assert [(v[0], v[3]) for v in got] == [("q0", False), ("q1", True), ("q2", False)] and got[1][2] is None
+
+
+def test_a_catalog_of_files_as_they_arrive(spark, tmp_path):
+    import hashlib
+    import json
+
+    from tessellate.plans import catalog
+    from tessellate.streaming.catalog import merged, take_up
+
+    root, out, ckpt = (tmp_path / x for x in ("root", "out", "ckpt"))
+    root.mkdir()
+
+    def put(name, content):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content if isinstance(content, str) else json.dumps(content))
+        return hashlib.sha256((root / name).read_bytes()).hexdigest()
+
+    def made(k):
+        return {"config": {"retriever": "bm25", "k": k}, "cases": [{"id": "q1", "question": "?"}]}
+
+    def audit(sha, why):
+        return {"review_type": catalog.AUDIT_KIND, "original_report_sha256": sha, "cases": [{"id": "q1", "reviewed_diagnosis": why}]}
+
+    def rows(df):
+        return sorted((r["path"], r["sha256"], r["report"]["config"]["k"], r["audit"] and r["audit"]["cases"][0]["reviewed_diagnosis"]) for r in df.collect())
+
+    def whole():
+        return rows(catalog.with_audits(catalog.reports(spark, str(root)), catalog.audits(spark, str(root))))
+
+    args = (spark, str(root), str(out), str(ckpt))
+    one = put("a/report_1.json", made(1))
+    put("a/report_bad.json", "{")
+    put("a/other.json", {"x": 1})
+    put("b/audit.json", audit(one, "PASS"))
+    assert take_up(*args) == 1 and rows(merged(spark, str(out))) == whole() and len(whole()) == 1
+    assert take_up(*args) == 0
+    two = hashlib.sha256(json.dumps(made(2)).encode()).hexdigest()
+    put("c/audit.json", audit(one, "RETRIEVAL_MISS"))  # the last path counts
+    put("d/audit.json", audit(two, "PASS"))  # before its report
+    assert take_up(*args) == 1 and rows(merged(spark, str(out)))[0][3] == "RETRIEVAL_MISS"
+    assert put("e/report_2.json", made(2)) == two
+    assert take_up(*args) == 1 and rows(merged(spark, str(out))) == whole() and len(whole()) == 2
+    put("f/report_1.json", made(1))  # a copy is the same report
+    assert take_up(*args) == 1 and len(rows(merged(spark, str(out)))) == 2
