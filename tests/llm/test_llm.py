@@ -768,6 +768,9 @@ def test_queries_cover_their_tables(spark, sf):
         n = df.count()
         if name == "op8_decontamination":
             assert n > 0 and "doc_id" in df.columns
+        elif name == "op12_ranked_search":
+            items = spark.read.parquet(f"{sf}/benchmark.parquet").count()
+            assert 0 < n <= 50 * items and df.select("item_id").distinct().count() == items
         elif name == "op5_url_filter":
             assert n == spark.read.parquet(f"{sf}/pages.parquet").count()
         else:
