@@ -68,8 +68,10 @@ def bootstrap(rows: DataFrame, value: str, order: str, *by: str, n: int = RESAMP
     """The same interval by a portable integer hash, in built-in functions: resample r takes at
     place p the value numbered pmod(r * 1103515245 + p * 12345 + seed, size).
 
-    Sums go by value counts: rows are first numbered and gathered as one array for each
-    group, which is bounded by the evaluation set."""
+    Rows are gathered as one array for each group, which is bounded by the evaluation set.  The
+    draws are a line through the places, so where the size is prime to 12345 each resample takes
+    every value once and the interval is a point: a fixed check of the arithmetic.  For intervals
+    of large sets use bootstrap_merged()."""
     kept = rows.where(F.col(value).isNotNull())
     lists = kept.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("xs"))
     size = F.size("xs").cast("long")
