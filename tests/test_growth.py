@@ -38,3 +38,29 @@ def test_evaluation_gathers_no_context(spark):
 def test_scores_are_summed_in_bounded_tasks(spark):
     assert retrieve.parts(spark, 10, 10) == spark.sparkContext.defaultParallelism
     assert retrieve.parts(spark, 3_000_000, 200) * retrieve.CELLS >= 600_000_000
+
+
+def test_numbering_lines_moves_no_record(spark, tmp_path):
+    from tessellate.sources import jsonl
+
+    for name, first in (("a", 0), ("b", 300)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{i} \n\n" if i % 7 == 0 else f"{i}\n" for i in range(first, first + 300)))
+    want, n = [], 0
+    for name in ("a", "b"):
+        for value in (tmp_path / f"{name}.jsonl").read_text().split("\n")[:-1]:
+            for part in value.split(" "):
+                n += 1
+                want += [(n, part)] if part else []
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.maxRecordsPerFile")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 200)
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", 37)  # a split in several files
+        df = jsonl.lines(spark, str(tmp_path / "*.jsonl"))
+        assert sorted(tuple(r) for r in df.select("line", "record").collect()) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning" in line]
+    assert moved and not any("record" in line or " at#" in line for line in moved)  # counts alone
+    assert plan.count("record") and "Window" in plan and "parts#" not in plan
