@@ -64,3 +64,20 @@ def test_numbering_lines_moves_no_record(spark, tmp_path):
     moved = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning" in line]
     assert moved and not any("record" in line or " at#" in line for line in moved)  # counts alone
     assert plan.count("record") and "Window" in plan and "parts#" not in plan
+
+
+def test_evidence_is_read_once_for_all_claims_of_a_row(spark):
+    from tessellate.operators.judge import JUDGES
+    from tessellate.plans import experiments
+    from tessellate.session import dealt
+
+    texts = ["Acme Co was founded in 1999. The company has 3 sites. No refunds.", "Plans cost $40 per month. Up to 5 GB."]
+    claims = ["Acme Co has 3 sites.", "Plans cost $40.", "No refunds.", "At least 5 GB", ""]
+    rows = [(f"{i}{j}", c, e, True) for j, e in enumerate([texts, texts[:1], []]) for i, c in enumerate(claims)]
+    schema = "id string, claim string, evidence array<string>, expected boolean"
+    apart = spark.createDataFrame(rows, schema)
+    together = apart.groupBy("expected").agg(F.collect_list(F.struct("id", "claim", "evidence", "expected")).alias("probes"))
+    judges = list(JUDGES.values())
+    got = [sorted(map(tuple, experiments.judged_probes(x, judges).collect())) for x in (apart, together)]
+    assert got[0] == got[1] and {r[3] for r in got[0]} == {True, False}
+    assert dealt(spark.range(10), 10, 2).rdd.getNumPartitions() == 5
