@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessellate.functions import text as T
 from tessellate.operators import answer as A
 from tessellate.operators import retrieve
 from tessellate.plans.evaluate import evaluate
@@ -81,3 +82,48 @@ def test_evidence_is_read_once_for_all_claims_of_a_row(spark):
     got = [sorted(map(tuple, experiments.judged_probes(x, judges).collect())) for x in (apart, together)]
     assert got[0] == got[1] and {r[3] for r in got[0]} == {True, False}
     assert dealt(spark.range(10), 10, 2).rdd.getNumPartitions() == 5
+
+
+def _ranked(df):
+    return sorted((str(r["case_id"]), r["rank"], str(r["doc_id"]), r["score"]) for r in df.collect())
+
+
+def test_scores_of_a_task_are_those_of_joins(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(30)] + ["stored", "encryption", "information"]
+    some = lambda n: " ".join(rnd.choices(words, k=rnd.randrange(n)))
+    rows = [(f"d{i:03}", some(12) if i % 9 else "w1 w2 w3") for i in range(300)] + [("d900", None), ("d901", "w4 w5"), ("d901", "w4 w5"), ("d901", "w5 w6 w7"), (None, "w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    asked = spark.createDataFrame([(i, some(8)) for i in range(12)] + [(20, "w1 w2 w3"), (21, "absent"), (None, "w9 w4")], "case_id int, question string")
+    for tokens in (T.content_tokens, T.expanded_tokens):
+        for k in (1, 4, 400):
+            monkeypatch.setattr(retrieve, "HITS", 50)  # in several turns
+            near = _ranked(retrieve.bm25(docs, asked, k, tokens))
+            with monkeypatch.context() as m:
+                m.setattr(retrieve, "FEW", 0)
+                m.setattr(retrieve, "LISTED", 0)
+                assert near == _ranked(retrieve.bm25(docs, asked, k, tokens)) and near
+
+
+def test_documents_are_cut_and_counted_once_where_they_are_read(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    terms = spark.createDataFrame([("old",), ("oslo",)], "term string")
+    for asked in (None, terms):
+        df = retrieve._counted(docs, T.expanded_tokens, asked)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("regexp_extract_all") == 1
+    assert sorted((r.doc_id, r.term, r.tf) for r in df.collect() if r.term) == [(1, "old", 2), (2, "old", 1), (5, "oslo", 1), (5, "oslo", 1)]
+
+
+def test_keys_of_documents_are_listed_once(spark):
+    from tessellate.queries import containing
+
+    passages = spark.createDataFrame([(1, "is big and old. Paris"), (2, "Os"), (3, "")], "case_id int, item string")
+    docs = spark.createDataFrame(DOCS[:5], "doc_id bigint, text string")
+    plans, stored = [], __import__("tessellate.queries", fromlist=["x"]).stored
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("tessellate.queries.stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, name))
+        assert sorted(map(tuple, containing(passages, docs).distinct().collect())) == [(1, 2), (2, 5)]
+    assert len(plans) == 1 and plans[0].count("concat(") == 1
