@@ -91,3 +91,33 @@ def test_an_empty_index(spark, queries, tmp_path):
     index.write_segment(f"{tmp_path}", 0, docs_of(spark, []))
     assert index.bm25(spark, f"{tmp_path}", queries, 3).count() == 0
     assert index.pruned_bm25(spark, f"{tmp_path}", queries, 3).count() == 0
+
+
+def test_postings_are_moved_once_and_not_by_query(spark, built, queries, monkeypatch):
+    """Hits of (case, document) are not shuffled; joins of hits, for terms too many to send, agree."""
+    path, _ = built
+    plans, best = [], retrieve.best
+
+    def seen(found, *rest):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return best(found, *rest)
+
+    monkeypatch.setattr(index, "best", seen)
+    searches = (index.bm25, index.pruned_bm25)
+    near = [rows_of(s(spark, path, queries, 5, buckets=8)) for s in searches]
+    assert len(plans) == 2 and all("case_id" not in p and "BroadcastHashJoin" in p for p in plans)
+    monkeypatch.setattr(index, "few", lambda rows: False)
+    assert near == [rows_of(s(spark, path, queries, 5, buckets=8)) for s in searches] and len(plans) == 2
+
+
+def test_tokens_are_counted_where_they_stand(spark, tmp_path, monkeypatch):
+    """Only the deal to buckets moves postings; ids hidden by a segment are joined without words."""
+    plans = []
+    plain = index.stored
+    monkeypatch.setattr(index, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or plain(df, name))
+    rows = [(1, "w1 w2 w1"), (1, "w1 w3 w3"), (2, None)]
+    for n in (0, 1):
+        index.write_segment(str(tmp_path), n, docs_of(spark, rows), buckets=4)
+    assert [name for name, _ in plans] == ["hidden"] and "words" not in plans[0][1]
+    got = index.postings(spark, str(tmp_path)).select("segment", "doc_id", "term", "tf").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "w1", 3), (1, 1, "w2", 1), (1, 1, "w3", 2)]
