@@ -127,3 +127,14 @@ def test_keys_of_documents_are_listed_once(spark):
         m.setattr("tessellate.queries.stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, name))
         assert sorted(map(tuple, containing(passages, docs).distinct().collect())) == [(1, 2), (2, 5)]
     assert len(plans) == 1 and plans[0].count("concat(") == 1
+
+
+def test_ranked_cases_are_not_ranked_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Rome is old."), (2, "Oslo is cold.")], "doc_id bigint, text string")
+    none = F.array().cast("array<string>")
+    cases = spark.range(1).select(F.lit("a").alias("case_id"), F.lit(1).alias("ord"), F.lit("known").alias("type"), F.lit("Is Rome old?").alias("question"), F.array(F.lit(1).cast("bigint")).alias("gold_ids"), F.array(F.lit("old")).alias("answers"), none.alias("forbidden_phrases"), F.array().cast("array<bigint>").alias("forbidden_ids"), F.lit(False).alias("must_abstain"), none.alias("tags"))
+    once = evaluate(docs, cases)
+    monkeypatch.setattr("tessellate.plans.evaluate.RETRIEVERS", {})
+    again = evaluate(docs, once.ranked, ranked=True)
+    pick = lambda e: sorted((r.stage, r.answer.text, r.context_ids, r.citation_ok) for r in e.rows.collect())
+    assert pick(once) == pick(again) and len(pick(once)) == 2
